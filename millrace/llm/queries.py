@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, htmltext, langid, licenses, packing, quality, toxicity
+from millrace.llm import decontam, htmltext, langid, licenses, packing, quality, simhash, toxicity
 from millrace.llm.common import table
 
 
@@ -32,9 +32,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op4_pack, op5_decontam, op6_htmltext, op7_toxicity, op8_quality, op10_license)}
+QUERIES = {f.__name__: f for f in (op1_langid, op4_pack, op5_decontam, op6_htmltext, op7_toxicity, op8_quality, op9_simhash, op10_license)}
 SQL = {"op5_decontam": decontam.ORACLE, "op8_quality": quality.ORACLE, "op10_license": licenses.ORACLE}

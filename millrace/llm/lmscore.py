@@ -29,8 +29,8 @@ VOCABULARY = WORDS + BUCKETS
 CLASSES = 32
 PER_CLASS = VOCABULARY // CLASSES
 PAD = VOCABULARY
-WINDOW, WIDTH, HIDDEN = 2, 16, 32
-BATCH = 4096
+WINDOW, WIDTH, HIDDEN = 2, 8, 16
+BATCH = 8192
 WARM = 60_000
 FAN = 32
 SHAPES = {
@@ -73,45 +73,46 @@ class Network:
     def run(self, ids: np.ndarray, at: np.ndarray, rate: float = 0.0, memory: np.ndarray | None = None) -> np.ndarray:
         """Log-probabilities of the tokens at the places; with a rate, one Adagrad step as well."""
         p = self.p
+        # neighbours in rank share no class, so that the classes are about equally likely
+        cls = ids[at] % CLASSES
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        at, cls = at[order], cls[order]
+        within = ids[at] // CLASSES
+        cut = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
         around = ids[at[:, None] + np.array([k for k in range(-WINDOW, WINDOW + 1) if k])]
         x = p["e"][around].reshape(len(at), -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        target = ids[at]
-        # neighbours in rank share no class, so that the classes are about equally likely
-        cls, within = target % CLASSES, target // CLASSES
+        h = x @ p["w"]
+        h += p["b"]
+        np.tanh(h, out=h)
         row = np.arange(len(at))
-        z = h @ p["c"] + p["cb"]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        out = np.log(z[row, cls] + 1e-30)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        dh = None
-        grads = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()} if rate else {}
+        z = h @ p["c"]
+        z += p["cb"]
+        np.exp(z, out=z)  # tanh bounds what goes in
+        norm = z.sum(axis=1)
+        y = np.empty((len(at), PER_CLASS), np.float32)
+        for k in range(CLASSES):
+            i, j = cut[k], cut[k + 1]
+            if i < j:
+                np.matmul(h[i:j], p["t"][k], out=y[i:j])
+                y[i:j] += p["tb"][k]
+        np.exp(y, out=y)
+        norm_y = y.sum(axis=1)
+        out = np.empty(len(at), np.float32)
+        out[order] = np.log(z[row, cls] / norm * (y[row, within] / norm_y) + 1e-30)
         if rate:
             n = np.float32(len(at))
-            z[row, cls] -= 1
-            z /= n
+            grads = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
+            z /= (norm * n)[:, None]
+            z[row, cls] -= 1 / n
+            y /= (norm_y * n)[:, None]
+            y[row, within] -= 1 / n
             grads["c"], grads["cb"] = h.T @ z, z.sum(axis=0)
             dh = z @ p["c"].T
-        for k in range(CLASSES):
-            rows = order[cut[k] : cut[k + 1]]
-            if not len(rows):
-                continue
-            hk = h[rows]
-            y = hk @ p["t"][k] + p["tb"][k]
-            y -= y.max(axis=1, keepdims=True)
-            np.exp(y, out=y)
-            y /= y.sum(axis=1, keepdims=True)
-            own = np.arange(len(rows)), within[rows]
-            out[rows] += np.log(y[own] + 1e-30)
-            if rate:
-                y[own] -= 1
-                y /= n
-                grads["t"][k], grads["tb"][k] = hk.T @ y, y.sum(axis=0)
-                dh[rows] += y @ p["t"][k].T
-        if rate:
+            for k in range(CLASSES):
+                i, j = cut[k], cut[k + 1]
+                if i < j:
+                    grads["t"][k], grads["tb"][k] = h[i:j].T @ y[i:j], y[i:j].sum(axis=0)
+                    dh[i:j] += y[i:j] @ p["t"][k].T
             dh *= 1 - h * h
             grads["w"], grads["b"] = x.T @ dh, dh.sum(axis=0)
             dx = (dh @ p["w"].T).reshape(-1, WIDTH)

@@ -82,10 +82,11 @@ def line_passes(line):
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the base figures, base_failed, the lost and all line characters, kept; and the columns named in keep."""
+    """doc_id, the base figures, base_failed, the lost and all line characters, kept; and a struct __keep of the columns named in keep."""
     t = F.coalesce(F.col("text"), F.lit(""))
     step = docs.select(
-        *[F.col(c) for c in dict.fromkeys(("doc_id", *keep))],
+        *([F.struct(*[F.col(c) for c in keep]).alias("__keep")] if keep else []),
+        "doc_id",
         t.alias("__t"),
         F.filter(F.split(t, SPACE), lambda w: w != "").alias("__w"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
@@ -109,14 +110,18 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     step = step.withColumn("base_failed", failed)
     return step.select(
-        *dict.fromkeys(("doc_id", *keep)),
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *(["__keep"] if keep else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("__c.all").alias("line_chars"),
         F.col("__c.lost").alias("lost_chars"),
         (~F.col("base_failed") & (2 * F.col("__c.lost") <= F.col("__c.all"))).alias("kept"),
     )
 
 
+def filter_documents(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with the columns of docs."""
+    return judge(docs, keep=tuple(docs.columns)).filter("kept").select("__keep.*")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, htmltext, langid, licenses, lmscore, packing, quality, simhash, toxicity
+from millrace.llm import decontam, htmltext, langid, licenses, lmscore, packing, quality, simhash, substr, toxicity
 from millrace.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+def op3_substr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.report(table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_lmscore, op4_pack, op5_decontam, op6_htmltext, op7_toxicity, op8_quality, op9_simhash, op10_license)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_lmscore, op3_substr, op4_pack, op5_decontam, op6_htmltext, op7_toxicity, op8_quality, op9_simhash, op10_license)}
 SQL = {"op5_decontam": decontam.ORACLE, "op8_quality": quality.ORACLE, "op10_license": licenses.ORACLE}

@@ -119,7 +119,9 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns of docs."""
-    return judge(docs, keep=tuple(docs.columns)).filter("kept").select("__keep.*")
+    verdicts = judge(docs, keep=tuple(docs.columns))
+    # a filter would be pushed below the steps of judge, which would then be evaluated many times over
+    return verdicts.select(F.inline(F.filter(F.array("__keep"), lambda _: F.col("kept"))))
 
 
 ORACLE = r"""

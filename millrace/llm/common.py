@@ -12,15 +12,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that goes to a Python worker; texts may be long, and a worker holds a batch several times over.
+BATCH_ROWS = 500
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers get at a time, for this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +68,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        small_batches(spark)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -80,6 +87,3 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
-
-def spread(df: DataFrame, spark: SparkSession) -> DataFrame:
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))

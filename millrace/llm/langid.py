@@ -29,7 +29,7 @@ TYPES = 30_000
 ROUNDS = 4
 LONGEST, PIECE = 32, 8
 FLOOR = 1e-9
-CACHE = 1_000_000
+CACHE = 300_000
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"

@@ -51,7 +51,7 @@ class Numbers(dict):
         self.least = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             for w in [w for w, i in self.items() if i >= WORDS]:
                 del self[w]
         k = self[word] = WORDS + (word[-1] * 31 + (word[-2] if len(word) > 1 else 7) * 17 + (word[-3] if len(word) > 2 else 3)) % BUCKETS

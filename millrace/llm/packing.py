@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 1024
 END = 2
 #: Chunks that a worker remembers, and the longest chunk worth it.
-CACHE, LONG = 1_000_000, 64
+CACHE, LONG = 300_000, 64
 _coders: dict[str, "Coder"] = {}
 
 

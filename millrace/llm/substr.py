@@ -37,7 +37,7 @@ from millrace.llm.suffixsort import suffixes
 SPAN, ANCHOR = 200, 48
 WINDOWS = SPAN - ANCHOR + 1
 CROWD = 256
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 TABLE = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64, endpoint=False)

@@ -26,7 +26,7 @@ from millrace.llm.common import id_remainder
 SAMPLE = 4000
 FEATURES = 1000
 STEMS = (4, 5, 6)
-CACHE = 1_000_000
+CACHE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 IDENTITY = (
     "women men girls boys christians muslims jews hindus buddhists atheists gay lesbian straight transgender black white asian "

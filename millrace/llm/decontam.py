@@ -94,12 +94,10 @@ SCHEMA = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The columns in carry (doc_id if none are named), n_words, spans (of words) and items (as strings)."""
+    """A struct __keep of the columns in carry (doc_id if none are named), n_words, spans (of words) and items (as strings)."""
     spark: SparkSession = docs.sparkSession
-    carry = carry or ["doc_id"]
-    given = list(dict.fromkeys([*carry, "text"]))
-    src = docs.select(*given)
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*carry).schema] + [SCHEMA])
+    src = docs.select(F.struct(*[F.col(c) for c in carry or ["doc_id"]]).alias("__keep"), "text")
+    out_schema = f"__keep {src.schema['__keep'].dataType.simpleString()}, {SCHEMA}"
 
     def over(index):
         shared = spark.sparkContext.broadcast(index)
@@ -116,12 +114,13 @@ def find_hits(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None,
                     n_words.append(len(words))
                     spans.append([{"a": a, "b": b} for a, b in hit])
                     items.append(sorted(str(x) for x in found))
-                cols = [batch.column(c) for c in carry] + [
+                cols = [
+                    batch.column("__keep"),
                     pa.array(n_words, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                     pa.array(items, pa.list_(pa.string())),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, [*carry, "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays(cols, ["__keep", "n_words", "spans", "items"])
 
         return src.mapInArrow(run, out_schema)
 
@@ -132,30 +131,31 @@ def find_hits(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None,
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    grouped = every.groupBy(*carry, "n_words").agg(
+    grouped = every.groupBy("__keep", "n_words").agg(
         (F.count("*") / len(parts)).cast("int").alias("__n"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__s"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    kind = "array<struct<a:int,b:int>>"
     joined = F.aggregate(
-        "__s",
-        F.array().cast("array<struct<a:int,b:int>>"),
+        F.col("__s").cast(kind),
+        F.array().cast(kind),
         lambda acc, x: F.when(
             F.coalesce(F.get(acc, F.size(acc) - 1)["b"] >= x["a"], F.lit(False)),
             F.concat(
                 F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(F.get(acc, F.size(acc) - 1)["b"], x["b"]).alias("b"))),
+                F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(F.get(acc, F.size(acc) - 1)["b"], x["b"]).alias("b"))).cast(kind),
             ),
-        ).otherwise(F.concat(acc, F.array(x))),
+        ).otherwise(F.concat(acc, F.array(x).cast(kind))),
     )
-    return grouped.select(*carry, "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "__n"))).drop("col")
+    return grouped.select("__keep", "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "__n"))).drop("col")
 
 
 def report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     found = find_hits(docs, bench, **options)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"])
     return found.select(
-        "doc_id",
+        "__keep.doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -170,11 +170,10 @@ def clean(docs: DataFrame, bench: DataFrame, n: int = N, max_share: float = MAX_
     found = find_hits(docs, bench, carry=names, n=n)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"])
     left = found.filter(n_hit <= F.col("n_words") * max_share)
-    cut = F.when(F.size("spans") > 0, cut_spans("text", "spans")).otherwise(F.col("text"))
-    out = left.withColumn("text", cut)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    old, hit = F.col("__keep"), F.size("spans") > 0
+    text = F.when(hit, cut_spans(old["text"], F.col("spans"))).otherwise(old["text"])
+    own = {"text": F.col("__text"), "n_chars": F.when(hit, F.length("__text")).otherwise(old["n_chars"]) if "n_chars" in names else None}
+    return left.withColumn("__text", text).select(*[(own[c] if c in own else old[c]).alias(c) for c in names])
 
 
 @F.udf(StringType())

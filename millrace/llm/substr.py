@@ -299,13 +299,13 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch, crowd: int = CROWD, me
 
 
 def keyed(docs: DataFrame, names: list[str]) -> DataFrame:
-    """The columns named, row (a hash of id and text) and raw (the text's bytes)."""
+    """A struct __keep of the columns named, row (a hash of id and text) and raw (the text's bytes)."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(*[F.col(c) for c in names], F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), raw).alias("row"), raw.alias("raw"))
+    return docs.select(F.struct(*[F.col(c) for c in names]).alias("__keep"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), raw).alias("row"), raw.alias("raw"))
 
 
 def removals(docs: DataFrame, names: list[str], **options) -> DataFrame:
-    """The columns named, raw, and spans: the merged stretches of bytes to remove."""
+    """A struct __keep of the columns named, raw, and got: the stretches of bytes to remove, unmerged."""
     scratch = Scratch(docs.sparkSession, "substr")
     base = keyed(docs, names)
     got = repeated_stretches(base.select("row", "raw"), scratch, **options)
@@ -334,7 +334,7 @@ def remains(raw: bytes, spans: list) -> bytes:
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    src = removals(docs, ["doc_id"], **options).select("doc_id", "raw", "got")
+    src = removals(docs, ["doc_id"], **options).select("__keep.doc_id", "raw", "got")
 
     def run(batches):
         import pyarrow as pa
@@ -356,7 +356,7 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     """docs with the remaining text (cut characters go as a whole) and its n_chars; documents left without text go. docs' columns."""
     names = docs.columns
     others = [c for c in names if c != "text"]
-    src = removals(docs, others, **options).select(*others, "raw", "got")
+    src = removals(docs, others, **options).select("__keep", "raw", "got")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
@@ -365,7 +365,8 @@ def clean(docs: DataFrame, **options) -> DataFrame:
         for b in batches:
             texts = [remains(raw, merged(got)).decode("utf-8", "ignore") for raw, got in zip(b.column("raw").to_pylist(), b.column("got").to_pylist())]
             keep = pa.array([x.strip() != "" for x in texts])
-            cols = [pa.array(texts, pa.string()) if c == "text" else pa.array(map(len, texts), pa.int64()).cast(b.column(c).type) if c == "n_chars" else b.column(c) for c in names]
+            kept = dict(zip(others, b.column("__keep").flatten()))
+            cols = [pa.array(texts, pa.string()) if c == "text" else pa.array(map(len, texts), pa.int64()).cast(kept[c].type) if c == "n_chars" else kept[c] for c in names]
             yield pa.RecordBatch.from_arrays(cols, names).filter(keep)
 
     return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))

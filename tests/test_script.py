@@ -18,5 +18,5 @@ def test_transliteration(spark):
 def test_validation_and_normalising(spark):
     assert one(spark, script.is_valid, "ᚋᚐᚊᚔ") and not one(spark, script.is_valid, "ᚋᚐᚊᚔX") and not one(spark, script.is_valid, "")
     assert one(spark, script.normalize, "᚛ᚋᚐᚊᚔ᚜") == "ᚋᚐᚊᚔ"
-    assert one(spark, script.clean_transcription, "1. ᚋ[..]ᚐ?  ᚊ x") == "ᚋᚐ ᚊ"
+    assert one(spark, script.clean_transcription, "1. ᚋ[..]ᚐ?  ᚊ x") == "ᚋᚐ\u1680ᚊ"
     assert not one(spark, script.phonotactic, "ᚐᚐᚐᚐ") and one(spark, script.phonotactic, "ᚐᚁᚐᚁ")

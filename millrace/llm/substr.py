@@ -38,6 +38,8 @@ SPAN, ANCHOR = 200, 48
 WINDOWS = SPAN - ANCHOR + 1
 CROWD = 256
 CHUNK = 1 << 19
+#: Bytes of pieces that a shard holds about.
+SHARD = 64 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 TABLE = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -288,7 +290,8 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch, crowd: int = CROWD, me
     every = ready[0]
     for r in ready[1:]:
         every = every.unionByName(r)
-    stretches = sort_shards(every.repartition(n, "anchor", "low", "key"), memory)
+    shards = max(n, -(-(every.agg(F.sum(F.length("raw"))).first()[0] or 0) // SHARD))
+    stretches = sort_shards(every.repartition(shards, "anchor", "low", "key"), memory)
     for e in equal:
         stretches = stretches.unionByName(e)
     found = scratch.put(stretches, "found")

@@ -7,8 +7,8 @@ edit distances count different units outside ASCII.
 from millrace.plans.registry import Group
 
 GROUP = Group()
-PAIRS = """pairs AS (SELECT doc_id, lang, source, r, translate(r, 'aeo', 'oi') AS p
-  FROM (SELECT doc_id, lang, source, substring(regexp_replace(coalesce(text, ''), '[^ -~]', ''{g}), 1, 64) AS r FROM documents) x)"""
+PAIRS = """pairs AS (SELECT conv_id, turn, role, r, translate(r, 'aeo', 'oi') AS p
+  FROM (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '[^ -~]', ''{g}) AS r FROM conversations) x)"""
 SPARK, DUCK = "WITH " + PAIRS.format(g=""), "WITH " + PAIRS.format(g=", 'g'")
 
 
@@ -16,27 +16,27 @@ def both(name: str, body: str, oracle: str | None = None) -> None:
     GROUP.add(name, SPARK + body, DUCK + (oracle or body))
 
 
-both("cer_by_lang", """ SELECT lang, count(*) AS n_samples, CAST(sum(levenshtein(p, r)) AS BIGINT) AS edits, CAST(sum(length(r)) AS BIGINT) AS n_chars,
+both("cer_by_role", """ SELECT role, count(*) AS n_samples, CAST(sum(levenshtein(p, r)) AS BIGINT) AS edits, CAST(sum(length(r)) AS BIGINT) AS n_chars,
   CASE WHEN sum(length(r)) > 0 THEN CAST(sum(levenshtein(p, r)) AS DOUBLE) / sum(length(r)) ELSE CAST(0 AS DOUBLE) END AS cer,
-  avg(CASE WHEN p = r THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact_match FROM pairs GROUP BY lang""")
-both("cer_floor1_by_lang", """ SELECT lang, CAST(sum(levenshtein(p, r)) AS DOUBLE) / sum(greatest(length(r), 1)) AS cer FROM pairs GROUP BY lang""")
-both("cer_trimmed_by_lang", """ SELECT lang, CASE WHEN sum(length(trim(r))) > 0 THEN CAST(sum(levenshtein(trim(p), trim(r))) AS DOUBLE) / sum(length(trim(r))) ELSE CAST(1 AS DOUBLE) END AS cer FROM pairs GROUP BY lang""")
-both("cer_despaced", """ SELECT source, 100 * CAST(sum(levenshtein(replace(p, ' ', ''), replace(r, ' ', ''))) AS DOUBLE) / sum(greatest(length(replace(r, ' ', '')), 1)) AS cer_percent FROM pairs GROUP BY source""")
-both("cer_macro", """, scored AS (SELECT source, CASE WHEN doc_id % 7 = 3 THEN 'timeout' END AS error, CASE WHEN length(r) = 0 THEN CASE WHEN length(p) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ELSE CAST(levenshtein(p, r) AS DOUBLE) / length(r) END AS cer FROM pairs)
-  SELECT source, avg(CASE WHEN error IS NULL THEN cer END) AS mean_cer, count(CASE WHEN error IS NULL THEN 1 END) AS n_ok, count(error) AS n_errors FROM scored GROUP BY source""")
-both("exact_match_by_source", """ SELECT source, avg(CASE WHEN p = r THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact_match, avg(CASE WHEN replace(p, ' ', '') = replace(r, ' ', '') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact_despaced FROM pairs GROUP BY source""")
+  avg(CASE WHEN p = r THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact_match FROM pairs GROUP BY role""")
+both("cer_floor1_by_role", """ SELECT role, CAST(sum(levenshtein(p, r)) AS DOUBLE) / sum(greatest(length(r), 1)) AS cer FROM pairs GROUP BY role""")
+both("cer_trimmed_by_role", """ SELECT role, CASE WHEN sum(length(trim(r))) > 0 THEN CAST(sum(levenshtein(trim(p), trim(r))) AS DOUBLE) / sum(length(trim(r))) ELSE CAST(1 AS DOUBLE) END AS cer FROM pairs GROUP BY role""")
+both("cer_despaced", """ SELECT turn, 100 * CAST(sum(levenshtein(replace(p, ' ', ''), replace(r, ' ', ''))) AS DOUBLE) / sum(greatest(length(replace(r, ' ', '')), 1)) AS cer_percent FROM pairs GROUP BY turn""")
+both("cer_macro", """, scored AS (SELECT turn, CASE WHEN r NOT LIKE '%.' THEN 'truncated' END AS error, CASE WHEN length(r) = 0 THEN CASE WHEN length(p) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ELSE CAST(levenshtein(p, r) AS DOUBLE) / length(r) END AS cer FROM pairs)
+  SELECT turn, avg(CASE WHEN error IS NULL THEN cer END) AS mean_cer, count(CASE WHEN error IS NULL THEN 1 END) AS n_ok, count(error) AS n_errors FROM scored GROUP BY turn""")
+both("exact_match_by_turn", """ SELECT turn, avg(CASE WHEN p = r THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact_match, avg(CASE WHEN replace(p, ' ', '') = replace(r, ' ', '') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact_despaced FROM pairs GROUP BY turn""")
 both("metric_bundle", """ SELECT CAST(sum(levenshtein(p, r)) AS DOUBLE) / greatest(sum(length(r)), 1) AS cer, avg(CASE WHEN p = r THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact_match, count(*) AS n_samples FROM pairs""")
-both("per_sample_cer", """ SELECT doc_id, CASE WHEN length(r) = 0 THEN CASE WHEN length(p) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ELSE CAST(levenshtein(p, r) AS DOUBLE) / length(r) END AS cer FROM pairs""")
-both("worst_k_samples", """ SELECT doc_id, levenshtein(p, r) AS edits FROM pairs ORDER BY edits DESC, doc_id LIMIT 10""")
+both("per_sample_cer", """ SELECT conv_id, turn, CASE WHEN length(r) = 0 THEN CASE WHEN length(p) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ELSE CAST(levenshtein(p, r) AS DOUBLE) / length(r) END AS cer FROM pairs""")
+both("worst_k_samples", """ SELECT conv_id, turn, levenshtein(p, r) AS edits FROM pairs ORDER BY edits DESC, conv_id, turn LIMIT 10""")
 both("char_deletions_topk",
-     """, c AS (SELECT doc_id, p, explode(split(r, '')) AS ch FROM pairs) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND instr(p, ch) = 0 GROUP BY ch ORDER BY n DESC, ch LIMIT 10""",
-     """, c AS (SELECT doc_id, p, unnest(string_split(r, '')) AS ch FROM pairs) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND instr(p, ch) = 0 GROUP BY ch ORDER BY n DESC, ch LIMIT 10""")
+     """, c AS (SELECT p, explode(split(r, '')) AS ch FROM pairs) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND instr(p, ch) = 0 GROUP BY ch ORDER BY n DESC, ch LIMIT 10""",
+     """, c AS (SELECT p, unnest(string_split(r, '')) AS ch FROM pairs) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND instr(p, ch) = 0 GROUP BY ch ORDER BY n DESC, ch LIMIT 10""")
 both("char_insertions_topk",
-     """, c AS (SELECT doc_id, r, explode(split(p, '')) AS ch FROM pairs) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND instr(r, ch) = 0 GROUP BY ch ORDER BY n DESC, ch LIMIT 10""",
-     """, c AS (SELECT doc_id, r, unnest(string_split(p, '')) AS ch FROM pairs) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND instr(r, ch) = 0 GROUP BY ch ORDER BY n DESC, ch LIMIT 10""")
-both("stratified_length_source", """, s AS (SELECT *, CASE WHEN length(r) < 6 THEN 'short' WHEN length(r) < 15 THEN 'medium' WHEN length(r) < 100 THEN 'long' END AS len_bucket FROM pairs)
-  SELECT len_bucket, source, lang, CAST(grouping(len_bucket) AS INT) AS g_len, CAST(grouping(source) AS INT) AS g_source, CAST(grouping(lang) AS INT) AS g_lang, CAST(sum(levenshtein(p, r)) AS BIGINT) AS edits, CAST(sum(length(r)) AS BIGINT) AS n_chars, count(*) AS n
-  FROM s GROUP BY GROUPING SETS ((), (len_bucket), (source), (lang))""")
+     """, c AS (SELECT r, explode(split(p, '')) AS ch FROM pairs) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND instr(r, ch) = 0 GROUP BY ch ORDER BY n DESC, ch LIMIT 10""",
+     """, c AS (SELECT r, unnest(string_split(p, '')) AS ch FROM pairs) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND instr(r, ch) = 0 GROUP BY ch ORDER BY n DESC, ch LIMIT 10""")
+both("stratified_length_turn", """, s AS (SELECT *, CASE WHEN length(r) < 6 THEN 'short' WHEN length(r) < 15 THEN 'medium' WHEN length(r) < 100 THEN 'long' END AS len_bucket FROM pairs)
+  SELECT len_bucket, turn, role, CAST(grouping(len_bucket) AS INT) AS g_len, CAST(grouping(turn) AS INT) AS g_turn, CAST(grouping(role) AS INT) AS g_role, CAST(sum(levenshtein(p, r)) AS BIGINT) AS edits, CAST(sum(length(r)) AS BIGINT) AS n_chars, count(*) AS n
+  FROM s GROUP BY GROUPING SETS ((), (len_bucket), (turn), (role))""")
 GROUP.add("length_histogram_zero_filled",
           """WITH l AS (SELECT length(text) % 40 AS n FROM benchmark WHERE text IS NOT NULL), b AS (SELECT explode(sequence(5, 30)) AS n)
   SELECT b.n, count(l.n) AS cnt, CAST(count(l.n) AS DOUBLE) / (SELECT count(*) FROM l) AS share FROM b LEFT JOIN l ON b.n = l.n GROUP BY b.n""",

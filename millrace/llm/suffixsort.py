@@ -18,6 +18,8 @@ import tempfile
 import numpy as np
 
 CAP = 200
+#: Entries up to which waiting blocks are scanned as one.
+MERGE = 1 << 18
 FAR = np.int32(1 << 30)
 
 
@@ -56,29 +58,58 @@ class Queues:
         return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(4 * n), np.int32)
 
     def pop(self, key, backwards: bool = False):
-        """The key's blocks in order, or from the last to the first."""
+        """The key's entries in order, short blocks put together; backwards the blocks as they are, from the last to the first."""
         blocks = self.blocks.pop(key, [])
+        group, n = [], 0
         for b in reversed(blocks) if backwards else blocks:
             if isinstance(b[0], np.ndarray):
                 self.held -= b[0].nbytes + b[1].nbytes
-            yield self.load(b)
+            group.append(self.load(b))
+            n += len(group[-1][0])
+            if backwards or n >= MERGE:
+                yield joined(group)
+                group, n = [], 0
+        if group:
+            yield joined(group)
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
+def joined(blocks: list) -> tuple[np.ndarray, np.ndarray]:
+    return blocks[0] if len(blocks) == 1 else (np.concatenate([p for p, _ in blocks]), np.concatenate([l for _, l in blocks]))
+
+
 def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP) -> np.ndarray:
     """Lengths of the common prefixes of the suffixes a and b, up to the cap."""
     n = len(t)
     out = np.zeros(len(a), np.int32)
     live = np.arange(len(a))
-    for k in range(cap):
-        x, y = a[live] + k, b[live] + k
-        live = live[(x < n) & (y < n) & (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)])]
-        if not len(live):
-            break
-        out[live] = k + 1
+    k = 0
+    if t.dtype == np.uint8 and n >= 8:
+        # eight bytes at a time while both have them
+        wide = np.ndarray(n - 7, "<u8", np.ascontiguousarray(t), strides=(1,))
+        rest = []
+        while k < cap and len(live):
+            x, y = a[live] + k, b[live] + k
+            inside = np.maximum(x, y) <= n - 8
+            if not inside.all():
+                rest.append(live[~inside])
+                out[rest[-1]] = k
+                live, x, y = live[inside], x[inside], y[inside]
+            apart = wide[x] ^ wide[y]
+            # trailing zero bits: the bytes that agree
+            agree = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3
+            out[live] = k + agree
+            live = live[apart == 0]
+            k += 8
+        live = np.concatenate(rest) if rest else live[:0]
+        np.minimum(out, cap, out=out)
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
+        live = live[(x < n) & (y < n) & (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)]) & (out[live] < cap)]
+        out[live] += 1
     return out
 
 
@@ -196,7 +227,7 @@ def doubled(names: np.ndarray, depth: int) -> np.ndarray:
         order = np.argsort(key, kind="stable")
         new = np.zeros(len(rank), np.int64)
         new[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-        if new.max() == len(new) - 1 or k >= depth or k >= len(rank):
+        if new.max() == len(new) - 1 or 2 * k >= depth or k >= len(rank):
             return order
         rank, k = new, 2 * k
 
@@ -239,7 +270,8 @@ def order_of(t: np.ndarray, memory: int, direct: int, cap: int) -> tuple[Inducer
     if names.max() == len(names) - 1:
         return ind, ordered
     if len(names) <= direct:
-        return ind, lms[doubled(names, cap)]
+        # successive places are two apart at least
+        return ind, lms[doubled(names, -(-cap // 2))]
     inner, stars = order_of(names, memory, direct, cap)
     parts = [p for p, _ in inner.run(stars, np.zeros(len(stars), np.int32), want=False)]
     return ind, lms[np.concatenate(parts[::-1])]

@@ -1,8 +1,8 @@
 """All registered queries of the recognition-quality operators, with their SQL."""
 
-from millrace.functions import script
+from millrace.functions import extract, script
 from millrace.operators import curation, fields, metrics, sampling, sequences
 
-GROUPS = (metrics.GROUP, sequences.GROUP, sampling.GROUP, curation.GROUP, fields.GROUP, script.GROUP)
+GROUPS = (metrics.GROUP, sequences.GROUP, sampling.GROUP, curation.GROUP, fields.GROUP, script.GROUP, extract.GROUP)
 QUERIES: dict = {k: v for g in GROUPS for k, v in g.queries.items()}
 SQL: dict = {k: v for g in GROUPS for k, v in g.sql.items()}

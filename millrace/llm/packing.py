@@ -33,7 +33,7 @@ _coders: dict[str, "Coder"] = {}
 class Coder:
     """Texts to little-endian unsigned 32-bit ids, as the tokenizer gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,13 +42,14 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes | bool] = {"": b""}
+        self.remember = remember
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.cache.get
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.remember:
             self.cache.clear()
             self.cache[""] = b""
         cut: list[list[str] | None] = []
@@ -79,9 +80,10 @@ class Coder:
         return out
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, remember: int = CACHE) -> Coder:
     if path not in _coders:
-        _coders[path] = Coder(path)
+        _coders[path] = Coder(path, remember)
+    _coders[path].remember = remember
     return _coders[path]
 
 
@@ -120,8 +122,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, batch: int = 256) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with with_ids its ids (little-endian, 32 bits)."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, batch: int = 256, remember: int = CACHE) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with with_ids its ids (little-endian, 32 bits).
+
+    A worker remembers the ids of `remember` chunks, some 200 bytes each.
+    """
     if path is None:
         import public_tokenizers
 
@@ -134,7 +139,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
         import pyarrow as pa
         from pyspark import TaskContext
 
-        code, ids_of = coder(path), []
+        code, ids_of = coder(path, remember), []
         docs_at, pieces, starts, lengths, sums = [], [], [], [], []
         id_parts, n_docs = [], 0
         for b in batches:

@@ -87,3 +87,19 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
+
+def dealt_join(many: DataFrame, few: DataFrame, keys: list[str], counts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with few on keys (inner or left), where a key that holds much of many is dealt over several tasks.
+
+    counts: keys and c, how many rows of many they have (keys left out count as rare). A key
+    with more than one in `parts` of the rows gets a salt for each such part, taken in many
+    from a hash of the columns in by; its rows in few are repeated for each salt. There are at
+    most `parts` such keys, so what is broadcast is bounded by the shuffle partitions.
+    """
+    parts = 4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max((counts.agg(F.sum("c")).first()[0] or 0) // parts, 1)
+    hot = F.broadcast(counts.filter(F.col("c") > step).select(*keys, F.ceil(F.col("c") / step).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = many.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("__salts")
+    right = few.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch
+from millrace.llm.common import Scratch, dealt_join
 from millrace.llm.suffixsort import suffixes
 
 SPAN, ANCHOR = 200, 48
@@ -257,36 +257,38 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch, crowd: int = CROWD, me
     """docs: row, raw. Gives row and its stretches (a, b) of bytes to remove, unmerged."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segs = scratch.put(find_segments(docs), "segments")
-    anchors = segs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("x"), F.max("content").alias("y")).filter("c > 1").select("anchor", (F.col("x") != F.col("y")).alias("mixed"))
-    twice = scratch.put(segs.join(anchors, "anchor"), "twice")
-    scratch.drop("segments")
+    anchors = segs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("x"), F.max("content").alias("y")).filter("c > 1").select("anchor", "c", (F.col("x") != F.col("y")).alias("mixed"))
+    anchors = scratch.put(anchors, "anchors")
+    twice = scratch.put(dealt_join(segs, anchors.drop("c"), ["anchor"], anchors, ["row", "at"]), "twice")
+    scratch.drop("segments", "anchors")
     mixed = twice.filter("mixed")
     # one segment for each content
     kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("row", "at", "n", "lead")).alias("s"))
     kinds = scratch.put(kinds.select("anchor", "content", "times", "s.*"), "kinds")
     level = 0
     live = scratch.put(cut_texts(kinds, docs), "pieces0")
-    scratch.drop("kinds")
     ready, equal = [], []
     while True:
         sizes = live.groupBy("anchor", "low", "key").agg(F.count("*").alias("c"))
-        big = sizes.filter(F.col("c") > crowd).select("anchor", "low", "key")
-        big = scratch.put(big, f"big{level}")
+        big = scratch.put(sizes.filter(F.col("c") > crowd), f"big{level}")
         if level >= WINDOWS.bit_length() or big.isEmpty():
             ready.append(live)
             break
-        ready.append(live.join(big, ["anchor", "low", "key"], "left_anti").select(*live.columns))
+        told = dealt_join(live, big.drop("c").withColumn("__big", F.lit(True)), ["anchor", "low", "key"], big, ["content", "lead"], "left")
+        told = scratch.put(told.select(*live.columns, F.col("__big").isNotNull().alias("__big")), f"told{level}")
+        ready.append(told.filter("not __big").drop("__big"))
+        split = split_pieces(told.filter("__big").drop("__big"))
         level += 1
-        split = split_pieces(live.join(big, ["anchor", "low", "key"], "left_semi").select(*live.columns))
         split = scratch.put(split.withColumn("same", F.xxhash64("raw")), f"split{level}")
         # pieces of different segments may have become equal: all their strings repeat, and one of them goes on
         alike = ["anchor", "low", "lead", "n", "same"]
         copies = split.groupBy(*alike).agg(F.count("*").alias("copies"), F.min("content").alias("one")).filter("copies > 1")
-        marked = scratch.put(split.join(copies, alike, "left"), f"marked{level}")
+        copies = scratch.put(copies, f"copies{level}")
+        marked = scratch.put(dealt_join(split, copies, alike, copies.withColumnRenamed("copies", "c"), ["content"], "left"), f"marked{level}")
         equal.append(marked.filter("copies is not null").select("anchor", "content", F.col("lead").alias("first"), (F.col("lead") - F.col("n") + 1).alias("last")))
         live = marked.filter("copies is null or content = one").withColumn("times", F.coalesce("copies", "times"))
         live = scratch.put(live.select(*ready[0].columns), f"pieces{level}")
-        scratch.drop(f"split{level}")
+        scratch.drop(f"split{level}", f"copies{level}", f"pieces{level - 1}", f"big{level - 1}")
     every = ready[0]
     for r in ready[1:]:
         every = every.unionByName(r)
@@ -295,9 +297,9 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch, crowd: int = CROWD, me
     for e in equal:
         stretches = stretches.unionByName(e)
     found = scratch.put(stretches, "found")
-    hits = mixed.join(found, ["anchor", "content"]).select("row", (F.col("at") + F.col("lead") - F.col("first")).alias("a"), (F.col("at") + F.col("lead") - F.col("last") + SPAN).alias("b"))
+    hits = dealt_join(mixed, found, ["anchor", "content"], kinds.select("anchor", "content", F.col("times").alias("c")), ["row", "at"]).select("row", (F.col("at") + F.col("lead") - F.col("first")).alias("a"), (F.col("at") + F.col("lead") - F.col("last") + SPAN).alias("b"))
     whole = twice.filter(~F.col("mixed")).select("row", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + SPAN).alias("b"))
-    scratch.drop(*[f"{k}{i}" for i in range(level + 1) for k in ("pieces", "big", "marked")])
+    scratch.drop(*[f"{k}{i}" for i in range(level + 1) for k in ("pieces", "big", "told", "marked")])
     return hits.unionByName(whole)
 
 
@@ -313,7 +315,7 @@ def removals(docs: DataFrame, names: list[str], **options) -> DataFrame:
     base = keyed(docs, names)
     got = repeated_stretches(base.select("row", "raw"), scratch, **options)
     lists = scratch.put(got.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("got")), "lists")
-    scratch.drop("twice", "found")
+    scratch.drop("twice", "found", "kinds")
     return base.join(lists, "row", "left")
 
 

@@ -292,3 +292,16 @@ def test_licences(spark):
     assert got[1].license_id == "ISC" and got[2].license_id is None and got[2].line_licenses == "MIT"
     assert got[3].license_id is None and got[3].digest == got[4].digest == hashlib.sha256(b"").hexdigest()
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_dealt_join_is_a_join(spark):
+    from millrace.llm.common import dealt_join
+
+    many = spark.createDataFrame([(1, i) for i in range(900)] + [(2, i) for i in range(5)] + [(3, 1), (3, 1)], "k int, v int")
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (9, "d")], "k int, w string")
+    counts = many.groupBy("k").count().withColumnRenamed("count", "c")
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(few, "k", how).select("k", "v", "w").collect()))
+        assert sorted(map(str, dealt_join(many, few, ["k"], counts, ["v"], how).select("k", "v", "w").collect())) == want
+        assert sorted(map(str, dealt_join(many, few, ["k"], counts.limit(0), ["v"], how).select("k", "v", "w").collect())) == want
+    assert dealt_join(many.limit(0), few, ["k"], counts.limit(0), ["v"]).collect() == []

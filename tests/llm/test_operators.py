@@ -254,6 +254,19 @@ def test_lm_conditionals_are_normalised():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_tells_rare_words_apart(spark):
+    rng = random.Random(6)
+    common = [f"w{i}e" for i in range(lmscore.WORDS + 200)]
+    rows = [(i, " ".join(common), "en") for i in range(20)] + [(50 + i, "alpha rareone beta", "en") for i in range(9)]
+    rows += [(100, "alpha rareone beta", "en"), (101, "alpha qzxjone beta", "en"), (102, "alpha raretone beta", "en")]
+    got = {r.doc_id: r.logprob for r in lmscore.pseudo_likelihood(frame(spark, rows)).collect()}
+    assert len({got[100], got[101], got[102]}) == 3 and got[100] > max(got[101], got[102])
+    rows = [(i, prose(rng, 60, [f"x{i}y{k}" for k in range(40)]), "en") for i in range(40)]
+    few, shares = lmscore.frequent(frame(spark, rows[:20]), lmscore.Scratch(spark, "test"))
+    many, _ = lmscore.frequent(frame(spark, rows + [(99, " ".join(common * 5), "en")]), lmscore.Scratch(spark, "test"))
+    assert len(many) > lmscore.WORDS + 200 and len(few) < len(many)
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav>
     <div class="ad">Buy, now, here</div><article><h1>Head &amp; line</h1><p><b>One,  two&nbsp;three.<br><p>Second paragraph, with a comma.</article>

@@ -82,7 +82,7 @@ def line_passes(line):
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the base figures, base_failed, the lost and all line characters, kept; and a struct __keep of the columns named in keep."""
+    """doc_id, the base figures, base_failed, the lost and all line characters, kept; and a struct __keep of the columns named in keep, text and n_chars being those of the lines that pass."""
     t = F.coalesce(F.col("text"), F.lit(""))
     step = docs.select(
         *([F.struct(*[F.col(c) for c in keep]).alias("__keep")] if keep else []),
@@ -91,6 +91,11 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.filter(F.split(t, SPACE), lambda w: w != "").alias("__w"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
     )
+    lines, length, lost = "__lines", F.length, lambda x: F.when(line_passes(x), 0).otherwise(F.length(x))
+    if keep:
+        # each line is judged once, for the verdict and for the text
+        step = step.withColumn("__judged", F.transform("__lines", lambda x: F.struct(x.alias("x"), line_passes(x).alias("ok"))))
+        lines, length, lost = "__judged", lambda x: F.length(x["x"]), lambda x: F.when(x["ok"], 0).otherwise(F.length(x["x"]))
     step = step.select(
         "*",
         F.size("__w").cast("long").alias("n_words"),
@@ -99,16 +104,23 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("__w")).cast("long").alias("n_repeat_words"),
         F.aggregate(
-            "__lines",
+            lines,
             F.struct(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("lost")),
             lambda a, x: F.struct(
-                (a["all"] + F.length(x)).alias("all"),
-                (a["lost"] + F.when(line_passes(x), 0).otherwise(F.length(x))).alias("lost"),
+                (a["all"] + length(x)).alias("all"),
+                (a["lost"] + lost(x)).alias("lost"),
             ),
         ).alias("__c"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     step = step.withColumn("base_failed", failed)
+    if keep:
+        # a text that loses no line stays as it is, blank lines included
+        whole, passed = F.col("__c.lost") == 0, F.array_join(F.transform(F.filter("__judged", lambda x: x["ok"]), lambda x: x["x"]), "\n")
+        cleaned = {"text": F.when(whole, F.col("__keep.text")).otherwise(passed)}
+        if "n_chars" in keep:
+            cleaned["n_chars"] = F.when(whole, F.col("__keep.n_chars")).otherwise(F.length(passed).cast(docs.schema["n_chars"].dataType))
+        step = step.withColumn("__keep", F.struct(*[cleaned.get(c, F.col("__keep").getField(c)).alias(c) for c in keep]))
     return step.select(
         *(["__keep"] if keep else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("__c.all").alias("line_chars"),
@@ -118,7 +130,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of docs."""
+    """The documents that are kept, with the columns of docs; failing lines are gone from text, and n_chars counts what is left."""
     verdicts = judge(docs, keep=tuple(docs.columns))
     # a filter would be pushed below the steps of judge, which would then be evaluated many times over
     return verdicts.select(F.inline(F.filter(F.array("__keep"), lambda _: F.col("kept"))))

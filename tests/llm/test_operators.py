@@ -298,6 +298,16 @@ def test_quality(spark):
     assert quality.judge(frame(spark, [])).count() == 0
 
 
+def test_quality_takes_failing_lines_out(spark):
+    rng = random.Random(4)
+    good = [prose(rng, 12, [f"word{i}" for i in range(500)]) + "." for _ in range(8)]
+    mixed = "\n".join([*good[:4], "Home | News | About | Help", "Click here to subscribe", "", *good[4:], "Menu"])
+    whole = "\n\n".join(good)
+    got = {r.doc_id: r for r in quality.filter_documents(frame(spark, [(1, mixed, "en"), (2, whole, "en")])).collect()}
+    assert got[1].text == "\n".join(good) and got[1].n_chars == len(got[1].text)
+    assert got[2].text == whole and got[2].n_chars == len(whole)
+
+
 def test_licences(spark):
     mit = dict(licenses.KNOWN)["ISC"]
     rows = [(1, "Copyright (c) 2020 Someone\n" + mit.replace("License", "LICENCE").upper(), "en"), (2, "text\nReleased under the MIT Licence", "en"), (3, None, "en"), (4, "", "en"), (4, "", "en")]

@@ -3,8 +3,9 @@
 The page is cut into tags and text, built into a tree (with the implied ends of p, li,
 cells and the like), and rid of what is never article text. Paragraphs pass points for
 their length and commas to their ancestors, halved at each step and discounted by link
-density; the best container is kept, with siblings that score near it. Its blocks come
-out in page order.
+density; the best container is kept, with siblings that score near it, and with the
+headings, paragraphs, quotes, lists and tables beside it unless they are mostly links.
+Its blocks come out in page order.
 
 Null or empty html gives an empty text, as does a page without a paragraph. Truncated
 pages count as far as they go; nothing is capped. Line breaks are white space. Repeated
@@ -28,6 +29,9 @@ BLOCK = PARAGRAPH | {
     "address", "article", "body", "caption", "center", "details", "div", "dl", "dt", "figure", "header", "hr", "html", "main",
     "ol", "section", "summary", "table", "tbody", "tfoot", "th", "thead", "tr", "ul", *(DROP - {"label", "button", "svg", "math", "canvas"}),
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Kept beside the best container, at any length.
+BESIDE = PARAGRAPH | {"ul", "ol", "dl", "dt", "table", "figure"}
 #: What a new tag ends if it is open, and what stops the search.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 AWAY = re.compile(
@@ -188,7 +192,7 @@ def best(root: Node) -> list[Node]:
     for c in found.parent.children:
         if not isinstance(c, Node) or c.away:
             continue
-        if c is found or c.score * clear(c) >= least or c.tag == "p" and c.chars > 80 and clear(c) > 0.75:
+        if c is found or c.score * clear(c) >= least or c.tag in HEADINGS or c.tag in BESIDE and clear(c) > 0.75:
             kept.append(c)
     return kept
 

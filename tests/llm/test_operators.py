@@ -278,6 +278,13 @@ def test_html():
     assert htmltext.main_text("<p>" * 3000 + "deep" + "<div>" * 3000) == "deep"
 
 
+def test_html_siblings_without_article():
+    long = "".join(f"<p>Paragraph {i}, " + "long text, with commas, for points. " * 6 + "</p>" for i in range(3))
+    page = f"<body><div><h1>Title</h1><div class=body>{long}</div><p>Short last line.</p><blockquote>A quote.</blockquote><ul><li>A point.</ul><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div></body>"
+    got = htmltext.main_text(page).split("\n")
+    assert got[0] == "Title" and len(got) == 7 and got[4:] == ["Short last line.", "A quote.", "A point."]
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Some text, here.</p>", 1), (1, "u", "<p>Some text, here.</p>", 1), (2, None, None, 2), (None, "v", "", 3)], "page_id long, url string, html string, text long")
     assert sorted((r.text, r.n_chars) for r in htmltext.extract(pages).collect()) == [("", 0), ("", 0), ("Some text, here.", 16), ("Some text, here.", 16)]

@@ -30,9 +30,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own only where that is unset."""
+    """spark.checkpoint.dir of the session. Where that is unset, a folder of this machine if all tasks run in this process, else an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
@@ -62,13 +65,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_live: list["Scratch"] = []
+
+
+@contextlib.contextmanager
+def scratch_freed():
+    """The tables that operators write within this block go when it ends; what they return must have been written elsewhere by then."""
+    before = len(_live)
+    try:
+        yield
+    finally:
+        for s in _live[before:]:
+            drop_path(s.spark, s.base)
+        del _live[before:]
+
+
 class Scratch:
-    """Tables of one operator call. put() writes a frame and reads it again; drop() removes one."""
+    """Tables of one operator call. put() writes a frame and reads it again; drop() removes one. What is left goes when the driver's JVM ends in good order."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         small_batches(spark)
+        _live.append(self)
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)  # only what exists can be marked
+        fs.deleteOnExit(p)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"

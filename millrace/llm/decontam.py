@@ -2,9 +2,10 @@
 
 The windows of the benchmark (N consecutive words; a shorter item is one window) form
 a hash set that every task gets as a broadcast. The set's size is checked first: items
-are split into blocks of at most BLOCK_WORDS words, each block is broadcast and scanned
-for on its own, and the blocks' hits are merged per document; so a benchmark of any
-size keeps the broadcast bounded. Documents are scanned whole. Words outside the
+are split into blocks of about BLOCK_WORDS words (some 0.1 GB in a worker); with several,
+the documents are numbered and written once, each block is broadcast and scanned for on its
+own, and only the numbers of documents with hits and their spans meet again; so a benchmark
+of any size keeps the broadcast bounded. Documents are scanned whole. Words outside the
 block's vocabulary end a run, so only runs of known words are looked up, and a window
 counts only if its words are equal (no hash is trusted).
 
@@ -14,14 +15,16 @@ repeated item ids count once. Only doc_id and text (item_id and text) are read.
 
 from __future__ import annotations
 
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from millrace.llm.common import Scratch
 
 N = 10
 #: Words of the items in one broadcast.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 400_000
 #: A document with more than this share of its words hit goes as a whole; otherwise the hit spans go.
 MAX_SHARE = 0.5
 
@@ -90,97 +93,104 @@ def merge(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+SPANS = "array<struct<a:int,b:int>>"
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A struct __keep of the columns in carry (doc_id if none are named), n_words, spans (of words) and items (as strings)."""
-    spark: SparkSession = docs.sparkSession
-    src = docs.select(F.struct(*[F.col(c) for c in carry or ["doc_id"]]).alias("__keep"), "text")
-    out_schema = f"__keep {src.schema['__keep'].dataType.simpleString()}, {SCHEMA}"
+def report_rows(b, texts, hits):
+    """Arrow columns n_words, n_hit, n_items, items_sha256, contaminated of a batch. hits: spans and items of each text."""
+    import pyarrow as pa
 
-    def over(index):
-        shared = spark.sparkContext.broadcast(index)
+    n_hit = [sum(z - a for a, z in spans) for spans, _ in hits]
+    digests = [hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest() for _, items in hits]
+    return [pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for _, i in hits], pa.int64()), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit])]
+
+
+def scan_blocks(docs: DataFrame, bench: DataFrame, n: int, block_words: int, carry: list[str], emit, schema: str) -> DataFrame:
+    """emit(batch, hits by row) over the documents; docs' columns in carry are in the batch as the struct __keep, beside text."""
+    spark = docs.sparkSession
+    src = docs.select(F.struct(*[F.col(c) for c in carry]).alias("__keep"), "text")
+    parts = [spark.sparkContext.broadcast(x) for x in blocks(bench, n, block_words)]
+
+    def find(index, text):
+        vocab, windows = index
+        words = words_of(text)
+        return scan(words, vocab, windows) if words and windows else ([], set())
+
+    if len(parts) <= 1:
+        only = parts[0] if parts else spark.sparkContext.broadcast(({}, {}))
 
+        def run(batches):
+            for b in batches:
+                yield from emit(b, [find(only.value, t) for t in b.column("text").to_pylist()])
+
+        return src.mapInArrow(run, schema)
+    scratch = Scratch(spark, "decontam")
+    numbered = scratch.put(src.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+    def over(index):
         def run(batches):
             import pyarrow as pa
 
-            vocab, windows = shared.value
-            for batch in batches:
-                n_words, spans, items = [], [], []
-                for text in batch.column("text").to_pylist():
-                    words = words_of(text)
-                    hit, found = scan(words, vocab, windows) if words and windows else ([], set())
-                    n_words.append(len(words))
-                    spans.append([{"a": a, "b": b} for a, b in hit])
-                    items.append(sorted(str(x) for x in found))
-                cols = [
-                    batch.column("__keep"),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                    pa.array(items, pa.list_(pa.string())),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["__keep", "n_words", "spans", "items"])
-
-        return src.mapInArrow(run, out_schema)
-
-    parts = [over(x) for x in blocks(bench, n, block_words)] or [over(({}, {}))]
-    if len(parts) == 1:
-        return parts[0]
-    # Rows have no key of their own, and repeated rows get equal hits, so equal rows may merge and are counted apart.
-    every = parts[0]
+            for b in batches:
+                got = [(i, *find(index.value, t)) for i, t in zip(b.column("__row").to_pylist(), b.column("text").to_pylist())]
+                got = [(i, [{"a": a, "b": z} for a, z in spans], [str(x) for x in items]) for i, spans, items in got if spans]
+                cols = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array([g[2] for g in got], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, ["__row", "spans", "items"])
+
+        return numbered.select("__row", "text").mapInArrow(run, f"__row long, spans {SPANS}, items array<string>")
+
+    every = over(parts[0])
     for p in parts[1:]:
-        every = every.unionByName(p)
-    grouped = every.groupBy("__keep", "n_words").agg(
-        (F.count("*") / len(parts)).cast("int").alias("__n"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__s"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    kind = "array<struct<a:int,b:int>>"
-    joined = F.aggregate(
-        F.col("__s").cast(kind),
-        F.array().cast(kind),
-        lambda acc, x: F.when(
-            F.coalesce(F.get(acc, F.size(acc) - 1)["b"] >= x["a"], F.lit(False)),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(F.get(acc, F.size(acc) - 1)["b"], x["b"]).alias("b"))).cast(kind),
-            ),
-        ).otherwise(F.concat(acc, F.array(x).cast(kind))),
-    )
-    return grouped.select("__keep", "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "__n"))).drop("col")
-
-
-def report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    found = find_hits(docs, bench, **options)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"])
-    return found.select(
-        "__keep.doc_id",
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"),
-    )
-
-
-def clean(docs: DataFrame, bench: DataFrame, n: int = N, max_share: float = MAX_SHARE) -> DataFrame:
+        every = every.unionByName(over(p))
+    hits = scratch.put(every.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "hits")
+
+    def run(batches):
+        for b in batches:
+            found = zip(b.column("spans").to_pylist(), b.column("items").to_pylist())
+            yield from emit(b, [(merge([(s["a"], s["b"]) for s in spans or ()]), set(items or ())) for spans, items in found])
+
+    return numbered.join(hits, "__row", "left").select("__keep", "text", "spans", "items").mapInArrow(run, schema)
+
+
+def report(docs: DataFrame, bench: DataFrame, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+    def emit(b, hits):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([b.column("__keep").flatten()[0], *report_rows(b, b.column("text").to_pylist(), hits)], names)
+
+    return scan_blocks(docs, bench, n, block_words, ["doc_id"], emit, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def clean(docs: DataFrame, bench: DataFrame, n: int = N, max_share: float = MAX_SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the hit spans, and without documents of which more than max_share was hit. n_chars follows the text."""
     names = docs.columns
-    found = find_hits(docs, bench, carry=names, n=n)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"])
-    left = found.filter(n_hit <= F.col("n_words") * max_share)
-    old, hit = F.col("__keep"), F.size("spans") > 0
-    text = F.when(hit, cut_spans(old["text"], F.col("spans"))).otherwise(old["text"])
-    own = {"text": F.col("__text"), "n_chars": F.when(hit, F.length("__text")).otherwise(old["n_chars"]) if "n_chars" in names else None}
-    return left.withColumn("__text", text).select(*[(own[c] if c in own else old[c]).alias(c) for c in names])
-
-
-@F.udf(StringType())
-def cut_spans(text, spans):
-    """For the few contaminated rows only. The words' own bytes and what stands between two hit words go."""
-    if text is None:
-        return None
+    others = [c for c in names if c != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def emit(b, hits):
+        import pyarrow as pa
+
+        texts = b.column("text").to_pylist()
+        kept = dict(zip(others, b.column("__keep").flatten()))
+        stays, sizes = [True] * len(texts), kept["n_chars"].to_pylist() if "n_chars" in kept else None
+        for i, (spans, _) in enumerate(hits):
+            if spans:
+                stays[i] = sum(z - a for a, z in spans) <= len(words_of(texts[i])) * max_share
+                texts[i] = cut_spans(texts[i], spans)
+                if sizes:
+                    sizes[i] = len(texts[i])
+        if sizes:
+            kept["n_chars"] = pa.array(sizes, kept["n_chars"].type)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else kept[c] for c in names], names).filter(pa.array(stays))
+
+    return scan_blocks(docs, bench, n, block_words, others, emit, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between two of one span."""
     raw = text.encode("utf-8", "surrogatepass")
     flat = raw.translate(KEEP)
     at, i, n = [], 0, len(flat)
@@ -193,9 +203,9 @@ def cut_spans(text, spans):
         at.append((i, j))
         i = j
     out, last = [], 0
-    for s in spans:
-        out.append(raw[last : at[s["a"]][0]])
-        last = at[s["b"] - 1][1]
+    for a, b in spans:
+        out.append(raw[last : at[a][0]])
+        last = at[b - 1][1]
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 

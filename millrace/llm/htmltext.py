@@ -8,8 +8,9 @@ headings, paragraphs, quotes, lists and tables beside it unless they are mostly
 Its blocks come out in page order.
 
 Null or empty html gives an empty text, as does a page without a paragraph. Truncated
-pages count as far as they go; nothing is capped. Line breaks are white space. Repeated
-rows get equal results. Only page_id, url and html are read.
+pages count as far as they go; nothing is capped, and time grows in proportion to a page
+however deep it nests. Ties go to the container that ends first. Line breaks are white
+space. Repeated rows get equal results. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -40,16 +41,42 @@ AWAY = re.compile(
     r"related|recommended|widgets?|popup|modal|overlay|toolbar|pagination|pager|skip|legal|copyright|disclaimer)(?:$|[\s_-])", re.I)
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 LEAST = 1e-9
+MENU = 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "away", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "away", "inside", "score", "chars", "linked", "commas", "links", "own")
 
-    def __init__(self, tag: str, parent: "Node | None", away: bool):
-        self.tag, self.parent, self.away = tag, parent, away
+    def __init__(self, tag: str, parent: "Node | None", away: bool, inside: bool = False):
+        self.tag, self.parent, self.away, self.inside = tag, parent, away, inside
         self.children: list = []
         self.score = 0.0
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.commas = self.links = self.own = 0
+
+
+class Open:
+    """The nodes that are open, and for each tag where they stand, so that no search climbs."""
+
+    def __init__(self, root: Node):
+        self.path, self.blocks, self.at = [root], [], {}
+
+    def push(self, node: Node) -> None:
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.path))
+        self.at.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+
+    def close(self, i: int) -> None:
+        """Closes the i-th node and all within it."""
+        while len(self.path) > i:
+            node = self.path.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost node with one of the tags; -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
 
 def unwanted(tag: str, attributes: str, inside: bool) -> bool:
@@ -67,73 +94,58 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def build(html: str) -> Node:
-    root = top = Node("html", None, False)
+    root = Node("html", None, False)
+    opened = Open(root)
+    path = opened.path
     at, size = 0, len(html)
     find = TOKEN.search
     while at < size:
         m = find(html, at)
         if m is None:
-            top.children.append(html[at:])
+            path[-1].children.append(html[at:])
             break
         if m.start() > at:
-            top.children.append(html[at : m.start()])
+            path[-1].children.append(html[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            node = top
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                top = node.parent
+            if (i := opened.last((tag,))) > 0:
+                opened.close(i)
             continue
         if tag == "br":
-            top.children.append(" ")
+            path[-1].children.append(" ")
         if tag in VOID:
             if tag == "hr":
-                top.children.append(Node("hr", top, True))
+                path[-1].children.append(Node("hr", path[-1], True))
             continue
-        if tag in ("html", "body") and top.tag == "html":
+        if tag == "html" and len(path) == 1:
             continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else size
             continue
-        if tag in BLOCK:
-            node = top
-            while node is not None and node.tag != "p" and (node.tag not in BLOCK):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                top = node.parent
+        if tag in BLOCK and opened.blocks and path[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
         if tag in ENDS:
             ended, stops = ENDS[tag]
-            node = top
-            while node is not None and node.tag not in ended and node.tag not in stops:
-                node = node.parent
-            if node is not None and node.tag in ended:
-                top = node.parent
-        elif tag in ("body", "article", "main", "section", "footer", "nav"):
-            # a head that was never closed holds no content
-            node = top
-            while node is not None and node.tag != "head":
-                node = node.parent
-            if node is not None:
-                top = node.parent
-        inside = False
-        node = top
-        while node is not None and not inside:
-            inside, node = node.tag in ("article", "main"), node.parent
-        node = Node(tag, top, unwanted(tag, m[3], inside))
-        top.children.append(node)
+            i = opened.last((*ended, *stops))
+            if i > 0 and path[i].tag in ended:
+                opened.close(i)
+        elif tag in ("body", "article", "main", "section", "footer", "nav") and (i := opened.last(("head",))) > 0:
+            opened.close(i)  # a head that was never closed holds no content
+        inside = opened.last(("article", "main")) > 0
+        node = Node(tag, path[-1], unwanted(tag, m[3], inside), inside or tag in ("article", "main"))
+        path[-1].children.append(node)
         if not m[3].endswith("/"):
-            top = node
+            opened.push(node)
     return root
 
 
 def measure(root: Node) -> list[Node]:
-    """Characters and linked characters below each node; the nodes, children first."""
+    """Characters, linked characters and links below each node, its own characters and commas outside inner blocks; the nodes, children first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -144,11 +156,17 @@ def measure(root: Node) -> list[Node]:
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c.strip())
+                node.own += len(c.strip())
+                node.commas += c.count(",")
             elif not c.away:
                 node.chars += c.chars
                 node.linked += c.linked
+                node.links += c.links
+                if c.tag not in BLOCK:
+                    node.commas += c.commas
+                    node.own += c.own
         if node.tag == "a":
-            node.linked = node.chars
+            node.linked, node.links = node.chars, 1
     return order
 
 
@@ -156,17 +174,12 @@ def clear(node: Node) -> float:
     return 1 - node.linked / node.chars if node.chars else 0.0
 
 
-def commas(node: Node) -> int:
-    return sum(c.count(",") if isinstance(c, str) else commas(c) if not c.away and c.tag not in BLOCK else 0 for c in node.children)
-
-
 def best(root: Node) -> list[Node]:
     """The best container and the siblings kept with it, in page order."""
     order = measure(root)
     for node in order:
-        own = node.tag in PARAGRAPH or node.tag in BLOCK and any(isinstance(c, str) and c.strip() for c in node.children)
-        if own and node.chars:
-            points = (1 + commas(node) + min(node.chars / 100, 3)) * clear(node)
+        if node.chars and (node.tag in PARAGRAPH or node.tag in BLOCK and node.own):
+            points = (1 + node.commas + min(node.chars / 100, 3)) * clear(node)
             up = node.parent if node.tag in PARAGRAPH else node
             for share in (1, 0.5, 0.25):
                 if up is None:
@@ -197,6 +210,11 @@ def best(root: Node) -> list[Node]:
     return kept
 
 
+def menu(node: Node) -> bool:
+    """A list of MENU links or more with hardly a word between them, outside article and main."""
+    return not node.inside and node.tag in ("div", "section", "ul", "ol") and node.links >= MENU and clear(node) < 0.1
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     out: list[str] = []
     line: list[str] = []
@@ -214,7 +232,7 @@ def blocks(nodes: list[Node]) -> list[str]:
         if isinstance(item, str):
             line.append(item)
             continue
-        if item.away:
+        if item.away or menu(item):
             if item.tag in BLOCK:
                 close()
             continue
@@ -223,8 +241,6 @@ def blocks(nodes: list[Node]) -> list[str]:
         if not leaving:
             stack.append((item, True))
             stack.extend((c, False) for c in reversed(item.children))
-            if item.tag in BLOCK and item.tag not in PARAGRAPH and item.tag not in ("table", "ul", "ol", "article", "main", "body", "html") and item.chars and clear(item) < 0.3:
-                stack[len(stack) - len(item.children) :] = []  # a list of links within the article
     close()
     return out
 

@@ -2,14 +2,15 @@
 
 Each language has probabilities of the pieces of a fixed public vocabulary. A word's
 probability is the sum over all its segmentations into pieces, by a forward algorithm;
-a text's is the product over its words (runs of letters, lower case, a mark in front).
-The probabilities are learned by expectation maximisation over segmentations, from the
-words of a bounded sample of texts of each language (SAMPLE texts expected of each).
+a text's is the product over its words (runs of letters of any length, lower case, a mark
+in front). The probabilities are learned by expectation maximisation over segmentations,
+from all words of a bounded sample of texts: SAMPLE texts expected of each language, TOTAL
+of all languages together. The sums are kept in range by a scale that is taken out
+every SCALED letters, so no word is too long.
 
 Null texts and those without a letter give `und` and score 0; so does every text when
 nothing could be learned. Equal texts get equal results, ties go to the first language
-by name. Only text is scored; text, lang and doc_id are read for learning. Words longer
-than LONGEST letters are scored in parts of that length.
+by name. Only text is scored; text, lang and doc_id are read for learning.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import id_remainder
 
-SAMPLE = 1000
-#: Word types of a language that learning uses, the most frequent first.
-TYPES = 30_000
+#: Sampled texts of a language, and of all languages.
+SAMPLE, TOTAL = 1000, 64_000
 ROUNDS = 4
-LONGEST, PIECE = 32, 8
 FLOOR = 1e-9
+#: Letters after which the running sums are scaled: FLOOR to that power is a number still.
+SCALED = 24
 CACHE = 300_000
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,77 +41,102 @@ def words_of(text: str | None) -> list[str]:
 
 
 def vocabulary(path: str) -> list[str]:
-    """The vocabulary's pieces of letters, with or without the mark, of PIECE characters at most."""
+    """The vocabulary's pieces of letters, with or without the mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= PIECE and p != MARK and WORD.fullmatch(p.removeprefix(MARK)))
+    return sorted(p for p in pieces if p != MARK and WORD.fullmatch(p.removeprefix(MARK)))
 
 
 class Lattice:
-    """Words of one length, and for each place the index of the piece that lies there (0: none)."""
+    """Words of one length, and for each place the index of the piece that lies there (0: none). longest: letters of the longest piece."""
 
-    def __init__(self, words: list[str], index: dict[str, int]):
-        self.n, self.size = len(words[0]), len(words)
+    def __init__(self, words: list[str], index: dict[str, int], longest: int):
+        self.n, self.size, self.longest = len(words[0]), len(words), longest
         get = index.get
         self.at = {}
         for j in range(1, self.n + 1):
-            for k in range(max(0, j - PIECE), j):
+            for k in range(max(0, j - longest), j):
                 ids = [get(w[k:j], 0) for w in words]
                 if any(ids):
-                    self.at[k, j] = np.array(ids)
+                    self.at[k, j] = np.array(ids, np.int32)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """p: pieces x columns, row 0 zero. Sums over all segmentations, places x words x columns; an unknown letter costs FLOOR."""
-        a = np.zeros((self.n + 1, self.size, p.shape[1]))
-        a[0] = 1
+        """p: pieces x columns, row 0 zero. Logarithms of the sums over all segmentations, words x columns; an unknown letter costs FLOOR."""
+        recent = {0: np.ones((self.size, p.shape[1]))}
+        logs = np.zeros((self.size, p.shape[1]))
         for j in range(1, self.n + 1):
+            a = recent[j - 1] * FLOOR
+            for k in range(max(0, j - self.longest), j):
+                if (k, j) in self.at:
+                    a += recent[k] * p[self.at[k, j]]
+            recent[j] = a
+            recent.pop(j - self.longest, None)
+            if j % SCALED == 0:
+                scale = np.maximum(a, 1e-300)
+                logs += np.log(scale)
+                for k in recent:
+                    recent[k] /= scale
+        return logs + np.log(np.maximum(recent[self.n], 1e-300))
+
+    def sums(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For one language: scaled forward and backward sums by place, and what each place's scale has taken out (logs)."""
+        a, b = np.zeros((self.n + 1, self.size)), np.zeros((self.n + 1, self.size))
+        out_a, out_b = np.zeros_like(a), np.zeros_like(b)
+        a[0] = b[self.n] = 1
+        for j in range(1, self.n + 1):
+            # sums of earlier places are brought to the scale of the place before
             a[j] = a[j - 1] * FLOOR
-            for k in range(max(0, j - PIECE), j):
+            out_a[j] = out_a[j - 1]
+            for k in range(max(0, j - self.longest), j):
                 if (k, j) in self.at:
-                    a[j] += a[k] * p[self.at[k, j]]
-        return a
-
-    def expected(self, p: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
-        """Adds the expected counts of the pieces, of one language."""
-        a = self.forward(p[:, None])[:, :, 0]
-        b = np.zeros_like(a)
-        b[self.n] = 1
+                    a[j] += a[k] * np.exp(out_a[k] - out_a[j]) * p[self.at[k, j]] if j > SCALED else a[k] * p[self.at[k, j]]
+            if j % SCALED == 0:
+                scale = np.maximum(a[j], 1e-300)
+                a[j] /= scale
+                out_a[j] += np.log(scale)
         for k in range(self.n - 1, -1, -1):
             b[k] = b[k + 1] * FLOOR
-            for j in range(k + 1, min(self.n, k + PIECE) + 1):
+            out_b[k] = out_b[k + 1]
+            for j in range(k + 1, min(self.n, k + self.longest) + 1):
                 if (k, j) in self.at:
-                    b[k] += p[self.at[k, j]] * b[j]
+                    b[k] += p[self.at[k, j]] * b[j] * np.exp(out_b[j] - out_b[k]) if self.n - k > SCALED else p[self.at[k, j]] * b[j]
+            if (self.n - k) % SCALED == 0:
+                scale = np.maximum(b[k], 1e-300)
+                b[k] /= scale
+                out_b[k] += np.log(scale)
+        return a, b, out_a, out_b
+
+    def expected(self, p: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+        """Adds the expected counts of the pieces, of one language."""
+        a, b, out_a, out_b = self.sums(p)
+        whole, out_whole = np.maximum(a[self.n], 1e-300), out_a[self.n]
         for (k, j), ids in self.at.items():
-            np.add.at(out, ids, counts * a[k] * p[ids] * b[j] / a[self.n])
+            share = a[k] * p[ids] * b[j] / whole
+            if self.n >= SCALED:
+                share *= np.exp(out_a[k] + out_b[j] - out_whole)
+            out += np.bincount(ids, counts * share, len(out))
         out[0] = 0
 
 
-def lattices(words: list[str], index: dict[str, int]) -> list[tuple[list[int], Lattice]]:
+def lattices(words: list[str], index: dict[str, int], longest: int) -> list[tuple[list[int], Lattice]]:
     by = defaultdict(list)
     for i, w in enumerate(words):
         by[len(w)].append(i)
-    return [(rows, Lattice([words[i] for i in rows], index)) for rows in by.values()]
-
-
-def parts(word: str) -> list[str]:
-    return [MARK + word[:LONGEST], *(word[i : i + LONGEST] for i in range(LONGEST, len(word), LONGEST))]
+    return [(rows, Lattice([words[i] for i in rows], index, longest)) for rows in by.values()]
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> tuple[list[str], dict[str, int], np.ndarray]:
     """Languages, index of the pieces that any language uses, and their probabilities by language."""
     index = {p: i + 1 for i, p in enumerate(pieces)}
+    longest = max(map(len, pieces), default=1)
     langs, columns = sorted(counts), []
     for lang in langs:
-        freq = defaultdict(int)
-        for w, n in counts[lang].items():
-            for x in parts(w):
-                freq[x] += n
-        words = list(freq)
-        n = np.array([freq[w] for w in words], float)
-        grid = lattices(words, index)
-        p = np.full(len(pieces) + 1, 1 / len(pieces))
+        words = sorted(counts[lang])
+        n = np.array([counts[lang][w] for w in words], float)
+        grid = lattices([MARK + w for w in words], index, longest)
+        p = np.full(len(pieces) + 1, 1 / max(len(pieces), 1))
         p[0] = 0
         for _ in range(ROUNDS):
             out = np.zeros_like(p)
@@ -118,8 +144,8 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> tuple[list[str]
                 lattice.expected(p, n[rows], out)
             p = out / out.sum() if out.sum() else p
         columns.append(p)
-    every = np.array(columns).T
-    used = np.flatnonzero(every.max(axis=1) > 1e-7)
+    every = np.array(columns).T if columns else np.zeros((len(pieces) + 1, 0))
+    used = np.flatnonzero(every.max(axis=1, initial=0) > 1e-7)
     kept = {pieces[i - 1]: k + 1 for k, i in enumerate(used.tolist())}
     table = np.vstack([np.zeros((1, len(langs))), every[used] + 1e-7])
     return langs, kept, table
@@ -130,6 +156,7 @@ class Scorer:
 
     def __init__(self, langs, index, table):
         self.langs, self.index, self.table = langs, index, table
+        self.longest = max(map(len, index), default=1)
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((1024, len(langs)))
 
@@ -139,10 +166,9 @@ class Scorer:
         new = [w for w in words if w not in self.rows]
         if not new:
             return
-        pieces = [(i, x) for i, w in enumerate(new) for x in parts(w)]
         logs = np.zeros((len(new), len(self.langs)))
-        for rows, lattice in lattices([x for _, x in pieces], self.index):
-            np.add.at(logs, [pieces[r][0] for r in rows], np.log(np.maximum(lattice.forward(self.table)[lattice.n], 1e-300)))
+        for rows, lattice in lattices([MARK + w for w in new], self.index, self.longest):
+            logs[rows] = lattice.forward(self.table)
         at = len(self.rows)
         while at + len(new) > len(self.logs):
             self.logs = np.vstack([self.logs, np.zeros_like(self.logs)])
@@ -174,7 +200,7 @@ class Scorer:
         return langs, scores
 
 
-def learn(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, types: int = TYPES):
+def learn(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, total: int = TOTAL):
     """A model from the rows of docs that have a language."""
     if path is None:
         import public_tokenizers
@@ -184,8 +210,9 @@ def learn(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, types:
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], {}, np.zeros((1, 0))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])[F.col("lang")]
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
+    each = min(sample, total / len(sizes))
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])[F.col("lang")]
+    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
 
     def count(batches):
         import pyarrow as pa
@@ -198,16 +225,11 @@ def learn(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, types:
             keys = list(got)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([got[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
-    words = picked.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = {}
-    for lang in sizes:
-        top = words.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(types).select("word", "n") if len(sizes) > 64 else None
-        counts[lang] = {} if top is None else {r["word"]: r["n"] for r in top.collect()}
-    if len(sizes) <= 64:
-        # a bounded sample's word types: few enough for the driver
-        got = words.toPandas().sort_values(["n", "word"], ascending=[False, True]).groupby("lang").head(types)
-        for lang, part in got.groupby("lang"):
-            counts[lang] = dict(zip(part["word"], part["n"]))
+    # the word types of a bounded sample: few enough for the driver
+    words = picked.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
+    for lang, w, n in zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n"))):
+        counts[lang][w] = n
     return fit(counts, vocabulary(path))
 
 

@@ -3,11 +3,12 @@
 A text is made canonical (ASCII lower case, copyright lines out, equivalent spellings,
 punctuation and white space to single blanks) and hashed; the digests of entire texts
 are joined to those of known licences. Every line that a text has is looked up alike, so
-that licence notices inside a document are found too. The known texts are a fixed list,
-which bounds the broadcast side of the join.
+that licence notices inside a document are found too; a text of several lines within a
+larger document is not. The known texts are a fixed list (KNOWN as texts, FULL as digests),
+which bounds the broadcast side of the join. A digest has one licence.
 
-Null and empty texts have the digest of an empty text, and no licence. Repeated rows
-get equal results. Only doc_id and text are read.
+Null and empty texts have the digest of an empty text, and no licence. Texts are hashed
+whole, however long. Repeated rows get equal results. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9])[^\n]*$"
+#: Lines of a holder (a sign or year after the word, or a year later in the line) and the reservation that follows them.
+COPYRIGHT = r"(?m)^[ \t]*(?:(?:copyright|\(c\)|©)[ \t:]*(?:\(c\)|©|[0-9])[^\n]*|copyright\b[^\n]*\b(?:19|20)[0-9][0-9]\b[^\n]*|all rights reserved[. \t]*)$"
 #: Equivalent spellings, applied to lower-case text in this order.
 SPELLINGS = (
     (r"licenc(e|es|ed|ing)\b", "licens$1"),
@@ -90,6 +92,24 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: SHA-256 of the canonical form of entire published texts, as distributions of them carry them. Fixed values.
+FULL = (
+    ("Apache-2.0", "1dde100b4dd613df1b9b8ce5929fb32d7b58e4d423cd9555b0c905f6a6d6117b"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "22c9324e5634aa07c32060365e6191d4f9ec61fafc6091ce7394333c6d7db95e"),
+)
+
 
 def canonical(text):
     """Column: the canonical form of a text column."""
@@ -109,13 +129,13 @@ def canonical_text(text: str) -> str:
     return re.sub(r"[^0-9a-z\x80-\U0010FFFF]+", " ", t).strip(" ")
 
 
-def digests(known=KNOWN) -> dict[str, str]:
-    return {hashlib.sha256(canonical_text(x).encode()).hexdigest(): name for name, x in known}
+def digests(known=KNOWN, full=FULL) -> dict[str, str]:
+    return {**{digest: name for name, digest in full}, **{hashlib.sha256(canonical_text(x).encode()).hexdigest(): name for name, x in known}}
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=KNOWN, full=FULL) -> DataFrame:
     """doc_id, digest, license_id of the entire text, line_licenses (ids of its lines, sorted, comma-joined)."""
-    table = digests(known)
+    table = digests(known, full)
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     t = F.coalesce(F.col("text"), F.lit(""))
     of_lines = F.transform(F.filter(F.split(t, "\n"), lambda x: x != ""), lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256)))

@@ -11,12 +11,12 @@ their slot as a whole, and are told apart by their spelling, byte after byte, wi
 probabilities counted over these words.
 
 The counts cover all documents, and so does training: every partition trains a copy of
-the network on all its tokens, starting from a common state (the mean after a short
-first round), and the copies are averaged by their numbers of tokens, in groups of FAN
-at a time, so no task gathers more than FAN copies.
+the network on all its tokens, from one common start, and the copies are averaged by their
+numbers of tokens, in groups of FAN at a time, so no task gathers more than FAN copies.
 
-Null and empty texts have no tokens, logprob 0 and no mean. Repeated rows get equal
-scores. With no token at all the network stays as it began. Only doc_id and text are read.
+Null and empty texts have no tokens, logprob 0 and no mean. Texts are scored whole, however
+long. Repeated rows get equal scores; words with equal counts are numbered in byte order.
+With no token at all the network stays as it began. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ PER_CLASS = VOCABULARY // CLASSES
 PAD = -1
 WINDOW, WIDTH, HIDDEN = 2, 8, 16
 BATCH = 8192
-WARM = 60_000
+RATE = 0.05
 FAN = 32
 LEAST = 5
 END = 256
@@ -232,7 +232,7 @@ def frequent(docs: DataFrame, scratch: Scratch) -> tuple[list[bytes], Shares]:
     return top, Shares(top, counts, sums[:BUCKETS], sums[BUCKETS:].reshape(END + 1, END + 1))
 
 
-def trained(docs: DataFrame, top: list[bytes], slots: np.ndarray, start: tuple[np.ndarray, np.ndarray], scratch: Scratch, name: str, rate: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trained(docs: DataFrame, top: list[bytes], slots: np.ndarray, start: tuple[np.ndarray, np.ndarray], scratch: Scratch, name: str, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """The mean of the copies that the partitions train, from start: flat and e. A row of e is averaged by its uses, over the partitions that use it."""
     shared = docs.sparkSession.sparkContext.broadcast((top, slots, start))
     names = ["row", "part", "n", "raw", *(f"v{i}" for i in range(WIDTH))]
@@ -249,19 +249,13 @@ def trained(docs: DataFrame, top: list[bytes], slots: np.ndarray, start: tuple[n
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 ids, at, _, _ = places(b.column("text").slice(k, 256).to_pylist(), numbers)
-                if most:
-                    at = at[: most - done]
                 # every batch takes places of the whole slice
                 at = at[np.random.default_rng(done).permutation(len(at))]
                 for i in range(0, len(at), BATCH):
                     net.run(ids, at[i : i + BATCH], rate, memory)
-                # padding and the words next to the last place count as well
+                # padding counts as well
                 np.add.at(uses, ids, 1)
                 done += len(at)
-                if most and done >= most:
-                    break
-            if most and done >= most:
-                break
         if done:
             part = TaskContext.get().partitionId()
             none = [pa.nulls(1, pa.float64())] * WIDTH
@@ -301,8 +295,7 @@ def train(docs: DataFrame):
     scratch = Scratch(docs.sparkSession, "lmscore")
     top, shares = frequent(docs, scratch)
     net = Network(slots=shares.slots)
-    start = trained(docs, top, shares.slots, (net.flat, net.e), scratch, "warm", 0.05, WARM)
-    return top, shares, trained(docs, top, shares.slots, start, scratch, "full", 0.02)
+    return top, shares, trained(docs, top, shares.slots, (net.flat, net.e), scratch, "full", RATE)
 
 
 def score(docs: DataFrame, model) -> DataFrame:

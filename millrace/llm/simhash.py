@@ -7,13 +7,18 @@ exclusive-or and bit counts, again only between the parts whose population count
 the four 16-bit words) are within the radius, so no link is missed. A pair of tiles
 gives a spanning forest of its links, and components come from those forests.
 
-Tiles have TILE fingerprints at least and a PARTS-th of all at most, so what is copied
-to partner tiles stays a fixed multiple of the fingerprints. Copies of a text share one
-fingerprint and are compared once, however many they are.
+Tiles have TILE fingerprints at least and a PARTS-th of all, LARGEST_TILE at most: two tiles
+are what a task holds, and their comparison bounds how long it runs. So beyond PARTS times
+LARGEST_TILE fingerprints, the copies of tiles grow with the square as the comparisons do,
+at four megabytes for some 10^10 comparisons. Copies of a text share one fingerprint and are
+compared once, however many they are; rows of a fingerprint that many rows share are dealt
+over several tasks where they get their component.
 
 Null and empty texts, and those without a word, have fingerprint zero and are linked
 like any other. Rows without a doc_id count for no id; their component_id is the least
-id that they reach, null if there is none. Repeated rows stay. Only doc_id and text are read.
+id that they reach, null if there is none. Repeated rows stay in the report. Only doc_id and
+text are read. keep_first keeps one row of each component: that of the least doc_id (rows
+without one come last; ties by a hash of id and text), one of equal rows.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch
+from millrace.llm.common import Scratch, dealt_join
 from millrace.llm.components import components
 
 RADIUS = 3
@@ -53,17 +58,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
-    src = docs.select("doc_id", "text")
+    """docs' columns but text, and fp (the 64 bits as a long)."""
+    names = [c for c in docs.columns if c != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             got = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got.view(np.int64))], [*names, "fp"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +159,7 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, ti
     around = places.select("h", "l", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])).alias("d"))
     around = around.select(F.col("h").alias("h2"), F.col("l").alias("l2"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part2"), (F.col("h") + F.col("d.i")).alias("h"), (F.col("l") + F.col("d.j")).alias("l"))
     other = (F.col("h2") * 64 + F.col("l2")).cast("long") * 2**32 + F.col("part2")
-    pairs = made.select("id", "h", "l").join(F.broadcast(around), ["h", "l"]).withColumn("id2", other).filter("id <= id2").select("id", "id2")
+    pairs = made.select("id", "h", "l").join(around, ["h", "l"]).withColumn("id2", other).filter("id <= id2").select("id", "id2")
     both = pairs.join(made.select("id", "raw"), "id").join(made.select(F.col("id").alias("id2"), F.col("raw").alias("raw2")), "id2")
 
     def compare(batches):
@@ -169,23 +175,38 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, ti
     return both.repartition(4 * n).mapInArrow(compare, "a long, b long")
 
 
+def rooted(marked: DataFrame, scratch: Scratch, radius: int, tile: int) -> DataFrame:
+    """The fingerprints of marked (doc_id, fp): fp, root (of its component), first (least doc_id of fp), c (rows of fp)."""
+    distinct = scratch.put(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")), "distinct")
+    edges = scratch.put(link_fingerprints(distinct.select("fp"), scratch, radius, tile), "edges")
+    roots = components(edges, scratch).select(F.col("node").alias("fp"), "root")
+    out = scratch.put(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "c"), "rooted")
+    scratch.drop("tiles", "edges", "distinct")
+    return out
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (hex), component_id."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.put(fingerprints(docs), "marked")
-    distinct = scratch.put(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    edges = scratch.put(link_fingerprints(distinct.select("fp"), scratch, radius, tile), "edges")
-    roots = components(edges, scratch).select(F.col("node").alias("fp"), "root")
-    rooted = scratch.put(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = scratch.put(rooted.join(least, "root").select("fp", "component_id"), "named")
-    scratch.drop("tiles", "edges", "rooted", "distinct")
-    return marked.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that of its least doc_id (one row of it); docs' columns. Rows without a doc_id stay."""
-    names = docs.columns
-    first = near_duplicates(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    with_id = docs.filter("doc_id is not null").join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    return with_id.dropDuplicates(["doc_id"]).select(*names).unionByName(docs.filter("doc_id is null"))
+    marked = scratch.put(fingerprints(docs.select("doc_id", "text")), "marked")
+    roots = rooted(marked, scratch, radius, tile)
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = scratch.put(roots.join(least, "root").select("fp", "component_id", "c"), "named")
+    scratch.drop("rooted")
+    told = dealt_join(marked, named.drop("c"), ["fp"], named.select("fp", "c"), ["doc_id"], "left")
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each component, that of its least doc_id; docs' columns."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    # a row by 96 bits of its id and text
+    told, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit("\0"))
+    keys = {"__r1": F.xxhash64(told, text), "__r2": F.hash(text, told)}
+    marked = scratch.put(fingerprints(docs.select("doc_id", "text", *[v.alias(k) for k, v in keys.items()])), "marked")
+    roots = rooted(marked.select("doc_id", "fp"), scratch, radius, tile)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)
+    least = marked.groupBy("fp").agg(F.min(row).alias("row")).join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    least = scratch.put(least.select("row.__r1", "row.__r2").distinct(), "least")
+    scratch.drop("marked", "rooted")
+    return docs.withColumns(keys).join(least, list(keys), "left_semi").dropDuplicates(list(keys)).select(*[F.col(f"`{c}`") for c in docs.columns])

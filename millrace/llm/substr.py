@@ -18,28 +18,31 @@ the same or another text. Strings are judged on the input; none crosses texts.
    common-prefix values; neighbours that share SPAN bytes are repeats.
 5. The covered stretches go back to their texts.
 
-A text of fewer than SPAN bytes loses nothing; null is empty. Texts are matched by a
-hash of their id and bytes, so equal rows, ids that repeat and null ids are told apart
+A text of fewer than SPAN bytes loses nothing; null is empty. Texts are matched by 96 bits of
+two hashes of their id and bytes, so equal rows, ids that repeat and null ids are told apart
 by content, and each of two equal rows loses what repeats. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, dealt_join
-from millrace.llm.suffixsort import suffixes
+from millrace.llm.suffixsort import Store, suffixes
 
 SPAN, ANCHOR = 200, 48
 WINDOWS = SPAN - ANCHOR + 1
 CROWD = 256
 CHUNK = 1 << 19
 #: Bytes of pieces that a shard holds about.
-SHARD = 64 << 20
+SHARD = 8 << 20
+#: Bytes that the sort of a shard may hold; what is larger lies in files.
+MEMORY = 192 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 TABLE = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -102,17 +105,17 @@ def segments(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return at, count, p - at, anchor[p].view(np.int64), content.view(np.int64)
 
 
-SEGMENT = "row long, at long, n int, lead int, anchor long, content long"
+SEGMENT = "row long, row2 int, at long, n int, lead int, anchor long, content long"
 
 
 def find_segments(docs: DataFrame) -> DataFrame:
-    """docs: row, raw. A row per segment."""
+    """docs: row, row2, raw. A row per segment."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = b.column("row").to_numpy(zero_copy_only=False)
+            rows, rows2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "row2"))
             raw = b.column("raw")
             data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
             wide = raw.type == pa.large_binary()
@@ -126,8 +129,8 @@ def find_segments(docs: DataFrame) -> DataFrame:
                 if len(at):
                     k = np.searchsorted(offsets[i + 1 : j + 1] - base, at, "right")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[i + k]), pa.array(at - (offsets[i + k] - base)), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor), pa.array(content)],
-                        ["row", "at", "n", "lead", "anchor", "content"],
+                        [pa.array(rows[i + k]), pa.array(rows2[i + k]), pa.array(at - (offsets[i + k] - base)), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor), pa.array(content)],
+                        ["row", "row2", "at", "n", "lead", "anchor", "content"],
                     )
                 i = j
 
@@ -139,10 +142,10 @@ PIECE = "anchor long, content long, times long, lead int, n int, raw binary, low
 
 
 def cut_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of the wanted segments (row, at, n and what else is in PIECE), from docs (row, raw)."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "n", "lead", "anchor", "content", "times")).alias("segs"))
+    """The bytes of the wanted segments (row, row2, at, n and what else is in PIECE), from docs (row, row2, raw)."""
+    lists = wanted.groupBy("row", "row2").agg(F.collect_list(F.struct("at", "n", "lead", "anchor", "content", "times")).alias("segs"))
     # equal rows hold equal bytes: one serves
-    both = docs.join(lists, "row").select("row", "raw", "segs")
+    both = docs.join(lists, ["row", "row2"]).select("row", "row2", "raw", "segs")
 
     def run(batches):
         import pyarrow as pa
@@ -150,10 +153,10 @@ def cut_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         done = None
         for b in batches:
             out = {k: [] for k in ("anchor", "content", "times", "lead", "n", "raw", "low", "high", "key")}
-            for row, raw, segs in zip(*(b.column(c).to_pylist() for c in ("row", "raw", "segs"))):
-                if row == done:
+            for row, row2, raw, segs in zip(*(b.column(c).to_pylist() for c in ("row", "row2", "raw", "segs"))):
+                if (row, row2) == done:
                     continue
-                done = row
+                done = row, row2
                 for s in segs:
                     x = raw[s["at"] : s["at"] + s["n"] - 1 + SPAN]
                     for k in ("anchor", "content", "times", "lead", "n"):
@@ -205,45 +208,80 @@ def split_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, PIECE)
 
 
+class Spool:
+    """Bytes one after the other: in memory, beyond a size in a file without a name."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.parts, self.file = most, 0, [], None
+
+    def add(self, parts: list[bytes]) -> None:
+        self.parts += parts
+        self.held += sum(map(len, parts))
+        if self.held > self.most:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.writelines(self.parts)
+            self.parts, self.held = [], 0
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(b"".join(self.parts), np.uint8)
+        self.file.writelines(self.parts)
+        self.parts = []
+        self.file.flush()
+        return np.memmap(self.file, np.uint8, "r")
+
+
 def sort_shards(pieces: DataFrame, memory: int) -> DataFrame:
     """anchor, content, lead of the piece's first string, and the stretches of repeated strings (from, to) as distances before the anchor."""
 
     def run(batches):
         import pyarrow as pa
 
-        heads, raws, sizes = [], [], []
+        heads, sizes = [], []
+        store, spool = Store(memory), Spool(memory // 16)
         for b in batches:
             heads.append(b.select(["anchor", "content", "lead", "n", "times"]))
             raw = b.column("raw").to_pylist()
-            raws += raw
             sizes += map(len, raw)
-        if not raws:
+            spool.add(raw)
+        if not sizes:
             return
         every = pa.Table.from_batches(heads)
         lead, n, times = (every.column(c).to_numpy() for c in ("lead", "n", "times"))
-        text = np.frombuffer(b"".join(raws), np.uint8)
-        raws.clear()
+        text = spool.array()
         begins = np.concatenate(([0], np.cumsum(sizes)))
-        valid = np.zeros(len(text) + 1, np.int32)
-        np.add.at(valid, begins[:-1], 1)
-        np.add.at(valid, begins[:-1] + n, -1)
-        valid = np.cumsum(valid)[:-1] > 0
-        repeated = np.zeros(len(text), bool)
+        valid, repeated = store.array(len(text), bool), store.array(len(text), bool)
+        for i, z, many in zip(begins.tolist(), (begins[:-1] + n).tolist(), (times > 1).tolist()):
+            valid[i:z] = True
+            if many:  # what several equal segments hold is repeated anyway
+                repeated[i:z] = True
+        # valid places of the group that the block before has left open at its start, and the one if there is but one
+        open_n, open_at = 0, None
         for pos, lcp in suffixes(text, memory):
             group = np.cumsum(lcp < SPAN)
             keep = valid[pos]
-            pos, group = pos[keep], group[keep]
-            if len(pos):
-                first = np.flatnonzero(np.diff(group, prepend=-1))
-                size = np.diff(np.append(first, len(pos)))
-                repeated[pos[np.repeat(size > 1, size)]] = True
-        # what several equal segments hold is repeated anyway
-        many = np.flatnonzero(times > 1)
-        for i in many.tolist():
-            repeated[begins[i] : begins[i] + n[i]] = True
-        edge = np.diff(np.concatenate(([False], repeated & valid, [False])).astype(np.int8))
+            p, g = pos[keep], group[keep]
+            last = int(group[-1])
+            size = np.bincount(g, minlength=last + 1)
+            total = size.copy()
+            total[last] += open_n
+            repeated[p[total[g] > 1]] = True
+            if open_n == 1 and total[last] > 1:
+                repeated[open_at] = True
+            if lcp[0] >= SPAN:
+                open_at = int(p[0]) if size[0] else open_at if last == 0 else None
+                open_n = int(total[0])
+            else:
+                open_n, open_at = 0, None
+        a, z, before = [], [], False
+        for i, j in store.blocks(len(text)):
+            on = np.asarray(repeated[i:j] & valid[i:j])
+            edge = np.diff(np.concatenate(([before], on)).astype(np.int8))
+            a.append(np.flatnonzero(edge == 1) + i)
+            z.append(np.flatnonzero(edge == -1) + i - 1)
+            before = bool(on[-1])
         # strings of two pieces never touch, as a piece's last bytes start no string of it
-        a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        a, z = np.concatenate(a), np.concatenate(z)
         k = np.searchsorted(begins, a, "right") - 1
         yield from pa.table(
             [every.column("anchor").take(pa.array(k)), every.column("content").take(pa.array(k)), pa.array((lead[k] - (a - begins[k])).astype(np.int32)), pa.array((lead[k] - (z - begins[k])).astype(np.int32))],
@@ -253,8 +291,8 @@ def sort_shards(pieces: DataFrame, memory: int) -> DataFrame:
     return pieces.mapInArrow(run, "anchor long, content long, first int, last int")
 
 
-def repeated_stretches(docs: DataFrame, scratch: Scratch, crowd: int = CROWD, memory: int = 128 << 20) -> DataFrame:
-    """docs: row, raw. Gives row and its stretches (a, b) of bytes to remove, unmerged."""
+def repeated_stretches(docs: DataFrame, scratch: Scratch, crowd: int = CROWD, memory: int = MEMORY) -> DataFrame:
+    """docs: row, row2, raw. Gives row, row2 and their stretches (a, b) of bytes to remove, unmerged."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segs = scratch.put(find_segments(docs), "segments")
     anchors = segs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("x"), F.max("content").alias("y")).filter("c > 1").select("anchor", "c", (F.col("x") != F.col("y")).alias("mixed"))
@@ -263,7 +301,7 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch, crowd: int = CROWD, me
     scratch.drop("segments", "anchors")
     mixed = twice.filter("mixed")
     # one segment for each content
-    kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("row", "at", "n", "lead")).alias("s"))
+    kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("row", "row2", "at", "n", "lead")).alias("s"))
     kinds = scratch.put(kinds.select("anchor", "content", "times", "s.*"), "kinds")
     level = 0
     live = scratch.put(cut_texts(kinds, docs), "pieces0")
@@ -297,26 +335,27 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch, crowd: int = CROWD, me
     for e in equal:
         stretches = stretches.unionByName(e)
     found = scratch.put(stretches, "found")
-    hits = dealt_join(mixed, found, ["anchor", "content"], kinds.select("anchor", "content", F.col("times").alias("c")), ["row", "at"]).select("row", (F.col("at") + F.col("lead") - F.col("first")).alias("a"), (F.col("at") + F.col("lead") - F.col("last") + SPAN).alias("b"))
-    whole = twice.filter(~F.col("mixed")).select("row", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + SPAN).alias("b"))
+    hits = dealt_join(mixed, found, ["anchor", "content"], kinds.select("anchor", "content", F.col("times").alias("c")), ["row", "at"]).select("row", "row2", (F.col("at") + F.col("lead") - F.col("first")).alias("a"), (F.col("at") + F.col("lead") - F.col("last") + SPAN).alias("b"))
+    whole = twice.filter(~F.col("mixed")).select("row", "row2", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + SPAN).alias("b"))
     scratch.drop(*[f"{k}{i}" for i in range(level + 1) for k in ("pieces", "big", "told", "marked")])
     return hits.unionByName(whole)
 
 
 def keyed(docs: DataFrame, names: list[str]) -> DataFrame:
-    """A struct __keep of the columns named, row (a hash of id and text) and raw (the text's bytes)."""
+    """A struct __keep of the columns named, row and row2 (hashes of id and text) and raw (the text's bytes)."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.struct(*[F.col(c) for c in names]).alias("__keep"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), raw).alias("row"), raw.alias("raw"))
+    told = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
+    return docs.select(F.struct(*[F.col(c) for c in names]).alias("__keep"), F.xxhash64(told, raw).alias("row"), F.hash(raw, told).alias("row2"), raw.alias("raw"))
 
 
 def removals(docs: DataFrame, names: list[str], **options) -> DataFrame:
     """A struct __keep of the columns named, raw, and got: the stretches of bytes to remove, unmerged."""
     scratch = Scratch(docs.sparkSession, "substr")
     base = keyed(docs, names)
-    got = repeated_stretches(base.select("row", "raw"), scratch, **options)
-    lists = scratch.put(got.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("got")), "lists")
+    got = repeated_stretches(base.select("row", "row2", "raw"), scratch, **options)
+    lists = scratch.put(got.groupBy("row", "row2").agg(F.collect_set(F.struct("a", "b")).alias("got")), "lists")
     scratch.drop("twice", "found", "kinds")
-    return base.join(lists, "row", "left")
+    return base.join(lists, ["row", "row2"], "left")
 
 
 def merged(got) -> list[tuple[int, int]]:

@@ -1,16 +1,17 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model on the presence of words and word beginnings. Sentences of labelled
-texts that name a group get a twin in which each identity term is exchanged for the
-next one; the squared difference of the two scores is a penalty of the fit, so that
-naming a group moves no score. Learns from a bounded sample of labelled rows (SAMPLE of
-each class expected); the features are those of the sample that tell the classes apart
-best (FEATURES at most).
+A logistic model on the presence of words and word beginnings. Every sentence of a labelled
+text that names a group gets twins, in which each identity term is exchanged for the others
+of its kind and language in turn; the squared differences of the sentence's and the twins'
+scores are a penalty of the fit, so that naming a group moves no score. The model learns
+from a bounded sample of labelled rows (SAMPLE of each class expected, 2 * SPARE * SAMPLE
+texts of repeated ids at most expected). Every feature that LEAST sampled texts have counts,
+on a scale of the square of how well it tells the classes apart.
 
 Null and empty texts have no features and get the score of the bare intercept. Rows
-with a null label teach nothing; a document with several labels counts each. With one
-class or none the model is a constant. Repeated rows get equal scores. Only doc_id and
-text (and toxic) are read.
+with a null label teach nothing; a document with several labels counts each, repeated
+labels once. With one class or none the model is a constant. Equal texts, however long, get
+equal scores; there are no ties to break. Only doc_id and text (and toxic) are read.
 """
 
 from __future__ import annotations
@@ -21,21 +22,27 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_remainder
+from millrace.llm.common import Scratch, id_remainder
 
-SAMPLE = 4000
-FEATURES = 1000
+SAMPLE, SPARE = 4000, 4
+LEAST = 3
 STEMS = (4, 5, 6)
 CACHE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
-IDENTITY = (
-    "women men girls boys christians muslims jews hindus buddhists atheists gay lesbian straight transgender black white asian "
-    "african european american latino immigrants refugees natives disabled deaf blind old young elderly "
-    "frauen männer christen muslime juden schwule ausländer flüchtlinge alte junge "
-    "femmes hommes chrétiens musulmans juifs homosexuels immigrés réfugiés "
-    "mujeres hombres cristianos musulmanes judíos homosexuales inmigrantes refugiados"
-).split()
-NEXT = dict(zip(IDENTITY, IDENTITY[1:] + IDENTITY[:1]))
+SENTENCE = re.compile(r"[^.!?\n]+")
+#: Identity terms that may stand for each other: one kind and one language.
+GROUPS = tuple(
+    x.split()
+    for x in (
+        "women men", "girls boys", "christians muslims jews hindus buddhists atheists", "gay lesbian straight", "black white asian",
+        "african european american latino", "immigrants refugees natives", "disabled deaf blind", "old young elderly",
+        "frauen männer", "mädchen jungen", "christen muslime juden", "schwule lesben", "ausländer flüchtlinge", "alte junge",
+        "femmes hommes", "filles garçons", "chrétiens musulmans juifs", "homosexuels lesbiennes", "immigrés réfugiés",
+        "mujeres hombres", "niñas niños", "cristianos musulmanes judíos", "homosexuales lesbianas", "inmigrantes refugiados",
+    )
+)
+PLACE = {w: (g, i) for g in GROUPS for i, w in enumerate(g)}
+TURNS = max(map(len, GROUPS))
 
 
 def words_of(text: str | None) -> set[str]:
@@ -46,53 +53,98 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in STEMS if len(word) >= k)]
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with every identity term exchanged; None without one."""
-    return {NEXT.get(w, w) for w in words} if not words.isdisjoint(NEXT) else None
-
-
-def fit(rows: list[list[int]], twins: list[list[int] | None], y: np.ndarray, n: int, prior: float, l2: float = 1e-3, swap: float = 1.0, steps: int = 400):
-    """Weights and intercept for population share prior of label 1."""
+def twins(words: set[str]) -> list[set[str]]:
+    """The words of a sentence with every identity term exchanged, one set for each turn that changes them."""
+    named = words.intersection(PLACE)
+    out = []
+    for turn in range(1, TURNS) if named else ():
+        other = {PLACE[w][0][(PLACE[w][1] + turn) % len(PLACE[w][0])] for w in named}
+        if other != named and other not in out:
+            out.append(other)
+    return [words - named | other for other in out]
+
+
+class Rows:
+    """Sparse rows: for each entry its row, column and value."""
+
+    def __init__(self, lists: list[list[int]], signed: bool = False):
+        sizes = np.array([len(x) for x in lists], np.int64)
+        self.n = len(lists)
+        self.row = np.repeat(np.arange(self.n), sizes)
+        flat = np.array([i for x in lists for i in x], np.int64)
+        self.value = np.sign(flat).astype(float) if signed else np.ones(len(flat))
+        self.column = np.abs(flat) - 1 if signed else flat
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column] * self.value, self.n)
+
+    def back(self, e: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(self.column, e[self.row] * self.value, n)
+
+
+def loss(w: np.ndarray, b: float, x: Rows, y: np.ndarray, weight: np.ndarray, d: Rows, often: np.ndarray, scale: np.ndarray, l2: float, swap: float) -> tuple[float, np.ndarray]:
+    """Log-loss, swap times the mean square of the twins' score differences, l2 / 2 times the squared weights; and the gradient by w and b."""
+    z = np.clip(x.times(w * scale) + b, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    value = -float(weight @ (y * np.log(p) + (1 - y) * np.log1p(-p))) + l2 / 2 * float(w @ w)
+    e = weight * (p - y)
+    g = x.back(e, len(w)) * scale + l2 * w
+    if d.n:
+        apart, share = d.times(w * scale), often / often.sum()
+        value += swap * float(share @ apart**2)
+        g += swap * 2 * d.back(share * apart, len(w)) * scale
+    return value, np.append(g, e.sum())
+
+
+def fit(rows, y, often, diffs, diffs_often, scale: np.ndarray, prior: float, l2: float = 1e-4, swap: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Weights and intercept for population share prior of label 1. rows: features on; diffs: signed features (from 1) of a sentence less its twin's."""
+    n = len(scale)
+    y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return np.zeros(n), 8.0 if len(y) and y[0] else -8.0
-    x = np.zeros((len(rows), n), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    pairs = [i for i, t in enumerate(twins) if t is not None]
-    d = np.zeros((len(pairs), n), np.float32)
-    for k, i in enumerate(pairs):
-        d[k] = x[i]
-        t = np.zeros(n, np.float32)
-        t[twins[i]] = 1
-        d[k] -= t
+    x, d = Rows(rows), Rows(diffs, signed=True)
     # both classes weigh as in the population
-    share = y.mean()
-    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32)
+    often = np.asarray(often, float)
+    ones = float(often[y == 1].sum()) / float(often.sum())
+    weight = often * np.where(y == 1, prior / ones, (1 - prior) / (1 - ones))
     weight /= weight.sum()
-    w, b = np.zeros(n, np.float32), float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        e = weight * (p - y)
-        g = np.append(x.T @ e + l2 * w, e.sum())
-        if len(pairs):
-            g[:n] += swap * 2 / len(pairs) * (d.T @ (d @ w))
+        _, g = loss(w, b, x, y, weight, d, np.asarray(diffs_often, float), scale, l2, swap)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, b = (w - move[:n]).astype(np.float32), b - float(move[n])
-    return w.astype(float), b
+        w, b = w - move[:n], b - float(move[n])
+    return w * scale, b
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = FEATURES, swap: float = 1.0):
-    """Index of the features, weights, intercept. The sampled labels are few by sample, so they go to the documents, not these to them."""
-    rows = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    sizes = {int(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def sampled(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """text and toxic of the sampled labelled rows (written, so that they are read once), and the labels by class."""
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return {}, np.zeros(0), 8.0 if 1 in sizes else -8.0
+        return docs.limit(0), sizes
+
+    def chance(share, *by):
+        return F.pmod(F.xxhash64(*by, F.lit(7)), F.lit(1_000_000)) < share * 1_000_000
+
     share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
-    picked = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    picked = scratch.put(rows.filter(chance(share, F.col("doc_id").cast("string"))), "picked")
+    # few by sample: they go to the documents if they are as few as expected
+    few = F.broadcast(picked) if picked.count() <= 2 * SPARE * sample else picked
+    found = scratch.put(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(few, "doc_id").select("text", "toxic"), "found")
+    n = found.count()
+    return found.filter(chance(min(1.0, 2 * SPARE * sample / max(n, 1)), F.col("text"))), sizes
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float = 1.0):
+    """Index of the features, weights, intercept."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    picked, sizes = sampled(docs, labels, scratch, sample)
+    if len(sizes) < 2:
+        scratch.drop("picked", "found")
+        return {}, np.zeros(0), 8.0 if 1 in sizes else -8.0
 
     def presence(batches):
         import pyarrow as pa
@@ -105,31 +157,44 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), *(pa.array([x[k] for x in got.values()], pa.int64()) for k in (0, 1))], ["f", "n0", "n1"])
 
     seen = picked.select("toxic", "text").mapInArrow(presence, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    seen = seen.filter(F.col("n0") + F.col("n1") >= LEAST).orderBy("f").toArrow()
+    index = {f: i for i, f in enumerate(seen.column("f").to_pylist())}
     took = {k: max(1, min(n, sample)) for k, n in sizes.items()}
-    a, c = F.col("n1") / took[1], F.col("n0") / took[0]
-    apart = F.abs(a - c) / F.sqrt((a + c) / 2 + F.lit(1.0 / min(took.values())))
-    best = seen.filter(F.col("n0") + F.col("n1") >= 3).orderBy(F.desc(apart), "f").limit(limit).select("f")
-    index = {r["f"]: i for i, r in enumerate(best.collect())}
+    c, a = seen.column("n0").to_numpy() / took[0], seen.column("n1").to_numpy() / took[1]
+    apart = np.abs(a - c) / np.sqrt((a + c) / 2 + 1 / min(took.values()))
+    scale = (apart / max(float(apart.max(initial=0)), 1e-9)) ** 2
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def of(words, index):
+        return {index[f] for w in words for f in features(w) if f in index}
 
     def vectors(batches):
         import pyarrow as pa
 
-        def of(words):
-            return sorted({index[f] for w in words for f in features(w) if f in index})
+        index = shared.value
+        for b in batches:
+            xs = [sorted(of(words_of(t), index)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(xs, pa.list_(pa.int32()))], ["toxic", "x"])
+
+    def differences(batches):
+        import pyarrow as pa
 
+        index = shared.value
         for b in batches:
-            xs, ts = [], []
+            out = []
             for text in b.column("text").to_pylist():
-                words = words_of(text)
-                xs.append(of(words))
-                other = swapped(words)
-                ts.append(None if other is None else of(other))
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(xs, ints), pa.array(ts, ints)], ["toxic", "x", "t"])
-
-    got = picked.select("toxic", "text").mapInArrow(vectors, "toxic int, x array<int>, t array<int>").collect()
-    y = np.array([r["toxic"] for r in got], float)
-    w, b = fit([r["x"] for r in got], [r["t"] for r in got], y, len(index), sizes[1] / (sizes[0] + sizes[1]), swap=swap)
+                for s in SENTENCE.findall(text):
+                    words = words_of(s)
+                    for other in twins(words):
+                        x, t = of(words, index), of(other, index)
+                        out.append([*(i + 1 for i in sorted(x - t)), *(-i - 1 for i in sorted(t - x))])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d in out if d], pa.list_(pa.int32()))], ["x"])
+
+    got = picked.select("toxic", "text").mapInArrow(vectors, "toxic int, x array<int>").groupBy("toxic", "x").count().orderBy("toxic", "x").toArrow()
+    apart = picked.select("text").mapInArrow(differences, "x array<int>").groupBy("x").count().orderBy("x").toArrow()
+    rows, y, often = (got.column(k).to_pylist() for k in ("x", "toxic", "count"))
+    w, b = fit(rows, y, often, apart.column("x").to_pylist(), apart.column("count").to_pylist(), scale, sizes[1] / (sizes[0] + sizes[1]), swap=swap)
+    scratch.drop("picked", "found")
     return index, w, b
 
 

@@ -68,12 +68,43 @@ def test_substrings_clean_keeps_columns(spark, texts):
     assert out.columns == docs.columns and all(r.n_chars == len(r.text) and r.text.strip() for r in out.collect())
 
 
-@pytest.mark.parametrize("memory,direct", [(64, 2), (1 << 20, 1 << 20)])
-def test_suffix_order(memory, direct):
+def test_suffixes_of_a_string_larger_than_the_memory(monkeypatch):
+    rng = np.random.default_rng(7)
+    t = rng.integers(97, 99, 20_000).astype(np.uint8)
+    t[10_000:15_000] = t[:5_000]
+    mapped, array = [], suffixsort.Store.array
+
+    def told(self, n, kind):
+        out = array(self, n, kind)
+        mapped.append(isinstance(out, np.memmap))
+        # nothing that grows with the string is held
+        assert mapped[-1] or out.nbytes <= self.memory // 16
+        return out
+
+    monkeypatch.setattr(suffixsort.Store, "array", told)
+    b, at, bad, later = t.tobytes(), len(t), 0, None
+    for pos, _ in suffixsort.suffixes(t, 4096):
+        at -= len(pos)
+        p = pos.tolist() + ([later] if later is not None else [])
+        bad += sum(b[x : x + suffixsort.CAP] > b[y : y + suffixsort.CAP] for x, y in zip(p, p[1:]))
+        later = p[0]
+        assert len(pos) <= 4096
+    assert at == 0 and bad == 0 and sum(mapped) > 10
+
+
+def test_shard_sort_beyond_memory(spark, texts):
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = substr.report(frame(spark, rows), memory=8192).collect()
+    want = [(i, *x) for (i, _, _), x in zip(rows, brute_removal(texts, substr.SPAN))]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("memory", [64, 1000, 1 << 20])
+def test_suffix_order(memory):
     rng = np.random.default_rng(1)
-    for _ in range(60):
+    for _ in range(40):
         t = rng.integers(97, 97 + int(rng.integers(1, 5)), int(rng.integers(1, 90))).astype(np.uint8)
-        blocks = list(suffixsort.suffixes(t, memory, direct))[::-1]
+        blocks = list(suffixsort.suffixes(t, memory))[::-1]
         b = t.tobytes()
         order = sorted(range(len(b)), key=lambda i: b[i:])
         assert np.concatenate([p for p, _ in blocks]).tolist() == order
@@ -105,7 +136,17 @@ def test_simhash_against_brute_force(spark, texts):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     kept = simhash.keep_first(frame(spark, rows))
-    assert kept.count() == len(set(first.values())) + 2
+    assert kept.columns == frame(spark, rows).columns and simhash.keep_first(frame(spark, [])).count() == 0
+    ids = [r.doc_id for r in kept.collect()]
+    # one row of each group: that of the least id, or one without an id where none has one
+    assert sorted(i for i in ids if i is not None) == sorted(first.values())
+    assert ids.count(None) == len(set(group)) - len(first)
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark, texts):
+    rows = [(1, texts[4], "en"), (1, texts[5], "en"), (1, texts[4], "en"), (2, texts[5], "de"), (None, texts[6], "en"), (None, texts[6], "en"), (None, texts[4], "en")]
+    kept = sorted((repr(r.doc_id), r.text) for r in simhash.keep_first(frame(spark, rows)).collect())
+    assert kept == sorted([("1", texts[4]), ("1", texts[5]), ("None", texts[6])])
 
 
 def test_tile_links_miss_nothing():
@@ -151,8 +192,12 @@ def test_decontamination(spark, texts):
             r = got[i]
             assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-    cleaned = {r.doc_id: r.text for r in decontam.clean(frame(spark, [*rows, (99, texts[3] + " Only, three words! end.", "en")]), bench).collect()}
-    assert cleaned[99] == texts[3] + " ! end." and cleaned[3] == texts[3] and len(rows) - 1 not in cleaned
+    more = frame(spark, [*rows, (99, texts[3] + " Only, three words! end.", "en"), (None, None, None), (99, texts[3] + " Only, three words! end.", "en")])
+    for block in (10**9, 1):
+        every = decontam.clean(more, bench, block_words=block).collect()
+        cleaned = {r.doc_id: r for r in every}
+        assert cleaned[99].text == texts[3] + " ! end." and cleaned[99].n_chars == len(cleaned[99].text) and cleaned[99].row == 2
+        assert cleaned[3].text == texts[3] and len(rows) - 1 not in cleaned and sum(r.doc_id == 99 for r in every) == 2 and None in cleaned
     assert decontam.report(frame(spark, []), bench).count() == 0
 
 
@@ -179,6 +224,42 @@ def test_packing_round_trip(spark, texts):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["word"] * int(min(rng.lognormvariate(5.2, 1), 3000))), "en") for i in range(1500)]
+    counts = set()
+    for parts in (1, 32, 211):
+        got = packing.pack(frame(spark, rows).repartition(parts)).select("length", "sequence_id", "offset").collect()
+        least = -(-sum(r.length for r in got) // 1024)
+        made = {r.sequence_id for r in got}
+        assert len(made) <= 1.01 * least + 1
+        counts.add(len(made))
+        at = {}
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == at.get(r.sequence_id, 0)
+            at[r.sequence_id] = r.offset + r.length
+        assert max(at.values()) <= 1024
+    assert len(counts) == 1
+
+
+def test_plan_of_many_pieces():
+    rng = np.random.default_rng(4)
+    counts = np.bincount(np.clip(rng.lognormal(5.2, 1, 50_000).astype(int), 1, 1024), minlength=1025) * 40
+    keys, firsts, offsets, made = packing.plan(counts, planned=4096)
+    size = keys // packing.RANKS
+    most = np.append(keys[1:], 0) - keys
+    last = np.append(size[1:] != size[:-1], True)
+    most[last] = counts[size[last]] - keys[last] % packing.RANKS
+    # every sequence is gapless from 0 and within the capacity
+    seq = np.concatenate([f + np.arange(m) for f, m in zip(firsts.tolist(), most.tolist())])
+    at, n = np.repeat(offsets, most), np.repeat(size, most)
+    order = np.lexsort((at, seq))
+    seq, at, n = seq[order], at[order], n[order]
+    first = np.append(True, seq[1:] != seq[:-1])
+    assert (at[first] == 0).all() and (at[1:][~first[1:]] == (at + n)[:-1][~first[1:]]).all() and (at + n).max() <= 1024
+    assert len(seq) == counts.sum() and first.sum() == made <= 1.01 * (counts * np.arange(1025)).sum() / 1024
+
+
 def test_packing_is_tight():
     lengths = np.random.default_rng(3).integers(1, 1024, 5000)
     bins, offsets = packing.sum_of_squares(lengths)
@@ -201,8 +282,58 @@ def test_language_id(spark):
 def test_forward_sums_all_segmentations():
     index = {"a": 1, "b": 2, "ab": 3}
     p = np.array([[0.0], [0.5], [0.25], [0.125]])
-    lattice = langid.Lattice(["ab"], index)
-    assert lattice.forward(p)[2, 0, 0] == pytest.approx(0.5 * 0.25 + 0.125, abs=1e-6)
+    lattice = langid.Lattice(["ab"], index, 2)
+    assert np.exp(lattice.forward(p)[0, 0]) == pytest.approx(0.5 * 0.25 + 0.125, abs=1e-6)
+
+
+def segmentations(word, longest):
+    if not word:
+        yield []
+    for k in range(1, min(longest, len(word)) + 1):
+        for rest in segmentations(word[k:], longest):
+            yield [word[:k], *rest]
+
+
+def test_forward_and_expectation_against_all_segmentations():
+    rng = random.Random(8)
+    pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(25)} - {"c"})
+    index = {p: i + 1 for i, p in enumerate(pieces)}
+    p = np.zeros((len(pieces) + 1, 2))
+    p[1:] = np.random.default_rng(8).random((len(pieces), 2))
+    words = ["".join(rng.choice("abc") for _ in range(9)) for _ in range(6)]
+    lattice = langid.Lattice(words, index, 4)
+    logs, got = lattice.forward(p), np.zeros(len(p))
+    lattice.expected(p[:, 0], np.arange(1.0, 7.0), got)
+    want = np.zeros(len(p))
+    for i, w in enumerate(words):
+        total, parts = np.zeros(2), np.zeros(len(p))
+        for cut in segmentations(w, 4):
+            mass = np.ones(2)
+            for x in cut:
+                mass = mass * (p[index[x]] if x in index else 0) + mass * (langid.FLOOR if len(x) == 1 else 0)
+            total += mass
+            for x in cut:
+                if x in index:
+                    # the share of the cut that takes x as a piece, not as an unknown letter
+                    parts[index[x]] += mass[0] * p[index[x], 0] / (p[index[x], 0] + (langid.FLOOR if len(x) == 1 else 0))
+        assert np.exp(logs[i]) == pytest.approx(total, rel=1e-9)
+        want += (i + 1) * parts / total[0]
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_words_of_any_length_are_summed_whole():
+    index, p = {"a": 1, "aa": 2}, np.array([[0.0], [0.5], [0.1]])
+    n = 5000
+    logs = langid.Lattice(["a" * n], index, 2).forward(p)[0, 0]
+    x, y, shift = 1.0, 0.5 + langid.FLOOR, 0.0
+    for _ in range(n - 1):
+        x, y = y, (0.5 + langid.FLOOR) * y + 0.1 * x
+        if y < 1e-100:
+            x, y, shift = x * 1e100, y * 1e100, shift - 100 * np.log(10)
+    assert logs == pytest.approx(np.log(y) + shift, rel=1e-9)
+    out = np.zeros(3)
+    langid.Lattice(["a" * n], index, 2).expected(p[:, 0], np.ones(1), out)
+    assert out[1] + 2 * out[2] == pytest.approx(n, rel=1e-6)
 
 
 def test_toxicity(spark):
@@ -227,14 +358,38 @@ def test_toxicity(spark):
 
 def test_swaps_leave_scores_alone():
     # feature 0 insults, feature 1 and 2 are a pair of identity terms of which one comes with insults
-    x = [[0, 1], [0, 1], [2], [2]] * 20
-    twins = [[0, 2], [0, 2], [1], [1]] * 20
-    y = np.array([1, 1, 0, 0] * 20)
-    free, _ = toxicity.fit(x, twins, y, 3, 0.5, swap=0.0)
-    held, _ = toxicity.fit(x, twins, y, 3, 0.5, swap=10.0)
+    x, y = [[0, 1], [0, 1], [2], [2]] * 20, [1, 1, 0, 0] * 20
+    one = np.ones(3)
+    free, _ = toxicity.fit(x, y, [1] * 80, [[2, -3]], [40], one, 0.5, swap=0.0)
+    held, _ = toxicity.fit(x, y, [1] * 80, [[2, -3]], [40], one, 0.5, swap=10.0)
     assert abs(held[1] - held[2]) < 0.2 * abs(free[1] - free[2])
 
 
+def test_toxicity_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(3)
+    x, d = toxicity.Rows([[0, 2], [1], [], [2, 3]]), toxicity.Rows([[1, -2], [3, -4, -1]], signed=True)
+    y, weight, often, scale = np.array([1.0, 0, 0, 1]), np.array([0.3, 0.3, 0.2, 0.2]), np.array([2.0, 1.0]), rng.random(4)
+    w, b = rng.standard_normal(4), 0.3
+    value, g = toxicity.loss(w, b, x, y, weight, d, often, scale, 0.01, 0.7)
+    # the loss written out on dense rows
+    dense = np.array([[1, 0, 1, 0], [0, 1, 0, 0], [0, 0, 0, 0], [0, 0, 1, 1]]) * scale
+    apart = np.array([[1, -1, 0, 0], [-1, 0, 1, -1]]) * scale @ w
+    p = 1 / (1 + np.exp(-(dense @ w + b)))
+    plain = -sum(k * (t * np.log(q) + (1 - t) * np.log(1 - q)) for k, t, q in zip(weight, y, p)) + 0.7 * (2 * apart[0] ** 2 + apart[1] ** 2) / 3 + 0.005 * w @ w
+    assert value == pytest.approx(plain)
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        up, down = (toxicity.loss(w + z * step[:4], b + z * step[4], x, y, weight, d, often, scale, 0.01, 0.7)[0] for z in (1, -1))
+        assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_twins_stay_in_their_kind_and_language():
+    got = toxicity.twins({"the", "women", "frauen", "jews"})
+    assert {"the", "men", "männer", "hindus"} in got and all("the" in x and len(x & {"christians", "muslims", "hindus", "buddhists", "atheists"}) + ("jews" in x) == 1 for x in got)
+    assert toxicity.twins({"the", "house"}) == []
+    assert [s for s in toxicity.SENTENCE.findall("Women sing. The house!") if toxicity.twins(toxicity.words_of(s))] == ["Women sing"]
+
+
 def test_lm_scores(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["alpha beta gamma delta"] * 30), "en") for i in range(30)] + [(100, prose(rng, 120, ["alpha", "beta", "gamma", "delta"]), "en"), (101, None, "en"), (102, "", "en")]
@@ -254,6 +409,39 @@ def test_lm_conditionals_are_normalised():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def plain_logs(net, ids, at):
+    """The conditional log-probabilities, one token at a time."""
+    out = []
+    for i in at:
+        x = np.concatenate([net.e[ids[i + k]] for k in range(-lmscore.WINDOW, lmscore.WINDOW + 1) if k]).astype(float)
+        h = np.tanh(x @ net.p["w"] + net.p["b"])
+        slot = net.slots[ids[i]]
+        z = h @ net.p["c"] + net.p["cb"]
+        c = slot % lmscore.CLASSES
+        y = h @ net.p["t"][c] + net.p["tb"][c]
+        out.append(z[c] - np.log(np.exp(z).sum()) + y[slot // lmscore.CLASSES] - np.log(np.exp(y).sum()))
+    return np.array(out)
+
+
+def test_lm_against_a_plain_softmax():
+    rng = np.random.default_rng(5)
+    net = lmscore.Network()
+    ids = np.concatenate(([lmscore.PAD] * 2, rng.integers(0, lmscore.VOCABULARY, 40), [lmscore.PAD] * 2))
+    at = np.flatnonzero(ids != lmscore.PAD)
+    assert net.run(ids, at) == pytest.approx(plain_logs(net, ids, at), abs=1e-4)
+    # the gradient of a step, which its memory holds squared, against differences of the loss
+    memory = np.zeros(len(net.flat), np.float32), np.zeros(net.e.shape, np.float32)
+    flat = net.flat.copy()
+    net.run(ids, at, 1e-12, memory)
+    for i in np.argsort(-memory[0])[[0, 5, 20, 60]].tolist():
+        sides = []
+        for z in (1e-2, -1e-2):
+            moved = flat.copy()
+            moved[i] += z
+            sides.append(-plain_logs(lmscore.Network(moved, net.e, net.slots), ids, at).mean())
+        assert abs(sides[0] - sides[1]) / 2e-2 == pytest.approx(float(np.sqrt(memory[0][i])), rel=0.05)
+
+
 def test_lm_tells_rare_words_apart(spark):
     rng = random.Random(6)
     common = [f"w{i}e" for i in range(lmscore.WORDS + 200)]
@@ -278,6 +466,67 @@ def test_html():
     assert htmltext.main_text("<p>" * 3000 + "deep" + "<div>" * 3000) == "deep"
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "b", "p", "li", "td", "ul", "table", "a", "section"])
+def test_html_nests_deep_in_proportion(tag):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(f"<{tag}>" * 50_000 + "deep, text")
+    htmltext.main_text("<span>" * 20_000 + "<p>x</p><li>" * 20_000 + "</b>" * 20_000)
+    assert time.process_time() - began < 15
+
+
+def test_html_keeps_links_in_an_article():
+    assert htmltext.main_text("<article><p>One, two.</p><div><a href=a>Source one</a> <a href=b>Source two</a></div><p>Three.</p></article>") == "One, two.\nSource one Source two\nThree."
+    assert htmltext.main_text("<div><span><b>Only inline, text.</b></span></div>") == "Only inline, text."
+
+
+def test_html_scores_against_the_formula():
+    rng = random.Random(12)
+
+    def tree(depth):
+        kind = rng.choice(["p", "p", "div", "div", "section"]) if depth else "div"
+        if kind == "p":
+            return ("p", ["word, " * rng.randint(0, 9) + "x" * rng.randint(1, 200), *([("a", ["link" * rng.randint(1, 9)])] if rng.random() < 0.4 else [])])
+        return (kind, [tree(depth + 1) for _ in range(rng.randint(1, 4))] if depth < 4 else ["tail text"])
+
+    def shown(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(shown, node[1]))}</{node[0]}>"
+
+    def chars(node):
+        return len(node.strip()) if isinstance(node, str) else sum(map(chars, node[1]))
+
+    def linked(node):
+        return 0 if isinstance(node, str) else chars(node) if node[0] == "a" else sum(map(linked, node[1]))
+
+    def density(node):
+        return 1 - linked(node) / chars(node) if chars(node) else 0.0
+
+    for _ in range(30):
+        root = ("html", [("div", [tree(1) for _ in range(3)])])
+        points, every = {}, []
+
+        def walk(node, above):
+            path = [node, *above]
+            for c in node[1]:
+                if not isinstance(c, str) and c[0] != "a":
+                    walk(c, path)
+            every.append(node)
+            own = [c for c in node[1] if isinstance(c, str)]
+            if node[0] == "p" or own:
+                got = (1 + sum(c.count(",") for c in own) + min(chars(node) / 100, 3)) * density(node)
+                for up, share in zip(path[1:] if node[0] == "p" else path, (1, 0.5, 0.25)):
+                    points[id(up)] = points.get(id(up), 0) + got * share
+
+        walk(root, [])
+        want = max(every, key=lambda n: points.get(id(n), 0) * density(n))
+        top = htmltext.build(shown(root))
+        order = htmltext.measure(top)
+        assert htmltext.best(top)
+        found = max(order, key=lambda n: n.score * htmltext.clear(n))
+        assert found.score == pytest.approx(points[id(want)]) and found.chars == chars(want)
+
+
 def test_html_siblings_without_article():
     long = "".join(f"<p>Paragraph {i}, " + "long text, with commas, for points. " * 6 + "</p>" for i in range(3))
     page = f"<body><div><h1>Title</h1><div class=body>{long}</div><p>Short last line.</p><blockquote>A quote.</blockquote><ul><li>A point.</ul><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div></body>"
@@ -315,6 +564,33 @@ def test_quality_takes_failing_lines_out(spark):
     assert got[2].text == whole and got[2].n_chars == len(whole)
 
 
+def test_quality_against_plain_rules(spark):
+    """Text and verdict by rules written out line by line."""
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(60)] + ["cookie", "#tag", "wow!", "a|b", "$", "|", "»"]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) + rng.choice(["", ".", "!!!!!!", " "]) for _ in range(rng.randint(1, 12))) for _ in range(120)] + ["12 34\n" * 30, "é" * 500, "\n\n"]
+
+    def passes(x):
+        n = sum(x.count(c) for c in " \t") + 1
+        bars, symbols = sum(x.count(c) for c in "|›»•"), sum(x.count(c) for c in "#*$%&|<>")
+        if bars >= 3 and bars * 4 >= n or symbols * 10 > len(x) or x.count("!") * 3 > n or not re.search(r"[^\W\d_]", x):
+            return False
+        phrase = r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|subscribe|sign (in|up)|log ?in|enable javascript|click here|read more|back to top|skip to)"
+        return not (n <= 12 and re.search(phrase, x) or n <= 3 and not re.search("[.!?:;\"')\\]”»…]\\s*$", x))
+
+    want = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        wins = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
+        repeated = {k for j, x in enumerate(wins) if wins.count(x) > 1 for k in range(j, j + 8)}
+        good = [x for x in lines if passes(x)]
+        if len(w) >= 20 and 100 * len(repeated) <= 30 * len(w) and 2 * (sum(map(len, lines)) - sum(map(len, good))) <= sum(map(len, lines)):
+            want[i] = t if len(good) == len(lines) else "\n".join(good)
+    got = {r.doc_id: r for r in quality.filter_documents(frame(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values()) and 20 < len(want) < 110
+
+
 def test_licences(spark):
     mit = dict(licenses.KNOWN)["ISC"]
     rows = [(1, "Copyright (c) 2020 Someone\n" + mit.replace("License", "LICENCE").upper(), "en"), (2, "text\nReleased under the MIT Licence", "en"), (3, None, "en"), (4, "", "en"), (4, "", "en")]
@@ -335,3 +611,28 @@ def test_dealt_join_is_a_join(spark):
         assert sorted(map(str, dealt_join(many, few, ["k"], counts, ["v"], how).select("k", "v", "w").collect())) == want
         assert sorted(map(str, dealt_join(many, few, ["k"], counts.limit(0), ["v"], how).select("k", "v", "w").collect())) == want
     assert dealt_join(many.limit(0), few, ["k"], counts.limit(0), ["v"]).collect() == []
+
+
+def test_whole_licence_texts(spark):
+    import os
+
+    found = {f: open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read() for f in ("Apache-2.0", "GPL-2", "GPL-3", "MPL-2.0") if os.path.exists(f"/usr/share/common-licenses/{f}")}
+    rows = [(i, "Copyright 2021 Some One\nAll rights reserved.\n" + t.upper(), "en") for i, t in enumerate(found.values())]
+    got = {r.doc_id: r.license_id for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [{"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}.get(k, k) for k in found]
+
+
+def test_output_names_in_the_input(spark, texts):
+    """Columns named like results are carried or ignored, never confused with them."""
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts[:8])])
+    for c in ("score", "held_out", "lang_pred", "digest", "component_id", "fingerprint", "n_words", "spans", "items", "part", "nth", "anchor", "rank", "predicted", "toxic", "n_bytes", "hits", "root"):
+        docs = docs.withColumn(c, F.lit("x"))
+    bench = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    for out in (langid.identify(docs), substr.report(docs), decontam.report(docs, bench), quality.judge(docs), simhash.near_duplicates(docs), licenses.scan(docs), toxicity.score(docs, labels), lmscore.pseudo_likelihood(docs)):
+        assert sorted(r.doc_id for r in out.collect()) == list(range(8))
+    assert {r.doc_id for r in packing.pack(docs).collect()} == set(range(8))
+    for out in (quality.filter_documents(docs), simhash.keep_first(docs), substr.clean(docs), decontam.clean(docs, bench)):
+        assert out.columns == docs.columns and all(r.score == "x" and r.root == "x" for r in out.collect())

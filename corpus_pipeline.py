@@ -2,6 +2,11 @@
 
 Quality rules, near-duplicates, repeated substrings, benchmark decontamination, packing.
 Each stage's result is written as Parquet and read again as the next one's documents.
+
+Null and empty texts fail the quality rules, so no later stage sees one unless it emptied it.
+Of repeated rows one stays (near-duplicates). Rows without a doc_id go through as others do.
+Columns beside doc_id, text and n_chars are carried unread, whatever their names, up to the
+last stage, which returns pieces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, packing, quality, simhash, substr
-from millrace.llm.common import Scratch, table
+from millrace.llm.common import Scratch, scratch_freed, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces and their places in sequences."""
-    # idle workers keep what they remember while the next run's first stage fills the heap
-    return packing.pack(docs, remember=150_000)
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -53,7 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"stage{i}")
+        with scratch_freed():
+            docs = scratch.put(stage(spark, docs, sf_dir), f"stage{i}")
         if i:
             scratch.drop(f"stage{i - 1}")
     return docs

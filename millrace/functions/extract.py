@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.script import LETTERS
+from millrace.functions import script as _script
+from millrace.functions.script import LETTERS, PATTERNS
 from millrace.plans.registry import Group
 
 # Names of centuries and their last years.
@@ -24,6 +25,16 @@ VIEWS = {"front": "-a.", "back": "-b.", "side": "-c.", "detail": "-d."}
 # How answers begin, and the patterns of image titles.
 ANSWER_PREFIXES = ("The transcription is: ", "Transcription: ", "The Ogham text reads: ")
 TITLES = (r"(?i)Ogham\s+(?:Stone\s+)?(?:at\s+)?(.+)", r"(?i)(.+?)\s+Ogham", r"(?i)CIIC\s*(\d+)")
+# Licence keys in the order in which they are tried, and the licence that each stands for.
+LICENCE_KEYS = {
+    "cc-zero": "CC0", "cc0": "CC0", "pd": "CC0", "public domain": "CC0", "cc-by-4.0": "CC-BY", "cc-by-3.0": "CC-BY", "cc-by-2.5": "CC-BY",
+    "cc-by-sa-4.0": "CC-BY-SA", "cc-by-sa-3.0": "CC-BY-SA", "cc-by-sa-2.5": "CC-BY-SA",
+}
+# Marks of a catalogue page, patterns of ids, and regions that a category names.
+PAGE_MARKS = ("CIIC", "Findspot", "INSCRIPTION")
+PROJECT_ID, IMAGE_MARK = r"^I-[A-Z]{2,4}-[A-Z]?\d{2,3}$", r"I-[A-Z]{2,4}-\d{2,3}"
+LINKED_ID, LONE_ID = r"ogham\.celt\.dias\.ie/(I-[A-Z]{2,4}-[A-Z0-9]{2,4})", r"\b(I-[A-Z]{2,4}-[A-Z]?\d{2,3})\b"
+CATEGORY_REGIONS = ("Ireland", "Scotland", "Wales")
 # The letters that count as rare.
 RARE = "ᚎᚍᚆᚃᚏᚕᚖᚗᚘᚙ"
 
@@ -140,7 +151,7 @@ def plain_answer(text: Column) -> Column:
     return stripped(F.regexp_replace(text, "[^\u1680-\u169C ]", ""))
 
 
-def difficulty(text: Column, patterns: tuple[str, ...]) -> Column:
+def difficulty(text: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
     """0 (easy) to 1: by length, share of rare letters, and how many of the patterns are there; null and empty give 0."""
     n = F.length(text)
     rare = F.length(F.regexp_replace(text, f"[^{RARE}]", ""))
@@ -151,6 +162,39 @@ def difficulty(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.when(n > 0, F.least(score, F.lit(1.0))).otherwise(0.0)
 
 
+def licence(short: Column, url: Column) -> Column:
+    """The first key that a licence's short name or address holds; share-alike without any."""
+    out = None
+    for key, name in LICENCE_KEYS.items():
+        hit = F.lower(F.coalesce(short, F.lit(""))).contains(key) | F.lower(F.coalesce(url, F.lit(""))).contains(key)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("CC-BY-SA")
+
+
+def is_catalogue_page(html: Column) -> Column:
+    hit = F.lit(False)
+    for mark in PAGE_MARKS:
+        hit = hit | html.contains(mark)
+    return F.coalesce(hit, F.lit(False))
+
+
+def is_project_id(text: Column) -> Column:
+    return F.coalesce(text.rlike(PROJECT_ID), F.lit(False))
+
+
+def is_stone_image(src: Column) -> Column:
+    return F.coalesce(F.lower(src).contains("/images/ire/") | src.rlike(IMAGE_MARK), F.lit(False))
+
+
+def new_id(html: Column) -> Column:
+    """The id that an old page names: in an address, else alone."""
+    return F.coalesce(found(html, LINKED_ID), found(html, LONE_ID))
+
+
+def category_region(category: Column) -> Column:
+    return F.coalesce(*[F.when(category.contains(r), r) for r in CATEGORY_REGIONS], F.lit("unknown"))
+
+
 def glyphs(text: Column) -> Column:
     """The number of the twenty plain letters."""
     return F.length(F.regexp_replace(text, f"[^{LETTERS[:20]}]", ""))
@@ -190,3 +234,44 @@ GROUP.frame(
     lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", reading_confidence(F.col("text")).alias("confidence")),
     "SELECT conv_id, turn, CASE WHEN contains(text, '?') OR contains(text, '[') OR contains(lower(text), 'uncertain') THEN 'uncertain' ELSE 'probable' END AS confidence FROM conversations",
 )
+GROUP.frame(
+    "licence_parse",
+    lambda s, d: _parts(s, d).select("p_partkey", licence(F.col("p_name"), F.concat(F.lit("https://x/licences/"), F.expr("element_at(array('CC-BY-4.0', 'cc0', 'by', 'cc-by-sa-2.5/PD', 'cc-zero'), CAST(p_partkey % 5 AS INT) + 1)"))).alias("licence")),
+    "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'pd') THEN 'CC0' ELSE ['CC-BY', 'CC0', 'CC-BY-SA', 'CC0', 'CC0'][p_partkey % 5 + 1] END AS licence FROM part",
+)
+GROUP.frame(
+    "title_to_id",
+    lambda s, d: _parts(s, d).select("p_partkey", title_id(F.concat(F.lit("File:"), F.expr("element_at(array('Ogham Stone at ', '', 'Ogham ', 'CIIC '), CAST(p_partkey % 4 AS INT) + 1)"), F.when(F.col("p_partkey") % 4 == 3, F.col("p_partkey").cast("string")).otherwise(F.col("p_name")), F.when(F.col("p_partkey") % 4 == 1, F.lit(" Ogham inscription")).otherwise(F.lit("")), F.lit(".JPG"))).alias("id")),
+    r"SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN p_partkey::VARCHAR WHEN p_partkey % 4 = 1 THEN 'INSCRIPTION' ELSE upper(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g')) END AS id FROM part",
+)
+GROUP.frame(
+    "image_kind",
+    lambda s, d: _parts(s, d).select("p_partkey", image_kind(F.concat(F.lit("/a/"), F.col("p_brand")), F.expr("element_at(array('A Drawing', 'sketch of a rubbing', 'Rubbing', '3D model', 'Render', 'photo'), CAST(p_partkey % 6 AS INT) + 1)")).alias("kind"), view_angle(F.concat(F.lit("/x-a./y-"), F.expr("substring('abcde', CAST(p_size % 5 AS INT) + 1, 1)"), F.lit(".JPG"))).alias("view")),
+    "SELECT p_partkey, ['drawing', 'drawing', 'rubbing', 'render_3d', 'render_3d', 'photograph'][p_partkey % 6 + 1] AS kind, ['front', 'back', 'side', 'detail', NULL][p_size % 5 + 1] AS view FROM part",
+)
+GROUP.frame(
+    "page_predicates",
+    lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", is_catalogue_page(F.col("html")).alias("catalogue"), is_stone_image(F.regexp_replace("url", "^https?://[^/]+", "/images/IRE")).alias("image"), is_project_id(F.concat(F.lit("I-"), F.upper(F.substring(F.regexp_replace("url", "[^a-z]", ""), 1, 4)), F.lit("-"), F.col("page_id") % 2000)).alias("project")),
+    "SELECT page_id, coalesce(contains(html, 'CIIC') OR contains(html, 'Findspot') OR contains(html, 'INSCRIPTION'), false) AS catalogue, coalesce(regexp_matches(url, '^https?://[^/]+') OR contains(lower(url), '/images/ire/'), false) AS image, coalesce(page_id % 2000 BETWEEN 10 AND 999, false) AS project FROM pages WHERE url IS NOT NULL UNION ALL SELECT page_id, coalesce(contains(html, 'CIIC') OR contains(html, 'Findspot') OR contains(html, 'INSCRIPTION'), false), false, false FROM pages WHERE url IS NULL",
+)
+GROUP.frame(
+    "regions_named",
+    lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_name", category_region(F.concat(F.lit("Stones in "), F.when(F.col("n_nationkey") % 2 == 0, F.lit("Wales, Ireland")).otherwise(F.lit("ireland")))).alias("category"), region(F.concat(F.lit("of SCOTLAND "), F.when(F.col("n_nationkey") % 3 == 0, F.lit("or ireland")).otherwise(F.lit("")))).alias("region")),
+    "SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'Ireland' ELSE 'unknown' END AS category, CASE WHEN n_nationkey % 3 = 0 THEN 'Ireland' ELSE 'Scotland' END AS region FROM nation",
+)
+GROUP.frame(
+    "new_ids",
+    lambda s, d: _parts(s, d).select("p_partkey", new_id(F.concat(F.lit("see I-KER-0"), (F.col("p_partkey") % 10).cast("string"), F.lit(" or "), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("https://ogham.celt.dias.ie/I-COR-L"), F.col("p_size"), F.lit("/x"))).otherwise(F.lit("none")))).alias("id")),
+    "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size > 0 THEN 'I-COR-L' || p_size ELSE 'I-KER-0' || p_partkey % 10 END AS id FROM part",
+)
+GROUP.frame(
+    "text_difficulty",
+    lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(difficulty(F.concat(F.repeat(F.lit("ᚋᚐᚊᚔ"), F.col("p_size") % 3), F.repeat(F.lit("ᚆ"), F.col("p_size") % 7), F.repeat(F.lit("ᚐ"), F.col("p_partkey").cast("int") % 40))), 9).alias("difficulty")),
+    """SELECT p_partkey, CASE WHEN n = 0 THEN 0::DOUBLE ELSE round(least(least(n / 30.0::DOUBLE, 1) * 0.4::DOUBLE + (p_size % 7)::DOUBLE / n * 0.3::DOUBLE + CASE WHEN p_size % 3 > 0 THEN 0.25::DOUBLE ELSE 0.3::DOUBLE END, 1), 9) END AS difficulty FROM (SELECT *, 4 * (p_size % 3) + p_size % 7 + p_partkey % 40 AS n FROM part)""",
+)
+GROUP.frame(
+    "reading_forms",
+    lambda s, d: _parts(s, d).select("p_partkey", F.expr("filter(array(CASE WHEN p_size % 2 = 0 THEN named_struct('text', 'ᚁ̣ ᚂ…?', 'type', 'interpretive', 'confidence', 'verified') END, CASE WHEN p_size % 3 > 0 THEN named_struct('text', 'maqi', 'type', 'diplomatic', 'confidence', 'probable') END, named_struct('text', '12', 'type', 'interpretive', 'confidence', 'x')), r -> r IS NOT NULL)").alias("r"))
+    .select("p_partkey", _script.interpreted(F.col("r")).alias("best"), _script.first_converted(F.col("r")).alias("first"), _script.confidence(F.col("r"), F.lit("ᚁᚂᚃᚄᚅ"), F.lit("ᚁᚂᚃᚄᚅᚁ")).alias("confidence")),
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'ᚁᚂ' WHEN p_size % 3 > 0 THEN 'ᚋᚐᚊᚔ' END AS best, CASE WHEN p_size % 2 = 0 THEN chr(5760) WHEN p_size % 3 > 0 THEN 'ᚋᚐᚊᚔ' END AS first, CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 3 > 0 THEN 'verified' ELSE 'probable' END ELSE 'uncertain' END AS confidence FROM part",
+)

@@ -60,6 +60,100 @@ def clean_transcription(text: Column) -> Column:
     return F.regexp_replace(t, "^ +| +$", "")
 
 
+# The four groups of plain letters, and the later ones.
+GROUPS = {"Aicme Beithe (B Group)": "ᚁᚂᚃᚄᚅ", "Aicme hÚatha (H Group)": "ᚆᚇᚈᚉᚊ", "Aicme Muine (M Group)": "ᚋᚌᚍᚎᚏ", "Aicme Ailme (Vowels)": "ᚐᚑᚒᚓᚔ", "Forfeda (Supplementary)": "ᚕᚖᚗᚘᚙ", "Punctuation": "᚛᚜", "Space": SPACE}
+# Shares of the letters in inscriptions.
+FREQUENCIES = {
+    "ᚐ": 0.15, "ᚔ": 0.11, "ᚒ": 0.07, "ᚑ": 0.04, "ᚓ": 0.02, "ᚋ": 0.12, "ᚊ": 0.09, "ᚉ": 0.08, "ᚈ": 0.06, "ᚌ": 0.05,
+    "ᚄ": 0.05, "ᚂ": 0.04, "ᚅ": 0.03, "ᚁ": 0.03, "ᚇ": 0.02, "ᚆ": 0.01, "ᚃ": 0.01, "ᚏ": 0.01, "ᚎ": 0.005, "ᚍ": 0.005,
+}
+# Words of inscriptions that make a text easier, in the order in which they are tried.
+PATTERNS = (
+    "ᚋᚐᚊᚔ", "ᚋᚒᚉᚑᚔ", "ᚐᚃᚔ", "ᚉᚓᚂᚔ", "ᚐᚅᚋ", "ᚋᚐᚊᚔᚈᚈᚐᚄ", "ᚉᚒᚅᚐᚉᚐᚈᚑᚄ", "ᚉᚑᚏᚁᚁᚔ", "ᚃᚓᚇᚇᚑᚄ", "ᚉᚐᚈᚈᚒᚁᚒᚈᚈᚐᚄ", "ᚇᚑᚃᚃᚔᚅᚔᚐᚄ",
+    "ᚂᚒᚌᚒᚊᚏᚔᚈ", "ᚇᚓᚌᚂᚐᚅᚅ", "ᚅᚓᚈᚈᚐᚄᚂᚑᚌᚔ", "ᚁᚏᚒᚄᚉᚉᚑᚄ", "ᚈᚏᚓᚅᚐᚌᚒᚄᚒ", "ᚌᚒᚄᚉᚒ", "ᚃᚑᚁᚐᚏᚐᚉᚔ", "ᚇᚒᚅᚐᚔᚇᚑᚅᚐᚄ", "ᚉᚐᚂᚔᚐᚉᚔ", "ᚐᚋᚋᚂᚂᚐᚌᚅᚔ",
+)
+
+
+def is_block_char(char: Column) -> Column:
+    """One character of the block."""
+    return F.coalesce(char.rlike("^[\u1680-\u169f]$") & (F.length(char) == 1), F.lit(False))
+
+
+def is_letter(char: Column) -> Column:
+    """A letter, a later letter or a feather mark; not the space."""
+    return F.coalesce(char.rlike(f"^[{LETTERS}{FEATHERS}]$") & (F.length(char) == 1), F.lit(False))
+
+
+def character_info(char: Column) -> Column:
+    """struct(character, codepoint, latin, group, is_vowel, is_forfeda, frequency); null outside the block."""
+    group = None
+    for name, letters in GROUPS.items():
+        hit = F.instr(F.lit(letters), char) > 0
+        group = F.when(hit, name) if group is None else group.when(hit, name)
+    told = F.struct(
+        char.alias("character"),
+        F.concat(F.lit("U+"), F.hex(F.encode(char, "UTF-16BE"))).alias("codepoint"),
+        F.try_element_at(literal_map(dict(zip(LETTERS, LATIN))), char).alias("latin"),
+        group.alias("group"),
+        F.coalesce(F.instr(F.lit(GROUPS["Aicme Ailme (Vowels)"]), char) > 0, F.lit(False)).alias("is_vowel"),
+        F.coalesce(F.instr(F.lit(GROUPS["Forfeda (Supplementary)"]), char) > 0, F.lit(False)).alias("is_forfeda"),
+        F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in FREQUENCIES.items() for x in pair]), char), F.lit(0.0)).alias("frequency"),
+    )
+    return F.when(is_block_char(char), told)
+
+
+def plain_spaces(text: Column) -> Column:
+    """Labels for a tokenizer: the block's space becomes a blank."""
+    return F.translate(text, SPACE, " ")
+
+
+def words(text: Column) -> Column:
+    """Split at runs of either space; at the ends, these give empty words."""
+    return F.split(text, f"[{SPACE} ]+", -1)
+
+
+def reading_direction(text: Column) -> Column:
+    return F.when(text.startswith(FEATHERS[0]), "left_to_right").otherwise("bottom_to_top")
+
+
+def character_counts(text: Column) -> Column:
+    """The characters of the block, one row each when exploded."""
+    return F.regexp_extract_all(text, F.lit("([\u1680-\u169f])"), F.lit(1))
+
+
+def confidence(readings: Column, cleaned: Column, raw: Column) -> Column:
+    """By how much of the raw text is left and by the readings' confidences and types (an array of structs)."""
+    left, had = F.size(character_counts(cleaned)), F.size(character_counts(raw))
+    sure = F.coalesce(F.exists(readings, lambda r: r["confidence"] == "verified"), F.lit(False))
+    diplomatic = F.coalesce(F.exists(readings, lambda r: r["type"] == "diplomatic"), F.lit(False))
+    return F.when((had > 0) & sure & diplomatic & (left > had * 0.8), "verified").when((had > 0) & sure & (left > had * 0.5), "probable").otherwise("uncertain")
+
+
+def interpreted(readings: Column) -> Column:
+    """The first interpretive reading that is script without its editorial marks, else the first diplomatic one as script."""
+    of = lambda kind: F.filter(readings, lambda r: r["type"] == kind)
+    plain = F.transform(of("interpretive"), lambda r: F.regexp_replace(r["text"], "[\u0323\u0331.?\u2026\\s]+", ""))
+    made = F.transform(of("diplomatic"), lambda r: latin_to_script(r["text"]))
+    return F.coalesce(F.get(F.filter(plain, lambda x: is_valid(x)), F.lit(0)), F.get(F.filter(made, lambda x: is_valid(x)), F.lit(0)))
+
+
+def first_converted(readings: Column) -> Column:
+    """The first reading that gives script text."""
+    return F.get(F.filter(F.transform(readings, lambda r: latin_to_script(r["text"])), lambda x: is_valid(x)), F.lit(0))
+
+
+def annotation(script: Column, latin: Column, version: Column) -> Column:
+    """struct(text, version, error) of a form: Latin counts only where no script is given; empty and invalid texts are refused."""
+    text = F.coalesce(F.nullif(script, F.lit("")), F.nullif(latin_to_script(latin), F.lit("")))
+    error = F.when(text.isNull(), "empty").when(~is_valid(text), "invalid")
+    return F.struct(F.when(error.isNull(), text).alias("text"), F.when(error.isNull(), F.coalesce(version, F.lit(0)) + 1).alias("version"), error.alias("error"))
+
+
+def letter_table(spark: SparkSession) -> DataFrame:
+    """The block's letters by group: the rows of the printed table."""
+    return spark.createDataFrame([(g, c, dict(zip(LETTERS, LATIN)).get(c)) for g, letters in GROUPS.items() for c in letters], "group string, letter string, latin string")
+
+
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/nation.parquet")
 
@@ -75,3 +169,29 @@ GROUP.frame("script_roundtrip_loss", lambda s, d: _nations(s, d).select("n_name"
 GROUP.frame("normalize_script", lambda s, d: _nations(s, d).select("n_name", normalize(F.concat(F.lit("᚛"), latin_to_script(F.col("n_name")), F.lit("᚜"))).alias("letters")), f"SELECT n_name, regexp_replace('᚛' || {_SCRIPT} || '᚜', '[^{LETTERS}]', '', 'g') AS letters FROM nation")
 GROUP.frame("validate_script", lambda s, d: _nations(s, d).select("n_name", is_valid(latin_to_script(F.col("n_name"))).alias("valid"), is_valid(F.col("n_name")).alias("latin_valid")), f"SELECT n_name, regexp_full_match({_SCRIPT}, '[ -᚟]+') AS valid, regexp_full_match(n_name, '[ -᚟]+') AS latin_valid FROM nation")
 GROUP.frame("phonotactic_filter", lambda s, d: _nations(s, d).filter(phonotactic(latin_to_script(F.col("n_name")))).select("n_name"), f"SELECT n_name FROM nation WHERE NOT regexp_matches({_SCRIPT}, '[ᚐ-ᚔ]{{4}}|[^ᚐ-ᚔ]{{4}}')")
+_CHARS = f"(SELECT n_nationkey, unnest(string_split({_SCRIPT}, '')) AS c FROM nation)"
+
+
+def _letters(s: SparkSession, d: str) -> DataFrame:
+    return _nations(s, d).select("n_nationkey", F.explode(character_counts(latin_to_script(F.col("n_name")))).alias("c"))
+
+
+GROUP.frame("script_char_counts", lambda s, d: _letters(s, d).groupBy("c").agg(F.count("*").alias("n")), f"SELECT c, count(*) AS n FROM {_CHARS} WHERE c <> '' GROUP BY c")
+GROUP.frame(
+    "character_info",
+    lambda s, d: _letters(s, d).select("n_nationkey", "c", character_info(F.col("c")).alias("i")).select("n_nationkey", "c", "i.codepoint", "i.latin", "i.group", "i.is_vowel", "i.frequency").distinct(),
+    "SELECT DISTINCT n_nationkey, c, 'U+' || upper(to_hex(unicode(c))) AS codepoint, "
+    + "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in zip(LETTERS, LATIN)) + " END AS latin, "
+    + 'CASE WHEN unicode(c) BETWEEN 5761 AND 5765 THEN \'Aicme Beithe (B Group)\' WHEN unicode(c) BETWEEN 5766 AND 5770 THEN \'Aicme hÚatha (H Group)\' WHEN unicode(c) BETWEEN 5771 AND 5775 THEN \'Aicme Muine (M Group)\' WHEN unicode(c) BETWEEN 5776 AND 5780 THEN \'Aicme Ailme (Vowels)\' WHEN unicode(c) BETWEEN 5781 AND 5785 THEN \'Forfeda (Supplementary)\' ELSE \'Space\' END AS "group", '
+    + "unicode(c) BETWEEN 5776 AND 5780 AS is_vowel, CASE c " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in FREQUENCIES.items()) + f" ELSE 0::DOUBLE END AS frequency FROM {_CHARS} WHERE c <> ''",
+)
+GROUP.frame("script_words", lambda s, d: _nations(s, d).select("n_nationkey", F.size(words(latin_to_script(F.col("n_name")))).alias("n"), F.element_at(words(latin_to_script(F.col("n_name"))), 1).alias("first")), f"SELECT n_nationkey, (1 + length(n_name) - length(replace(n_name, ' ', '')))::INT AS n, string_split({_SCRIPT}, '{SPACE}')[1] AS first FROM nation")
+GROUP.frame("plain_spaces", lambda s, d: _nations(s, d).select("n_nationkey", plain_spaces(latin_to_script(F.col("n_name"))).alias("label")), f"SELECT n_nationkey, replace({_SCRIPT}, '{SPACE}', ' ') AS label FROM nation")
+GROUP.frame("reading_direction", lambda s, d: _nations(s, d).select("n_nationkey", reading_direction(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(FEATHERS[0]), F.col("n_name"))).otherwise(F.col("n_name"))).alias("direction")), "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'left_to_right' ELSE 'bottom_to_top' END AS direction FROM nation")
+GROUP.frame("script_to_latin_keep", lambda s, d: _nations(s, d).select("n_nationkey", script_to_latin(F.concat(latin_to_script(F.col("n_name")), F.lit("-x")), None).alias("latin")), f"SELECT n_nationkey, {_ROUND} || '-x' AS latin FROM nation")
+GROUP.frame("character_classes", lambda s, d: _letters(s, d).select("n_nationkey", "c", is_block_char(F.col("c")).alias("in_block"), is_letter(F.col("c")).alias("letter")).distinct(), f"SELECT DISTINCT n_nationkey, c, true AS in_block, c <> '{SPACE}' AS letter FROM {_CHARS} WHERE c <> ''")
+GROUP.frame(
+    "annotation_form",
+    lambda s, d: _nations(s, d).select("n_nationkey", annotation(F.when(F.col("n_nationkey") % 3 == 0, F.lit("ᚁᚂ")).when(F.col("n_nationkey") % 3 == 1, F.lit("bad")), F.col("n_name"), F.when(F.col("n_nationkey") > 9, F.col("n_nationkey"))).alias("a")).select("n_nationkey", "a.*"),
+    f"SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'ᚁᚂ' WHEN 2 THEN {_SCRIPT} END AS text, CASE WHEN n_nationkey % 3 <> 1 THEN CASE WHEN n_nationkey > 9 THEN n_nationkey + 1 ELSE 1 END END AS version, CASE WHEN n_nationkey % 3 = 1 THEN 'invalid' END AS error FROM nation",
+)

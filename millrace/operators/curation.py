@@ -16,7 +16,7 @@ GROUP.add("licence_dimension_join", """WITH l AS (SELECT * FROM (VALUES (0, 'CC0
 GROUP.add("funnel_counters", """SELECT count(*) AS total, count(CASE WHEN length(text) >= 2 THEN 1 END) AS with_text, count(l.doc_id) AS labelled, count(CASE WHEN l.quality = 1 THEN 1 END) AS kept, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 GROUP.add("progress_stats", """WITH t AS (SELECT count(*) AS total FROM documents), a AS (SELECT count(*) AS annotated FROM labels) SELECT total, annotated, total - annotated AS remaining, CASE WHEN total > 0 THEN CAST(100 AS DOUBLE) * annotated / total ELSE CAST(0 AS DOUBLE) END AS percent_done FROM t CROSS JOIN a""")
 GROUP.add("curation_counts", "SELECT count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS keep, count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS enhance, count(CASE WHEN quality = 0 THEN 1 END) AS dropped, count(CASE WHEN quality IS NULL THEN 1 END) AS pending FROM labels")
-GROUP.add("latest_per_key", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS rn FROM conversations) x WHERE rn = 1")
+GROUP.add("latest_per_key", "SELECT conv_id, x.turn, x.role FROM (SELECT conv_id, min(struct(-turn AS back, role, turn)) AS x FROM conversations GROUP BY conv_id)", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS rn FROM conversations) x WHERE rn = 1")
 GROUP.add("upsert_merge", """WITH o AS (SELECT c_custkey AS k, c_name AS v FROM customer), n AS (SELECT o_custkey AS k, max(o_orderpriority) AS v FROM orders GROUP BY o_custkey) SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM o FULL OUTER JOIN n ON o.k = n.k""")
 GROUP.add("scrape_totals", "SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, count(CASE WHEN event_type <> 'error' THEN 1 END) AS ok, CAST(grouping(user_id) AS INT) AS is_total FROM events GROUP BY GROUPING SETS ((user_id), ())")
 GROUP.add("json_props", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -1,8 +1,8 @@
 """All registered queries of the recognition-quality operators, with their SQL."""
 
-from millrace.functions import extract, script
-from millrace.operators import alignment, curation, fields, geometry, graph, metrics, readings, sampling, sequences
+from millrace.functions import extract, pages, script
+from millrace.operators import alignment, curation, fields, generate, geometry, graph, metrics, pixels, readings, records, sampling, sequences
 
-GROUPS = (metrics.GROUP, sequences.GROUP, sampling.GROUP, curation.GROUP, fields.GROUP, alignment.GROUP, readings.GROUP, geometry.GROUP, graph.GROUP, script.GROUP, extract.GROUP)
+GROUPS = (metrics.GROUP, sequences.GROUP, sampling.GROUP, curation.GROUP, fields.GROUP, alignment.GROUP, readings.GROUP, geometry.GROUP, graph.GROUP, script.GROUP, extract.GROUP, records.GROUP, pages.GROUP, generate.GROUP, pixels.GROUP)
 QUERIES: dict = {k: v for g in GROUPS for k, v in g.queries.items()}
 SQL: dict = {k: v for g in GROUPS for k, v in g.sql.items()}

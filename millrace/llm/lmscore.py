@@ -35,7 +35,7 @@ PER_CLASS = VOCABULARY // CLASSES
 PAD = -1
 WINDOW, WIDTH, HIDDEN = 2, 8, 16
 BATCH = 8192
-RATE = 0.05
+RATE = 0.2
 FAN = 32
 LEAST = 5
 END = 256

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 IMAGE_TYPES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp")
+#: Keys of one JSON document.
+MAP_KEYS = 100_000
 #: Image files below this size count as broken.
 LEAST_IMAGE = 500
 
@@ -48,7 +50,7 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """A JSON document that maps keys to values of the given type: key, value. Empty if the file is missing."""
+    """JSON documents that map keys to values of the given type: key, value. Empty if there is none."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"key string, value {value}")
     whole = spark.read.text(path, wholetext=True)
@@ -60,10 +62,12 @@ def read_map_of_lists(spark: SparkSession, path: str, item: str) -> DataFrame:
     return read_map(spark, path, f"array<{item}>").select("key", F.posexplode("value").alias("pos", "item"))
 
 
-def write_map(df: DataFrame, path: str) -> None:
-    """df: key, value. One JSON document, which is what the format asks for; large stores belong into Parquet (upsert)."""
-    one = df.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))).alias("value"))
-    one.coalesce(1).write.mode("overwrite").text(path)
+def write_map(df: DataFrame, path: str, most: int = MAP_KEYS) -> None:
+    """df: key, value. JSON documents that each map a range of the keys, `most` of them about; a small store is one document."""
+    n = max(1, -(-df.count() // most))
+    dealt = (df.repartitionByRange(n, "key") if n > 1 else df.coalesce(1)).withColumn("__doc", F.spark_partition_id())
+    docs = dealt.groupBy("__doc").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))).alias("value"))
+    docs.select("value").repartition(n).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:

@@ -24,6 +24,11 @@ def test_map_documents(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "key string, value int")
     files.write_map(df, path)
     assert values(files.read_map(spark, path + "/part-*", "int"), "key", "value") == [("a", 1), ("b", 2)]
+    many = spark.range(95).selectExpr("CAST(id AS STRING) AS key", "id AS value")
+    files.write_map(many, path + "-many", most=10)
+    assert values(files.read_map(spark, path + "-many/part-*", "long"), "key", "value") == sorted((str(i), i) for i in range(95))
+    files.write_map(many.limit(0), path + "-none")
+    assert files.read_map(spark, path + "-none/part-*", "long").count() == 0
     new = spark.createDataFrame([("b", 5), ("c", 6)], "key string, value int")
     assert values(files.upsert(df, new, "key"), "key", "value") == [("a", 1), ("b", 5), ("c", 6)]
 

@@ -110,6 +110,9 @@ FULL = (
     ("MPL-2.0", "22c9324e5634aa07c32060365e6191d4f9ec61fafc6091ce7394333c6d7db95e"),
 )
 
+#: Every known text has one of these in its canonical form, and so in any spelling of it: lines without them are not looked up.
+MARKS, MARKED = ("licens", "permission", "redistribution"), "(?i)licen[cs]|permission|redistribution"
+
 
 def canonical(text):
     """Column: the canonical form of a text column."""
@@ -138,7 +141,8 @@ def scan(docs: DataFrame, known=KNOWN, full=FULL) -> DataFrame:
     table = digests(known, full)
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     t = F.coalesce(F.col("text"), F.lit(""))
-    of_lines = F.transform(F.filter(F.split(t, "\n"), lambda x: x != ""), lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256)))
+    marked = full is FULL and all(any(m in canonical_text(x) for m in MARKS) for _, x in known)
+    of_lines = F.transform(F.filter(F.split(t, "\n"), lambda x: x.rlike(MARKED) if marked else x != ""), lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256)))
     hashed = docs.select(
         "doc_id",
         F.sha2(canonical(t), 256).alias("digest"),

@@ -195,3 +195,4 @@ GROUP.frame(
     lambda s, d: _nations(s, d).select("n_nationkey", annotation(F.when(F.col("n_nationkey") % 3 == 0, F.lit("ᚁᚂ")).when(F.col("n_nationkey") % 3 == 1, F.lit("bad")), F.col("n_name"), F.when(F.col("n_nationkey") > 9, F.col("n_nationkey"))).alias("a")).select("n_nationkey", "a.*"),
     f"SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'ᚁᚂ' WHEN 2 THEN {_SCRIPT} END AS text, CASE WHEN n_nationkey % 3 <> 1 THEN CASE WHEN n_nationkey > 9 THEN n_nationkey + 1 ELSE 1 END END AS version, CASE WHEN n_nationkey % 3 = 1 THEN 'invalid' END AS error FROM nation",
 )
+GROUP.frame("letter_table", lambda s, d: letter_table(s), "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{c}', {repr(dict(zip(LETTERS, LATIN))[c]) if c in LETTERS else 'NULL'})" for g, letters in GROUPS.items() for c in letters) + ") AS t(\"group\", letter, latin)")

@@ -247,3 +247,28 @@ for _config, _channels in (("combined", 1), ("bilateral", 3)):
 GROUP.frame("pictures_match", _shapes(lambda p: run_steps(p, [("texture", {}), ("match", {})])), _SHAPE.format(3))
 GROUP.frame("schedule_tables", lambda s, d: schedules(s, [(3, 0.5, "easy"), (3, 0.25, "hard")]).filter("schedule <> 'synthetic_only'"),
             "SELECT * FROM (VALUES ('default', 0, 0.95::DOUBLE, 'easy'), ('default', 10, 0.85::DOUBLE, 'medium'), ('default', 20, 0.7::DOUBLE, 'medium'), ('default', 35, 0.5::DOUBLE, 'hard'), ('aggressive', 0, 0.9::DOUBLE, 'easy'), ('aggressive', 5, 0.7::DOUBLE, 'medium'), ('aggressive', 15, 0.5::DOUBLE, 'medium'), ('aggressive', 25, 0.3::DOUBLE, 'hard'), ('aggressive', 40, 0.2::DOUBLE, 'hard'), ('custom', 3, 0.25::DOUBLE, 'hard')) AS x(schedule, epoch, ratio, difficulty)")
+
+
+def stem_report(pictures: DataFrame, key: str = "id") -> DataFrame:
+    """key, the column of the stem, how sure it is, and the suggested crop: a quarter of the width to each side of a sure stem, else the middle."""
+    src = pictures.select(key, "height", "width", "channels", "pixels")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for h, w, c, raw in zip(*(b.column(n).to_pylist() for n in ("height", "width", "channels", "pixels"))):
+                at, sure = stem(array(h, w, c, raw))
+                x1, x2 = (max(0, at - w // 4), min(w, at + w // 4)) if sure == "high" else (w // 10, w - w // 10)
+                out.append((at, sure, x1, x2))
+            names = ["stem", "confidence", "x1", "x2"]
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], [key, *names])
+
+    return src.mapInArrow(run, f"{key} {src.schema[key].dataType.simpleString()}, stem int, confidence string, x1 int, x2 int")
+
+
+# the bright box's left edge is the first of its two edges, which are equally strong
+GROUP.frame("stem_reports", lambda s, d: stem_report(_squares(s, d)),
+            "SELECT p_partkey AS id, (5 + p_size % 20)::INT AS stem, 'high' AS confidence, greatest(0, 5 + p_size % 20 - 15)::INT AS x1, least(60, 5 + p_size % 20 + 15)::INT AS x2 FROM part")

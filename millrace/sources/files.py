@@ -153,6 +153,19 @@ def folder_sizes(spark: SparkSession, root: str) -> DataFrame:
     return files.groupBy(below.alias("folder")).agg((F.sum("length") / F.lit(1048576.0)).alias("mib"))
 
 
+def to_copy(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Listings (tail: the path below the root, length): what a sync copies, files that the target lacks or has in another size."""
+    return source.join(target, ["tail", "length"], "left_anti")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """tail and length of all files below root; empty if it is missing."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], "tail string, length long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select(F.element_at(F.split("path", f"{root.split(':')[-1].rstrip('/')}/", 2), -1).alias("tail"), "length")
+
+
 def row_at(df: DataFrame, ordinal: str, k: int) -> DataFrame:
     """The row whose ordinal is k; reading it fails if there is none."""
     hit = df.filter(F.col(ordinal) == k)

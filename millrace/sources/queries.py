@@ -317,3 +317,23 @@ def _(s, t, at):
 @_q("glyph_counts", "SELECT p_partkey, 2 * (p_size % 5)::INT AS n FROM part")
 def _(s, t, at):
     return t("part").select("p_partkey", extract.glyphs(F.concat(F.repeat(F.lit("ᚁᚔ"), F.col("p_size").cast("int") % 5), F.lit("ᚕ x"))).alias("n"))
+
+
+@_q("sync_plan", f"SELECT folder || '/' || file AS tail FROM {_FILES} WHERE k % 4 > 0")
+def _(s, t, at):
+    _gallery(s, t, at)
+    for r in t("nation").filter("n_nationkey % 4 = 0").collect():
+        k = r["n_nationkey"]
+        put_file(s, f"{at}/copy/stone_{r['n_regionkey']}/{k}.{('PNG', 'png', 'txt')[k % 3]}", b"tiny")
+    return files.to_copy(files.listing(s, f"{at}/site"), files.listing(s, f"{at}/copy")).select("tail")
+
+
+@_q("commons_rows", "SELECT p_partkey AS idx, CAST(NULL AS VARCHAR) AS transcription, 'CC-BY-SA' AS licence FROM part WHERE p_size > 10")
+def _(s, t, at):
+    return t("part").filter("p_size > 10").select(F.col("p_partkey").alias("idx"), F.lit(None).cast("string").alias("transcription"), extract.licence(F.lit("CC BY 4.0"), F.lit(None)).alias("licence"))
+
+
+@_q("batch_metadata", "SELECT n_regionkey AS batch, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, count(*) AS n FROM nation GROUP BY n_regionkey")
+def _(s, t, at):
+    rows = t("nation").groupBy(F.col("n_regionkey").alias("batch")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    return rows.select("batch", F.array_join(F.col("r.n_name"), ",").alias("names"), F.size("r").cast("long").alias("n"))

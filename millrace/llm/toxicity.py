@@ -65,13 +65,17 @@ def twins(words: set[str]) -> list[set[str]]:
 
 
 class Rows:
-    """Sparse rows: for each entry its row, column and value."""
+    """Sparse rows, from lists or an Arrow column of lists: for each entry its row, column and value."""
 
-    def __init__(self, lists: list[list[int]], signed: bool = False):
-        sizes = np.array([len(x) for x in lists], np.int64)
-        self.n = len(lists)
+    def __init__(self, lists, signed: bool = False):
+        if isinstance(lists, list):
+            sizes, flat = np.array([len(x) for x in lists], np.int64), np.array([i for x in lists for i in x], np.int64)
+        else:
+            import pyarrow.compute as pc
+
+            sizes, flat = pc.list_value_length(lists).to_numpy().astype(np.int64), pc.list_flatten(lists).to_numpy().astype(np.int64)
+        self.n = len(sizes)
         self.row = np.repeat(np.arange(self.n), sizes)
-        flat = np.array([i for x in lists for i in x], np.int64)
         self.value = np.sign(flat).astype(float) if signed else np.ones(len(flat))
         self.column = np.abs(flat) - 1 if signed else flat
 
@@ -192,8 +196,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float
 
     got = picked.select("toxic", "text").mapInArrow(vectors, "toxic int, x array<int>").groupBy("toxic", "x").count().orderBy("toxic", "x").toArrow()
     apart = picked.select("text").mapInArrow(differences, "x array<int>").groupBy("x").count().orderBy("x").toArrow()
-    rows, y, often = (got.column(k).to_pylist() for k in ("x", "toxic", "count"))
-    w, b = fit(rows, y, often, apart.column("x").to_pylist(), apart.column("count").to_pylist(), scale, sizes[1] / (sizes[0] + sizes[1]), swap=swap)
+    y, often = (got.column(k).to_numpy() for k in ("toxic", "count"))
+    w, b = fit(got.column("x"), y, often, apart.column("x"), apart.column("count").to_numpy(), scale, sizes[1] / (sizes[0] + sizes[1]), swap=swap)
     scratch.drop("picked", "found")
     return index, w, b
 

@@ -6,7 +6,7 @@ of its kind and language in turn; the squared differences of the sentence's and
 scores are a penalty of the fit, so that naming a group moves no score. The model learns
 from a bounded sample of labelled rows (SAMPLE of each class expected, 2 * SPARE * SAMPLE
 texts of repeated ids at most expected). Every feature that LEAST sampled texts have counts,
-on a scale of the square of how well it tells the classes apart.
+on a scale of how well it tells the classes apart.
 
 Null and empty texts have no features and get the score of the bare intercept. Rows
 with a null label teach nothing; a document with several labels counts each, repeated
@@ -27,6 +27,7 @@ from millrace.llm.common import Scratch, id_remainder
 SAMPLE, SPARE = 4000, 4
 LEAST = 3
 STEMS = (4, 5, 6)
+STEP = 0.15
 CACHE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -118,7 +119,7 @@ def fit(rows, y, often, diffs, diffs_often, scale: np.ndarray, prior: float, l2:
         _, g = loss(w, b, x, y, weight, d, np.asarray(diffs_often, float), scale, l2, swap)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        move = STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:n], b - float(move[n])
     return w * scale, b
 
@@ -166,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float
     took = {k: max(1, min(n, sample)) for k, n in sizes.items()}
     c, a = seen.column("n0").to_numpy() / took[0], seen.column("n1").to_numpy() / took[1]
     apart = np.abs(a - c) / np.sqrt((a + c) / 2 + 1 / min(took.values()))
-    scale = (apart / max(float(apart.max(initial=0)), 1e-9)) ** 2
+    scale = apart / max(float(apart.max(initial=0)), 1e-9)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def of(words, index):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, htmltext, langid, licenses, lmscore, packing, quality, simhash, substr, toxicity
+from millrace.llm import compressed, decontam, fim, htmltext, langid, licenses, lmscore, packing, quality, simhash, substr, toxicity, whitening
 from millrace.llm.common import table
 
 
@@ -48,5 +48,23 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_lmscore, op3_substr, op4_pack, op5_decontam, op6_htmltext, op7_toxicity, op8_quality, op9_simhash, op10_license)}
-SQL = {"op5_decontam": decontam.ORACLE, "op8_quality": quality.ORACLE, "op10_license": licenses.ORACLE}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
+def op12_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_langid, op2_lmscore, op3_substr, op4_pack, op5_decontam, op6_htmltext, op7_toxicity, op8_quality, op9_simhash, op10_license,
+        op11_fim, op12_compressed, op13_whitening,
+    )
+}
+SQL = {"op5_decontam": decontam.ORACLE, "op8_quality": quality.ORACLE, "op10_license": licenses.ORACLE, "op11_fim": fim.ORACLE}

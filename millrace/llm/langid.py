@@ -3,7 +3,7 @@
 Each language has probabilities of the pieces of a fixed public vocabulary. A word's
 probability is the sum over all its segmentations into pieces, by a forward algorithm;
 a text's is the product over its words (runs of letters of any length, lower case, a mark
-in front). The probabilities are learned by expectation maximisation over segmentations,
+in front; digits and other number signs such as fractions are not letters). The probabilities are learned by expectation maximisation over segmentations,
 from all words of a bounded sample of texts: SAMPLE texts expected of each language, TOTAL
 of all languages together. The sums are kept in range by a scale that is taken out
 every SCALED letters, so no word is too long.
@@ -37,7 +37,13 @@ UND = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    out: list[str] = []
+    for w in WORD.findall(text.lower()) if text else ():
+        if w.isalpha():
+            out.append(w)
+        else:  # the pattern's word characters include number signs
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def vocabulary(path: str) -> list[str]:

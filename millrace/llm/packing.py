@@ -20,7 +20,8 @@ All pieces are packed together, however the table is partitioned, in three steps
 Null and empty texts are the END id alone. Ties go to the smallest gap; repeated rows
 are separate items. Only doc_id and text are read.
 
-Tokenising: where the tokenizer file is a byte-level BPE whose merges are in the order of
+Tokenising: the file's added tokens are found in a text before all else, as the tokenizer
+does unless it is told otherwise. Where the tokenizer file is a byte-level BPE whose merges are in the order of
 their ids, a faster library applies the same merges; other files go to the tokenizer itself.
 """
 
@@ -69,7 +70,11 @@ class Coder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if i < 256 + len(pairs)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # added tokens that stand for themselves, wherever they are; other kinds are the tokenizer's business
+        added = told.get("added_tokens") or []
+        if any(a.get(k) for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            return None
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={a["content"]: a["id"] for a in added})
 
     @staticmethod
     def slow(path: str):
@@ -78,13 +83,11 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        got = Tokenizer.from_file(path)
-        got.encode_special_tokens = True
-        return got
+        return Tokenizer.from_file(path)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast:
-            return [np.array(self.fast.encode_ordinary(t), "<u4") for t in texts]
+            return [np.array(self.fast.encode(t, allowed_special="all"), "<u4") for t in texts]
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 

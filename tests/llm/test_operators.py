@@ -206,7 +206,6 @@ def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     odd = ["a  b", "tab\tx y", "x\n\ny z\n", " lead", "nb sp x", "it's we'll <|endoftext|> 12,5", "word " * 3000]
     rows = [(i, t, "en") for i, t in enumerate([*texts, *odd])]
     got = packing.pack(frame(spark, rows), with_ids=True).collect()

@@ -7,6 +7,11 @@ density; the best container is kept, with siblings that score near it, and with
 headings, paragraphs, quotes, lists and tables beside it unless they are mostly links.
 Its blocks come out in page order.
 
+Elements whose kind tells what they are (navigation, scripts, buttons and the like) go before
+the scoring. A name of a class or an id, or being a form, only raises a doubt: such an element
+goes unless it holds an article or main, or most of the page's text; names count whole, and
+not beside one that is about content. What is named as readers' comments always goes.
+
 Null or empty html gives an empty text, as does a page without a paragraph. Truncated
 pages count as far as they go; nothing is capped, and time grows in proportion to a page
 however deep it nests. Ties go to the container that ends first. Line breaks are white
@@ -24,31 +29,49 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "title", "select", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROP = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "canvas", "audio", "video", "label", "fieldset", "map"}
+DROP = RAW | {"head", "nav", "footer", "aside", "button", "dialog", "menu", "canvas", "audio", "video", "label", "fieldset", "map"}
 PARAGRAPH = {"p", "pre", "blockquote", "td", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption"}
 BLOCK = PARAGRAPH | {
     "address", "article", "body", "caption", "center", "details", "div", "dl", "dt", "figure", "header", "hr", "html", "main",
-    "ol", "section", "summary", "table", "tbody", "tfoot", "th", "thead", "tr", "ul", *(DROP - {"label", "button", "svg", "math", "canvas"}),
+    "ol", "section", "summary", "table", "tbody", "tfoot", "th", "thead", "tr", "ul", "form", *(DROP - {"label", "button", "svg", "math", "canvas"}),
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Kept beside the best container, at any length.
 BESIDE = PARAGRAPH | {"ul", "ol", "dl", "dt", "table", "figure"}
 #: What a new tag ends if it is open, and what stops the search.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo\w*|sponsor\w*|sidebar|side-?bar|nav\w*|menu\w*|breadcrumbs?|footer|masthead|"
-    r"cookies?|consent|notices?|notification|newsletter|subscribe|subscription|signup|social|share|sharing|comments?|comment-?list|disqus|replies|respond|"
-    r"related|recommended|widgets?|popup|modal|overlay|toolbar|pagination|pager|skip|legal|copyright|disclaimer)(?:$|[\s_-])", re.I)
-AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
+#: Class and id words of what is beside an article, and of what readers wrote.
+ASIDE = (
+    "ad ads advert adverts advertisement banner promo promos promotion sponsor sponsors sponsored sidebar nav navbar navigation navi menu menubar breadcrumb breadcrumbs "
+    "footer masthead cookie cookies consent notice notices notification notifications newsletter subscribe subscription signup social share sharing related recommended "
+    "widget widgets popup modal overlay toolbar pagination pager skip legal copyright disclaimer"
+).split()
+READERS = "comment comments commentlist disqus replies respond responses".split()
+#: Words that may stand beside those in one name, and words of a name that is about content.
+JOINED = "site page main top bottom left right side header box bar area list item items wrapper wrap section container block links buttons inner body thread form count meta".split()
+CONTENT = "article post entry content story body text main page news layout col column row prose blog".split()
+
+
+def named(words: list[str]) -> re.Pattern:
+    """Whole names made of the words, of at least one of them, with joined words around it."""
+    one, more = "|".join(words), "|".join([*words, *JOINED])
+    return re.compile(rf"(?:(?:{more})[-_]+)*(?:{one})(?:[-_]+(?:{more}|\d+))*", re.I)
+
+
+BESIDES, REMARKS = named([*ASIDE, "side-bar"]), named(READERS)
+AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "alertdialog"}
 LEAST = 1e-9
 MENU = 3
+#: A doubtful block stays if it holds more than this share of the page's text; its points count half.
+SHARE, DOUBT = 0.5, 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "away", "inside", "score", "chars", "linked", "commas", "links", "own")
+    __slots__ = ("tag", "parent", "children", "away", "doubtful", "holds", "inside", "score", "chars", "linked", "commas", "links", "own")
 
-    def __init__(self, tag: str, parent: "Node | None", away: bool, inside: bool = False):
-        self.tag, self.parent, self.away, self.inside = tag, parent, away, inside
+    def __init__(self, tag: str, parent: "Node | None", away: bool, inside: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.away, self.inside, self.doubtful = tag, parent, away, inside, doubtful
+        self.holds = tag in ("article", "main")
         self.children: list = []
         self.score = 0.0
         self.chars = self.linked = self.commas = self.links = self.own = 0
@@ -79,18 +102,24 @@ class Open:
         return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element goes in any case, and whether it is doubtful: its name or kind is that of what is beside an article."""
     if tag in DROP or tag == "header" and not inside:
-        return True
+        return True, False
+    doubtful = tag == "form"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, doubtful
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and AWAY.search(value):
-            return True
-        if name == "role" and value.lower() in AWAY_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if name in ("class", "id"):
+            names = value.split()
+            if not any(x in CONTENT for n in names for x in re.split(r"[-_]+", n.lower()) if not BESIDES.fullmatch(n) and not REMARKS.fullmatch(n)):
+                if any(map(REMARKS.fullmatch, names)):
+                    return True, False
+                doubtful = doubtful or any(map(BESIDES.fullmatch, names))
+        elif name == "role" and value.lower() in AWAY_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True, False
+    return False, doubtful
 
 
 def build(html: str) -> Node:
@@ -137,7 +166,9 @@ def build(html: str) -> Node:
         elif tag in ("body", "article", "main", "section", "footer", "nav") and (i := opened.last(("head",))) > 0:
             opened.close(i)  # a head that was never closed holds no content
         inside = opened.last(("article", "main")) > 0
-        node = Node(tag, path[-1], unwanted(tag, m[3], inside), inside or tag in ("article", "main"))
+        away, doubtful = unwanted(tag, m[3], inside)
+        node = Node(tag, path[-1], away, inside or tag in ("article", "main"), doubtful)
+        root.doubtful = root.doubtful or doubtful
         path[-1].children.append(node)
         if not m[3].endswith("/"):
             opened.push(node)
@@ -153,6 +184,7 @@ def measure(root: Node) -> list[Node]:
         stack.extend(c for c in node.children if isinstance(c, Node) and not c.away)
     order.reverse()
     for node in order:
+        node.chars = node.linked = node.commas = node.links = node.own = 0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c.strip())
@@ -162,6 +194,7 @@ def measure(root: Node) -> list[Node]:
                 node.chars += c.chars
                 node.linked += c.linked
                 node.links += c.links
+                node.holds = node.holds or c.holds
                 if c.tag not in BLOCK:
                     node.commas += c.commas
                     node.own += c.own
@@ -170,16 +203,28 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def settled(root: Node) -> list[Node]:
+    """The nodes, measured, children first. Doubtful ones go unless they hold an article or main, or most of the page's text that isn't linked."""
+    order = measure(root)
+    if not root.doubtful:
+        return order
+    most = SHARE * (root.chars - root.linked)
+    for node in order:
+        if node.doubtful and node is not root and not node.holds and node.chars - node.linked <= most:
+            node.away = True
+    return measure(root)
+
+
 def clear(node: Node) -> float:
     return 1 - node.linked / node.chars if node.chars else 0.0
 
 
 def best(root: Node) -> list[Node]:
     """The best container and the siblings kept with it, in page order."""
-    order = measure(root)
+    order = settled(root)
     for node in order:
         if node.chars and (node.tag in PARAGRAPH or node.tag in BLOCK and node.own):
-            points = (1 + node.commas + min(node.chars / 100, 3)) * clear(node)
+            points = (1 + node.commas + min(node.chars / 100, 3)) * clear(node) * (DOUBT if node.doubtful and node is not root else 1)
             up = node.parent if node.tag in PARAGRAPH else node
             for share in (1, 0.5, 0.25):
                 if up is None:

@@ -1,22 +1,18 @@
 """Alignment of prediction and reference: word error rate, positional differences, label encoding."""
 
-from millrace.operators.metrics import DUCK, SPARK
+from millrace.operators.metrics import DUCK, SPARK, scored_plan
 from millrace.plans.registry import Group
 
 GROUP = Group()
-# Words become single characters beyond the basic plane, so that the built-in edit distance counts words.
-CODED = """, v AS (SELECT *, array_distinct(concat(split(p, ' ', -1), split(r, ' ', -1))) AS words FROM pairs),
-c AS (SELECT role, size(split(r, ' ', -1)) AS n,
-  array_join(transform(split(p, ' ', -1), w -> decode(unhex(lpad(hex(65535 + array_position(words, w)), 8, '0')), 'UTF-32')), '') AS a,
-  array_join(transform(split(r, ' ', -1), w -> decode(unhex(lpad(hex(65535 + array_position(words, w)), 8, '0')), 'UTF-32')), '') AS b FROM v)
-SELECT role, CAST(sum(levenshtein(a, b)) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(levenshtein(a, b)) AS DOUBLE) / sum(n) AS wer FROM c GROUP BY role"""
+CODED = """, c AS (SELECT role, split(p, ' ', -1) AS a, split(r, ' ', -1) AS b FROM pairs), s AS (SELECT role, size(b) AS n, word_distance(a, b) AS edits FROM c)
+SELECT role, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(edits) AS DOUBLE) / sum(n) AS wer FROM s GROUP BY role"""
 # The other engine counts bytes, so there the distance is a table of rows, one step a reference word.
 TABLE = """, s AS (SELECT role, string_split(p, ' ') AS a, string_split(r, ' ') AS b FROM pairs),
 dp AS (SELECT role, a, b, 0::BIGINT AS i, range(0, len(a) + 1) AS d FROM s UNION ALL
   SELECT role, a, b, i + 1, list_transform(range(1, len(a) + 2), lambda j: j + list_min(list_slice(c, 1, j))) FROM (
     SELECT *, list_transform(range(1, len(a) + 2), lambda j: CASE WHEN j = 1 THEN d[1] + 1 ELSE least(d[j] + 1, d[j - 1] + CASE WHEN a[j - 1] = b[i + 1] THEN 0 ELSE 1 END) END - j) AS c FROM dp WHERE i < len(b)))
 SELECT role, sum(d[len(a) + 1])::BIGINT AS edits, sum(len(b))::BIGINT AS n_words, sum(d[len(a) + 1])::DOUBLE / sum(len(b)) AS wer FROM dp WHERE i = len(b) GROUP BY role"""
-GROUP.add("wer_by_role", SPARK + CODED, DUCK.replace("WITH ", "WITH RECURSIVE ", 1) + TABLE)
+GROUP.frame("wer_by_role", scored_plan(SPARK + CODED), DUCK.replace("WITH ", "WITH RECURSIVE ", 1) + TABLE)
 
 DIFF = "SELECT conv_id, turn, n, hits, CASE WHEN n > 0 THEN CAST(hits AS DOUBLE) / n ELSE CAST(1 AS DOUBLE) END AS char_accuracy FROM x"
 GROUP.add("positional_diff",

@@ -1,12 +1,13 @@
 """Recognition-quality metrics: error rates and their variants, exact match, error analysis, strata.
 
 Texts count whole, in whatever script: the pairs are conversation turns, every other one of
-them in script letters, with predictions that replace and lose letters. Spark's edit distance
-counts code points. The other engine's counts bytes, so there the characters of a pair become
-single bytes first.
+them in script letters, with predictions that replace and lose letters. The edit distance
+counts code points and is bit-parallel (functions/distance.py). The other engine's counts bytes,
+so there the characters of a pair become single bytes first.
 """
 
-from millrace.plans.registry import Group
+from millrace.functions import distance
+from millrace.plans.registry import Group, dealt_out, plan
 
 GROUP = Group()
 # Letters that have one of their own in the script block, and those letters.
@@ -23,6 +24,17 @@ def coded(a: str, b: str) -> str:
     return f"levenshtein(translate({a}, al, co), translate({b}, al, co))"
 
 
+def scored_plan(sql: str):
+    """A query whose text uses the distances."""
+    run = plan(sql, dealt_out)
+
+    def registered(spark, sf_dir):
+        distance.register(spark)
+        return run(spark, sf_dir)
+
+    return registered
+
+
 def both(name: str, body: str, oracle: str | None = None) -> None:
     """LEV{a, b} in the body is the edit distance of a and b."""
 
@@ -30,7 +42,7 @@ def both(name: str, body: str, oracle: str | None = None) -> None:
         parts = text.split("LEV{")
         return parts[0] + "".join(distance(*args.split("; ")) + rest for args, rest in (p.split("}", 1) for p in parts[1:]))
 
-    GROUP.add(name, SPARK + told(body, "levenshtein({}, {})".format), DUCK + told(oracle or body, coded))
+    GROUP.frame(name, scored_plan(SPARK + told(body, "edit_distance({}, {})".format)), DUCK + told(oracle or body, coded))
 
 
 # One distance a pair, below whatever groups it.

@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def plan(sql: str):
-    """A query function for Spark SQL over the driver tables, which are handed over as frames: no view stays in the session."""
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where they lie in fewer partitions than there are cores; larger tables stay as they are. For work that costs far more than a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def plan(sql: str, prepared=lambda rows: rows):
+    """A query function for Spark SQL over the driver tables, which are handed over as (prepared) frames: no view stays in the session."""
     named = rf"(\b(?:FROM|JOIN)\s+)({'|'.join(TABLES)})\b"
     used = {m[2] for m in re.finditer(named, sql)}
     text = re.sub(named, r"\1{__\2}", re.sub(r"([{}])", r"\1\1", sql))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {f"__{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+        frames = {f"__{t}": prepared(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in used}
         return spark.sql(text, **frames)
 
     return run

@@ -32,7 +32,7 @@ def rows(pdf):
     return sorted(tuple(plain(x) for x in r) for r in pdf.astype(object).values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_matches_sql(spark, con, name):
     got, want = catalogue.QUERIES[name](spark, SF).toPandas(), con.execute(catalogue.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

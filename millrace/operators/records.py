@@ -1,8 +1,8 @@
-"""Records of the catalogue and of evaluation: coercion, projection, filters, joins by id and by ordinal, reports, draws."""
+"""Records of the catalogue and of evaluation: coercion, projection, filters, joins by id and by ordinal, reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.sampling import HASHED, RANKED
@@ -59,25 +59,6 @@ def on_first(rows: list[dict]) -> dict[str, list]:
     return {k: [r.get(k) for r in rows] for k in rows[0]} if rows else {}
 
 
-def weighted_draws(items: DataFrame, key: str, weight: str, draws: DataFrame) -> DataFrame:
-    """draws: draw, u (a whole number). Gives for each draw the key on which u modulo all weights falls, in the order of a hash of the key.
-
-    Weights are whole numbers. Cumulated are the sums of BUCKETS hash buckets first, and then each bucket's own rows, so
-    no task holds all items; a draw finds its bucket among the few and its row within that bucket.
-    """
-    rows = items.select(F.col(key).alias("__key"), F.col(weight).cast("long").alias("__w")).filter("__w > 0")
-    rows = rows.withColumn("__h", F.md5(F.col("__key").cast("string"))).withColumn("__b", F.substring("__h", 1, 3))
-    sums = rows.groupBy("__b").agg(F.sum("__w").alias("__s"))
-    # at most 4096 rows
-    sums = sums.select("__b", F.sum("__s").over(Window.orderBy("__b")).alias("__to"), "__s").withColumn("__from", F.col("__to") - F.col("__s"))
-    total = sums.agg(F.max("__to").alias("__all"))
-    aimed = draws.crossJoin(F.broadcast(total)).withColumn("__at", F.pmod("u", "__all"))
-    aimed = aimed.join(F.broadcast(sums), (F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to"))).select("draw", "__b", (F.col("__at") - F.col("__from")).alias("__at"))
-    ranks = Window.partitionBy("__b").orderBy("__h", "__key")
-    ends = rows.withColumn("__end", F.sum("__w").over(ranks))
-    return aimed.join(ends, "__b").filter((F.col("__at") < F.col("__end")) & (F.col("__at") >= F.col("__end") - F.col("__w"))).select("draw", F.col("__key").alias(key))
-
-
 GROUP = Group()
 
 
@@ -131,10 +112,6 @@ _one("distinct_ids", lambda x: x.agg(F.countDistinct("l_suppkey").alias("n")), "
 _one("distinct_list", lambda x: x.select(F.col("l_returnflag").alias("kind")).distinct(), "SELECT l_returnflag AS kind FROM lineitem GROUP BY l_returnflag", "lineitem")
 _one("mean_loss", lambda e: e.groupBy("event_type").agg((F.sum("value") / F.nullif(F.count("value"), F.lit(0))).alias("loss"), F.count("value").alias("batches")), "SELECT event_type, avg(value) AS loss, count(value) AS batches FROM events GROUP BY event_type", "events")
 _one("top_rows", lambda o: o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5", "orders")
-_one("weighted_draws", lambda x, o: weighted_draws(x.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 3).otherwise(7)).alias("w")), "doc_id", "w", o.select(F.col("o_orderkey").alias("draw"), (F.col("o_orderkey") * 7919 + F.col("o_custkey")).alias("u"))),
-     """WITH i AS (SELECT doc_id, max(CASE WHEN toxic = 1 THEN 3 ELSE 7 END) AS w FROM labels GROUP BY doc_id),
-     e AS (SELECT doc_id, w, sum(w) OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS z FROM i)
-     SELECT o_orderkey AS draw, doc_id FROM orders JOIN e ON (o_orderkey * 7919 + o_custkey) % (SELECT sum(w) FROM i) < z AND (o_orderkey * 7919 + o_custkey) % (SELECT sum(w) FROM i) >= z - w""", "labels", "orders")
 _CUT = "CASE WHEN rn <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN rn <= floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split"
 for _name, _id, _t in (("random_split", "c_custkey", "customer"), ("string_id_split", "concat('SYNTH-FF-', lpad(CAST(s_suppkey AS STRING), 4, '0'))", "supplier")):
     GROUP.add(_name, "WITH " + HASHED.format(id=_id, k="1", t=_t) + f"SELECT id, {_CUT} FROM h", "WITH " + RANKED.format(id=_id.replace("STRING", "VARCHAR"), k="1", t=_t) + f"SELECT id, {_CUT} FROM h")

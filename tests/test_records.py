@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import extract, script
-from millrace.operators import records
+from millrace.operators import draws, records
 
 
 def one(spark, column):
@@ -52,8 +52,8 @@ def test_requested_rows(spark):
 
 def test_weighted_draws_follow_the_weights(spark):
     items = spark.createDataFrame([(1, 3), (2, 0), (3, 7), (4, None)], "k int, w int")
-    draws = spark.range(1000).selectExpr("id AS draw", "id AS u")
-    got = {r.k: r.n for r in records.weighted_draws(items, "k", "w", draws).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    wanted = spark.range(1000).selectExpr("id AS draw", "id AS u")
+    got = {r.k: r.n for r in draws.weighted_draws(items, "k", "w", wanted).groupBy("k").agg(F.count("*").alias("n")).collect()}
     assert got == {1: 300, 3: 700}
 
 

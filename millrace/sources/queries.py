@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import extract, pages, script
 from millrace.plans.registry import Group
 from millrace.sources import files, logs, pictures, web
+from millrace.streaming import series
 
 GROUP = Group()
 
@@ -177,6 +178,45 @@ def _(s, t, at):
     return logs.read_metrics(s, f"{at}/log", "a").filter("a IS NOT NULL").groupBy("step").agg(F.sum("a").alias("a"), F.count("a").alias("n"))
 
 
+def _streamed(s: SparkSession, rows: DataFrame, cuts: list, at: str, kind, **options) -> DataFrame:
+    """rows (key, step, value), written as one file after the other between the cuts, and followed as a stream, one file a batch."""
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows.filter(F.lit(True) if low is None else F.col("step") > low).filter(F.lit(True) if high is None else F.col("step") <= high)
+        part.coalesce(1).write.mode("append").json(f"{at}/log")
+    log = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(f"{at}/log")
+    return series.run_to_end(series.followed(log, kind, **options), f"{at}/told", f"{at}/state").filter("NOT late").drop("late")
+
+
+def _thirds(rows: DataFrame) -> list:
+    low, high = rows.agg(F.min("step"), F.max("step")).first()
+    return [] if low is None else [low + (high - low) // 3, low + (high - low) * 2 // 3]
+
+
+@_q("stream_progress", """WITH b AS (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events),
+  i AS (SELECT *, (b IS NULL OR value < b)::INT AS i FROM b), g AS (SELECT *, sum(i) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM i),
+  p AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY event_id) - 1 AS stale FROM g)
+  SELECT user_id AS key, event_id AS step, least(b, value) AS best, i = 1 AS improved, stale, max(stale) OVER (PARTITION BY user_id ORDER BY event_id) >= 5 AS stopped,
+  count(*) OVER (PARTITION BY user_id ORDER BY event_id) > 10 AND max(value) OVER w - min(value) OVER w < 60 AS plateau FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+def _(s, t, at):
+    rows = t("events").selectExpr("user_id AS key", "event_id AS step", "value")
+    return _streamed(s, rows, _thirds(rows), at, series.Progress, spread=60.0)
+
+
+@_q("stream_misses", """WITH h AS (SELECT user_id, event_id, (event_type = 'purchase')::INT AS hit, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events),
+  m AS (SELECT *, sum(1 - hit) OVER (PARTITION BY user_id, g ORDER BY event_id) AS m FROM h), c AS (SELECT *, coalesce(max(m) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 10 AS probed FROM m)
+  SELECT user_id AS key, event_id AS step, probed, CASE WHEN probed THEN m ELSE 10 END::BIGINT AS misses FROM c""")
+def _(s, t, at):
+    rows = t("events").selectExpr("user_id AS key", "event_id AS step", "IF(event_type = 'purchase', 1D, 0D) AS value")
+    return _streamed(s, rows, _thirds(rows), at, series.Misses)
+
+
+@_q("stream_quota", """WITH n AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS f FROM n WHERE n <= 500 AND length(p_name) BETWEEN 5 AND 30)
+  SELECT p_brand AS key, p_partkey AS step, CASE WHEN f <= 3 THEN 'few_shot' ELSE 'test' END AS part FROM f WHERE f <= 33""")
+def _(s, t, at):
+    rows = t("part").selectExpr("p_brand AS key", "p_partkey AS step", "CAST(length(p_name) AS DOUBLE) AS value")
+    return _streamed(s, rows, _thirds(rows), at, series.Quota).filter("part IS NOT NULL")
+
+
 @_q("event_log", "SELECT 'finished' AS event, CAST(r_regionkey AS VARCHAR) AS run FROM region UNION ALL SELECT 'artifact_logged', CAST(r_regionkey AS VARCHAR) FROM region")
 def _(s, t, at):
     for name in ("artifact_logged", "finished"):

@@ -193,7 +193,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.put(roots.join(least, "root").select("fp", "component_id", "c"), "named")
     scratch.drop("rooted")
-    told = dealt_join(marked, named.drop("c"), ["fp"], named.select("fp", "c"), ["doc_id"], "left")
+    # by place in the written table, as ids may be null or equal
+    placed = marked.withColumn("__place", F.monotonically_increasing_id())
+    told = dealt_join(placed, named.drop("c"), ["fp"], named.select("fp", "c"), ["__place"], "left")
     return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

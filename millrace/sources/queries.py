@@ -8,12 +8,13 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import extract, pages, script
 from millrace.plans.registry import Group
-from millrace.sources import files, logs, pictures, web
+from millrace.sources import files, logs, pictures, sink, web
+from millrace.sources.store import Store
 from millrace.streaming import series
 
 GROUP = Group()
@@ -34,14 +35,6 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
-def put_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """One small file, written by the driver."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-    out.write(bytearray(data))
-    out.close()
-
-
 def _q(name: str, oracle: str):
     def add(run):
         GROUP.frame(name, lambda s, d: run(s, lambda t: s.read.parquet(f"{d}/{t}.parquet"), work_folder(s)), oracle)
@@ -102,18 +95,44 @@ def _(s, t, at):
     return s.read.text(at).select("split", files.strip(F.col("value")).alias("id")).filter("id <> ''")
 
 
+def _contents(rows: DataFrame, content) -> DataFrame:
+    """rows: k, tail. With the bytes that content gives for k."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("tail"), pa.array(map(content, b.column("k").to_pylist()), pa.binary())], ["tail", "content"])
+
+    return rows.select("k", "tail").mapInArrow(run, "tail string, content binary")
+
+
+def _written(rows: DataFrame, root: str) -> None:
+    """Writes the files (tail, content), each by the task that has its row."""
+    failed = sink.write_files(rows, root).filter("error IS NOT NULL").select("error").first()
+    if failed:
+        raise OSError(failed["error"])
+
+
+def _picture(k: int) -> bytes:
+    if k % 4 == 0:
+        return b"tiny"
+    x = np.full((9, 5 + k % 50, 3), k % 200, np.uint8)
+    x[::2] = np.random.default_rng(k).integers(0, 255, x[::2].shape)
+    return pictures.encoded(x)
+
+
+def _tails(t, keep: str = "true") -> DataFrame:
+    return t("part").filter(keep).selectExpr("p_partkey AS k", "concat('stone_', p_partkey % 97, '/', p_partkey, element_at(array('.PNG', '.png', '.txt'), CAST(p_partkey % 3 + 1 AS INT))) AS tail")
+
+
 def _gallery(s: SparkSession, t, at: str) -> DataFrame:
-    """A small folder of files: one a nation, below its region; every third is no image, every fourth is too small."""
-    for r in t("nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect():
-        k = r["n_nationkey"]
-        x = np.full((9, 5 + k, 3), k, np.uint8)
-        x[::2] = np.random.default_rng(k).integers(0, 255, x[::2].shape)
-        data = pictures.encoded(x) if k % 4 else b"tiny"
-        put_file(s, f"{at}/site/stone_{r['n_regionkey']}/{k}.{('PNG', 'png', 'txt')[k % 3]}", data)
+    """A folder of files, one a part, below its stone: every third is no image, every fourth is too small."""
+    _written(_contents(_tails(t), _picture), f"{at}/site")
     return files.list_images(s, f"{at}/site")
 
 
-_FILES = "(SELECT n_nationkey AS k, 'stone_' || n_regionkey AS folder, n_nationkey || CASE n_nationkey % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.png' ELSE '.txt' END AS file FROM nation)"
+_FILES = "(SELECT p_partkey AS k, 'stone_' || p_partkey % 97 AS folder, p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.png' ELSE '.txt' END AS file FROM part)"
 
 
 @_q("image_listing", f"SELECT folder, file, k % 4 = 0 AS small FROM {_FILES} WHERE k % 3 < 2")
@@ -132,7 +151,7 @@ def _(s, t, at):
     return files.sound_images(_gallery(s, t, at), least=50).select("file")
 
 
-@_q("decoded_images", f"SELECT file, CASE WHEN k % 4 > 0 THEN 9 END::INT AS height, CASE WHEN k % 4 > 0 THEN 5 + k END::INT AS width, CASE WHEN k % 4 > 0 THEN k END::INT AS value, k % 4 = 0 AS failed FROM {_FILES} WHERE k % 3 < 2")
+@_q("decoded_images", f"SELECT file, CASE WHEN k % 4 > 0 THEN 9 END::INT AS height, CASE WHEN k % 4 > 0 THEN 5 + k % 50 END::INT AS width, CASE WHEN k % 4 > 0 THEN k % 200 END::INT AS value, k % 4 = 0 AS failed FROM {_FILES} WHERE k % 3 < 2")
 def _(s, t, at):
     images = _gallery(s, t, at)
     raw = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/site").select("path", F.col("content").alias("image"))
@@ -153,7 +172,7 @@ def _(s, t, at):
 @_q("hub_table", f"SELECT file, CASE WHEN k % 5 = 0 THEN 'unknown' ELSE 'hard' END AS difficulty, true AS has_image FROM {_FILES} WHERE k % 3 < 2")
 def _(s, t, at):
     images = _gallery(s, t, at)
-    number = F.regexp_extract("file", "^([0-9]+)", 1).cast("int")
+    number = F.regexp_extract("file", "^([0-9]+)", 1).cast("long")
     told = images.select("path", "file", F.when(number % 5 == 0, "").otherwise("hard").alias("difficulty"))
     files.image_table(s, told, f"{at}/site").write.parquet(f"{at}/hub")
     return s.read.parquet(f"{at}/hub").select("file", "difficulty", (F.length("image") > 0).alias("has_image"))
@@ -229,11 +248,53 @@ def _(s, t, at):
     return logs.prediction_samples(t("orders").select("o_orderkey", F.col("o_orderstatus").alias("prediction"), F.lit("O").alias("reference")), "o_orderkey").select("o_orderkey", "correct")
 
 
-@_q("folder_sizes", "SELECT 'stone_' || n_regionkey AS folder, count(*) AS n FROM nation WHERE n_nationkey % 4 = 0 GROUP BY n_regionkey")
+@_q("folder_sizes", "SELECT 'stone_' || p_partkey % 97 AS folder, sum(p_size) AS n FROM part GROUP BY p_partkey % 97")
 def _(s, t, at):
-    for r in t("nation").filter("n_nationkey % 4 = 0").select("n_nationkey", "n_regionkey").collect():
-        put_file(s, f"{at}/size/stone_{r['n_regionkey']}/{r['n_nationkey']}.bin", b"x" * 1024)
-    return files.folder_sizes(s, f"{at.replace('file://', '')}/size").select("folder", F.round(F.col("mib") * 1024).cast("long").alias("n"))
+    # as many bytes as the part's size says, in units of 64
+    rows = t("part").selectExpr("p_partkey * 64 + p_size AS k", "concat('stone_', p_partkey % 97, '/', p_partkey, '.bin') AS tail")
+    _written(_contents(rows, lambda k: b"x" * (64 * (k % 64))), f"{at}/size")
+    return files.folder_sizes(s, f"{at.replace('file://', '')}/size").select("folder", F.round(F.col("mib") * 16384).cast("long").alias("n"))
+
+
+@_q("store_rounds", """SELECT p_partkey AS key, CASE WHEN p_partkey % 4 = 0 THEN 'traced' WHEN p_partkey % 2 = 0 THEN 'keep' ELSE 'pending' END AS status, CASE WHEN p_partkey % 4 = 0 THEN 3 WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END::INT AS round, p_name AS notes FROM part WHERE p_partkey % 5 > 0""")
+def _(s, t, at):
+    store = _stored(s, t, at)
+    return store.read()
+
+
+@_q("store_as_of", """SELECT 1 AS number, 'pending' AS status, count(*) AS n FROM part UNION ALL SELECT 2, CASE WHEN p_partkey % 2 = 0 THEN 'keep' ELSE 'pending' END AS status, count(*) FROM part GROUP BY p_partkey % 2 = 0""")
+def _(s, t, at):
+    store = _stored(s, t, at)
+    told = [store.read(n).groupBy("status").agg(F.count("*").alias("n")).select(F.lit(n).alias("number"), "status", "n") for n in (1, 2)]
+    return told[0].unionAll(told[1])
+
+
+def _stored(s: SparkSession, t, at: str) -> Store:
+    """A store of the parts after three rounds of changes and one of removals."""
+    store = Store(s, f"{at}/store", "key long, status string, round int, notes string", "key", 16)
+    rows = t("part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("notes"))
+    for n, (status, every) in enumerate((("pending", 1), ("keep", 2), ("traced", 4)), 1):
+        store.upsert(rows.filter(F.col("key") % every == 0).withColumns({"status": F.lit(status), "round": F.lit(n)}))
+    store.remove(rows.filter("key % 5 = 0"))
+    return store
+
+
+@_q("sink_images", f"SELECT file, folder, k % 200 AS value FROM {_FILES} WHERE k % 3 < 2 AND k % 4 > 0")
+def _(s, t, at):
+    images = _gallery(s, t, at)
+    raw = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/site").select("path", F.col("content").alias("image"))
+    sink.write(files.sound_images(images, least=50).join(raw, "path").select("file", "folder", "image"), f"{at}/hub")
+    told = pictures.decode_table(sink.read(s, f"{at}/hub", "file string, folder string, image binary").select(F.concat_ws("/", "folder", "file").alias("path"), "image"))
+    value = F.conv(F.hex(F.expr("substring(pixels, width * channels + 1, 1)")), 16, 10).cast("long")
+    return told.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.element_at(F.split("path", "/"), 1).alias("folder"), value.alias("value"))
+
+
+@_q("sink_log", "SELECT event_type AS name, count(*) AS n, count(CASE WHEN event_id % 3 > 0 THEN value END) AS n_values, sum(CASE WHEN event_id % 3 > 0 THEN value END) AS value FROM events GROUP BY event_type")
+def _(s, t, at):
+    rows = t("events").selectExpr("event_id AS step", "event_type AS name", "CASE WHEN event_id % 3 > 0 THEN value END AS value")
+    for k in range(2):
+        sink.write(rows.filter(F.col("step") % 2 == k), f"{at}/log", kind="json")
+    return sink.read(s, f"{at}/log", "step long, name string, value double", "json").groupBy("name").agg(F.count("*").alias("n"), F.count("value").alias("n_values"), F.sum("value").alias("value"))
 
 
 @_q("curation_store", "SELECT p_brand || '/' || p_partkey AS key, CASE WHEN p_partkey % 4 = 0 THEN 'traced' WHEN p_partkey % 2 = 0 THEN 'keep' ELSE 'pending' END AS status, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN p_name END AS notes FROM part")
@@ -255,9 +316,14 @@ def _(s, t, at):
     return files.upsert(s.read.parquet(f"{at}/traces"), new, "key").select("key", F.size("strokes").alias("n_strokes"), F.col("strokes")[0]["t"].alias("first"))
 
 
-@_q("missing_store", "SELECT n_name AS key, CAST(NULL AS VARCHAR) AS value FROM nation WHERE n_nationkey < 3")
+@_q("missing_store", "SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS curated, CAST(NULL AS VARCHAR) AS annotated, p_partkey % 3 = 0 AS is_curated FROM part")
 def _(s, t, at):
-    return t("nation").filter("n_nationkey < 3").select(F.col("n_name").alias("key")).join(files.read_map(s, f"{at}/none.json", "string"), "key", "left")
+    # one store is there, the other has never been written
+    keyed = t("part").select(F.col("p_partkey").alias("key"), F.col("p_partkey").cast("string").alias("k"))
+    files.write_map(t("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("value")), f"{at}/curation.json")
+    curated = files.read_map(s, f"{at}/curation.json/part-*", "string").select(F.col("key").alias("k"), F.col("value").alias("curated"))
+    annotated = files.read_map(s, f"{at}/annotations.json", "string").select(F.col("key").alias("k"), F.col("value").alias("annotated"))
+    return keyed.join(curated, "k", "left").join(annotated, "k", "left").select("key", "curated", "annotated", F.col("curated").isNotNull().alias("is_curated"))
 
 
 @_q("label_row", "SELECT p_name AS text FROM part WHERE p_partkey = (SELECT min(p_partkey) + 7 FROM part)")
@@ -266,35 +332,58 @@ def _(s, t, at):
     return files.row_at(t("part").withColumn("n", F.col("p_partkey") - least), "n", 7).select(F.col("p_name").alias("text"))
 
 
-@_q("paged_listing", "SELECT 'region_' || n_regionkey AS listing, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS place, CAST(n_nationkey AS BIGINT) AS pageid, 'File:' || n_name AS title FROM nation WHERE n_regionkey < 4")
+_PAGED = """SELECT 'brand_' || p_brand AS listing, CAST(n - 1 AS INT) AS place, p_partkey AS pageid, 'File:' || p_name AS title, false AS failed FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
+  UNION ALL SELECT 'missing', 0, NULL, NULL, true"""
+_PAGE = 50
+
+
+def _listings(s: SparkSession, t, at: str) -> tuple[str, list[str]]:
+    """Pages of the parts of each brand, so many members a page, written by tasks; the address of a page, and the names of the listings and of one that isn't there."""
+    ranked = t("part").select(F.concat(F.lit("brand_"), "p_brand").alias("name"), "p_partkey", "p_name")
+    page = F.floor((F.row_number().over(Window.partitionBy("name").orderBy("p_partkey")) - 1) / _PAGE)
+    members = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda m: F.struct(m["p_partkey"].alias("pageid"), F.concat(F.lit("File:"), m["p_name"]).alias("title")))
+    pages_of = ranked.withColumn("page", page).groupBy("name", "page").agg(members.alias("members"))
+    last = F.col("page") == F.max("page").over(Window.partitionBy("name"))
+    told = pages_of.select(
+        F.concat("name", F.lit("-"), F.when(F.col("page") > 0, F.concat(F.lit("p"), F.col("page"))).otherwise(""), F.lit(".json")).alias("tail"),
+        F.to_json(F.struct("members", F.when(~last, F.concat(F.lit("p"), F.col("page") + 1)).alias("continue"))).cast("binary").alias("content"),
+    )
+    _written(told, at)
+    names = [r["name"] for r in ranked.select("name").distinct().orderBy("name").collect()]  # of the brands, a few dozen at any size
+    return (at if at.startswith("file:") else f"file://{at}") + "/{name}-{more}.json", [*names, "missing"]
+
+
+@_q("paged_listing", _PAGED)
 def _(s, t, at):
-    import json
+    return web.paged_listings(s, *_listings(s, t, at), 0.0).select("listing", "place", "pageid", "title", F.col("error").isNotNull().alias("failed"))
 
-    by: dict[int, list] = {}
-    for r in t("nation").orderBy("n_nationkey").collect():
-        by.setdefault(r["n_regionkey"], []).append({"pageid": r["n_nationkey"], "title": f"File:{r['n_name']}"})
-    for k, members in by.items():
-        for i in range(0, len(members), 2):
-            more = f"p{i + 2}" if i + 2 < len(members) else None
-            put_file(s, f"{at}/region_{k}-{f'p{i}' if i else ''}.json", json.dumps({"members": members[i : i + 2], "continue": more}).encode())
-    base = at if at.startswith("file:") else f"file://{at}"
-    return web.paged_listings(s, base + "/{name}-{more}.json", [f"region_{k}" for k in range(4)] + ["missing"], 0.0)
+
+@_q("listing_stream", _PAGED)
+def _(s, t, at):
+    rows = web.listing_stream(s, *_listings(s, t, at), 0.0)
+    told = rows.writeStream.format("parquet").option("path", f"{at}/told").option("checkpointLocation", f"{at}/state").start()
+    told.processAllAvailable()
+    told.stop()
+    return s.read.schema(rows.schema).parquet(f"{at}/told").select("listing", "place", "pageid", "title", F.col("error").isNotNull().alias("failed"))
 
 
-@_q("page_files", "SELECT n_name AS title, n_nationkey || '.html' AS file FROM nation")
+@_q("page_files", "SELECT p_name AS title, p_partkey || '.html' AS file FROM part")
 def _(s, t, at):
-    for r in t("nation").collect():
-        put_file(s, f"{at}/{r['n_nationkey']}.html", f"<html>\n<title>{r['n_name']}</title></html>".encode())
-    return web.read_html(s, f"{at}/*.html").select(F.regexp_extract("html", "<title>(.*)</title>", 1).alias("title"), F.element_at(F.split("url", "/"), -1).alias("file"))
+    made = t("part").select(F.concat("p_partkey", F.lit(".html")).alias("tail"), F.concat(F.lit("<html>\n<title>"), "p_name", F.lit("</title></html>")).cast("binary").alias("content"))
+    _written(made, f"{at}/pages")
+    return web.read_html(s, f"{at}/pages/*.html").select(F.regexp_extract("html", "<title>(.*)</title>", 1).alias("title"), F.element_at(F.split("url", "/"), -1).alias("file"))
 
 
-@_q("site_stones", "SELECT 'r' || r_regionkey AS site, 'n' || n_nationkey AS stone, n_name AS name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey < 4")
+@_q("site_stones", "SELECT 'b' || substring(p_brand, 7) AS site, 'n' || p_partkey AS stone, p_name AS name FROM part")
 def _(s, t, at):
-    index = pages.by_page(t("region").agg(F.concat_ws("", F.collect_list(F.concat(F.lit('<a href="r'), "r_regionkey", F.lit('">x</a>')))).alias("html")).withColumn("page_id", F.lit("index")), "links array<struct<href:string,text:string>>", lambda x: {"links": pages.links(pages.parsed(x))})
-    made = t("nation").filter("n_regionkey < 4").groupBy("n_regionkey").agg(F.concat_ws("", F.collect_list(F.concat(F.lit('<a href="n'), "n_nationkey", F.lit('"> '), "n_name", F.lit("</a>")))).alias("html"))
-    sites = pages.by_page(made.select(F.concat(F.lit("r"), "n_regionkey").alias("page_id"), "html"), "links array<struct<href:string,text:string>>", lambda x: {"links": pages.links(pages.parsed(x))})
-    flat = lambda df: df.select(F.col("page_id").alias("page"), F.inline("links"))
-    return web.two_levels(flat(index), flat(sites))
+    link = lambda href, text: F.concat(F.lit('<a href="'), href, F.lit('"> '), text, F.lit("</a>"))
+    site = F.concat(F.lit("b"), F.substring("p_brand", 7, 10))
+    # pages of a site hold a bounded number of stones each, as its listing does; the index has a page for each last figure of their names
+    by_site = t("part").select(site.alias("site"), F.floor(F.col("p_partkey") / 200).alias("page"), link(F.concat(F.lit("n"), "p_partkey"), F.col("p_name")).alias("a"))
+    made = by_site.groupBy("site", "page").agg(F.concat_ws("", F.collect_list("a")).alias("html")).select(F.col("site").alias("page_id"), "html")
+    listed = t("part").select(F.concat(F.lit("index_"), F.substring("p_brand", -1, 1)).alias("page_id"), site.alias("site")).distinct().groupBy("page_id").agg(F.concat_ws("", F.collect_list(link(F.col("site"), F.lit("x")))).alias("html"))
+    links = lambda df: pages.by_page(df, "links array<struct<href:string,text:string>>", lambda x: {"links": pages.links(pages.parsed(x))}).select(F.col("page_id").alias("page"), F.inline("links"))
+    return web.two_levels(links(listed), links(made))
 
 
 @_q("overview_ids", "SELECT DISTINCT p_partkey % 97 || 'a' AS number, 'I-KER-0' || (p_partkey % 90 + 10) AS id FROM part WHERE p_size % 2 = 0")
@@ -359,18 +448,17 @@ def _(s, t, at):
     return t("part").select("p_partkey", extract.glyphs(F.concat(F.repeat(F.lit("ᚁᚔ"), F.col("p_size").cast("int") % 5), F.lit("ᚕ x"))).alias("n"))
 
 
-@_q("sync_plan", f"SELECT folder || '/' || file AS tail FROM {_FILES} WHERE k % 4 > 0")
+@_q("sync_plan", f"SELECT folder || '/' || file AS tail FROM {_FILES} WHERE k % 4 > 0 OR k % 8 = 4")
 def _(s, t, at):
     _gallery(s, t, at)
-    for r in t("nation").filter("n_nationkey % 4 = 0").collect():
-        k = r["n_nationkey"]
-        put_file(s, f"{at}/copy/stone_{r['n_regionkey']}/{k}.{('PNG', 'png', 'txt')[k % 3]}", b"tiny")
+    # the copy has some of the small files, of another size or of the same, and none of the others
+    _written(_contents(_tails(t, "p_partkey % 4 = 0"), lambda k: b"tiny" if k % 8 == 0 else b"tinier"), f"{at}/copy")
     return files.to_copy(files.listing(s, f"{at}/site"), files.listing(s, f"{at}/copy")).select("tail")
 
 
-@_q("commons_rows", "SELECT p_partkey AS idx, CAST(NULL AS VARCHAR) AS transcription, 'CC-BY-SA' AS licence FROM part WHERE p_size > 10")
+@_q("commons_rows", "SELECT p_partkey AS idx, CAST(NULL AS VARCHAR) AS transcription, 'CC-BY-SA' AS licence FROM part")
 def _(s, t, at):
-    return t("part").filter("p_size > 10").select(F.col("p_partkey").alias("idx"), F.lit(None).cast("string").alias("transcription"), extract.licence(F.lit("CC BY 4.0"), F.lit(None)).alias("licence"))
+    return t("part").select(F.col("p_partkey").alias("idx"), F.lit(None).cast("string").alias("transcription"), extract.licence(F.lit("CC BY 4.0"), F.lit(None)).alias("licence"))
 
 
 @_q("batch_metadata", "SELECT n_regionkey AS batch, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, count(*) AS n FROM nation GROUP BY n_regionkey")

@@ -1,7 +1,8 @@
 """Sources of the crawl: paced and repeated requests, paged listings, page files, hub tables, and the listings made of pages.
 
 Requests go through a Python data source with a partition per listing, so a lost task asks
-again for its own listing only. Addresses may be files, which is how tests run offline.
+again for its own listing only; as a stream it keeps the continuations as its offsets. Addresses
+may be files, which is how tests run offline.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ import json
 import time
 from collections.abc import Callable
 from urllib.error import HTTPError, URLError
+from urllib.parse import quote
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 # Seconds between requests, by source, and how often a request is made.
 RATES = {"cisp": 2.0, "dias": 3.0, "commons": 1.0}
@@ -67,18 +69,63 @@ class ListingReader(DataSourceReader):
         return [Listing(n) for n in self.names]
 
     def read(self, partition):
-        """Follows the listing's continuations; an error keeps what has come."""
+        """Follows the listing's continuations. An error keeps what has come, and ends the listing with a row that tells it."""
         pacer, more = Pacer(self.rate), ""
         place = 0
         while more is not None:
-            try:
-                page = json.loads(pacer.get(self.base.format(name=partition.name, more=more), fetched))
-            except (URLError, OSError, ValueError):
-                return
-            for m in page.get("members", []):
-                yield partition.name, place, int(m["pageid"]), m["title"]
-                place += 1
-            more = page.get("continue")
+            rows, more = page_rows(pacer, self.base, partition.name, more, place)
+            place += len(rows)
+            yield from rows
+
+
+def page_rows(pacer: Pacer, base: str, name: str, more: str, place: int) -> tuple[list[tuple], str | None]:
+    """Rows of one page of a listing, and its continuation; a page that fails is one row with its error, and the end."""
+    try:
+        page = json.loads(pacer.get(base.format(name=quote(name), more=quote(more)), fetched))
+        rows = [(name, place + i, int(m["pageid"]), m["title"], None) for i, m in enumerate(page.get("members", []))]
+        return rows, page.get("continue")
+    except (URLError, OSError, ValueError, KeyError, TypeError) as e:
+        return [(name, place, None, None, f"{type(e).__name__}: {e}"[:200])], None
+
+
+LISTED = "listing string, place int, pageid long, title string, error string"
+
+
+class ListingStream(SimpleDataSourceStreamReader):
+    """A page of every unfinished listing a batch. An offset has the continuation of each listing and the place that it has come to, or the end and the error that was met there."""
+
+    def __init__(self, options):
+        self.base, self.names = options["base"], options["names"].split("|")
+        self.pacer = Pacer(float(options.get("rate", "0")))
+
+    def initialOffset(self) -> dict:
+        return {n: {"more": "", "place": 0} for n in self.names}
+
+    def read(self, start: dict):
+        rows, end = [], {}
+        for name, at in start.items():
+            end[name] = at
+            if at["more"] is not None:
+                got, more = page_rows(self.pacer, self.base, name, at["more"], at["place"])
+                rows += got
+                end[name] = {"more": more, "place": at["place"] + len(got)}
+                if got and got[-1][4] is not None:
+                    end[name]["error"] = got[-1][4]
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        """The same rows once more, after a failure: an error that was told is told again, whether or not the page can be read by now."""
+        for name, at in start.items():
+            more, place, goal = at["more"], at["place"], end[name]
+            while more is not None and place < goal["place"]:
+                if "error" in goal and place + 1 == goal["place"]:
+                    yield name, place, None, None, goal["error"]
+                    break
+                rows, more = page_rows(self.pacer, self.base, name, more, place)
+                if rows and rows[-1][4] is not None:
+                    raise OSError(f"a page of {name} that was read before can't be read again: {rows[-1][4]}")
+                yield from rows
+                place += len(rows)
 
 
 class PagedListings(DataSource):
@@ -89,40 +136,64 @@ class PagedListings(DataSource):
         return "paged_listings"
 
     def schema(self):
-        return "listing string, place int, pageid long, title string"
+        return LISTED
 
     def reader(self, schema):
         return ListingReader(self.options)
 
+    def simpleStreamReader(self, schema):
+        return ListingStream(self.options)
+
 
 def paged_listings(spark: SparkSession, base: str, names: list[str], rate: float = RATES["commons"]) -> DataFrame:
     spark.dataSource.register(PagedListings)
     return spark.read.format("paged_listings").options(base=base, names="|".join(names), rate=str(rate)).load()
 
 
+def listing_stream(spark: SparkSession, base: str, names: list[str], rate: float = RATES["commons"]) -> DataFrame:
+    """The listings as a stream; started again with its checkpoint it goes on behind the last page that was taken."""
+    spark.dataSource.register(PagedListings)
+    return spark.readStream.format("paged_listings").options(base=base, names="|".join(names), rate=str(rate)).load()
+
+
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """Page files: url (the path), html."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
-def read_hub(rows: DataFrame, ordinal: str, image: str, columns: list[str]) -> DataFrame:
+def sound_after(rows: DataFrame, span: int, bits: int) -> DataFrame:
+    """rows: at (0 to span), first (null, or an ordinal). Adds after: the next row's first that isn't null.
+
+    Rows are searched in blocks of 2 ** bits places; what a block has no answer for comes from the same
+    search over the blocks, one row each, and so on: no window holds more than a block.
+    """
+    if span < 1 << bits:
+        whole = Window.partitionBy(F.lit(0)).orderBy("at")
+        return rows.withColumn("after", F.first("first", True).over(whole.rowsBetween(1, Window.unboundedFollowing)))
+    told = rows.withColumn("block", F.shiftright("at", bits))
+    inside = Window.partitionBy("block").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    firsts = told.groupBy("block").agg(F.min("first").alias("first")).select(F.col("block").alias("at"), "first")
+    above = sound_after(firsts, span >> bits, bits).select(F.col("at").alias("block"), F.col("after").alias("later"))
+    return told.withColumn("near", F.first("first", True).over(inside)).join(above, "block").select("at", "first", F.coalesce("near", "later").alias("after"))
+
+
+def read_hub(rows: DataFrame, ordinal: str, image: str, columns: list[str], bits: int = 16) -> DataFrame:
     """Rows of a hub table in which a row without a usable image takes the next sound row's columns, around the end.
 
-    Good rows are numbered within blocks of ordinals, so the next one is found without sorting the table in one task.
+    Only ordinals (unique whole numbers; rows without one go) are searched; the rows without an
+    image then meet their sound row by its ordinal. Without any sound row there are no rows.
     """
-    size = 1 << 16
-    told = rows.withColumn("__ok", F.coalesce(F.length(image) > 0, F.lit(False))).withColumn("__block", F.floor(F.col(ordinal) / size))
-    payload = F.when(F.col("__ok"), F.struct(*[F.col(c) for c in (image, *columns)]))
-    ahead = Window.partitionBy("__block").orderBy(ordinal).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    near = told.withColumn("__row", F.first(payload, ignorenulls=True).over(ahead))
-    firsts = told.filter("__ok").groupBy("__block").agg(F.min_by(F.struct(*[F.col(c) for c in (image, *columns)]), ordinal).alias("__first"))
-    # the first sound row of the next block that has one, or of the first block: a row per block
-    blocks = told.select("__block").distinct().join(firsts, "__block", "left")
-    later = Window.orderBy("__block")
-    blocks = blocks.withColumn("__next", F.first("__first", ignorenulls=True).over(later.rowsBetween(1, Window.unboundedFollowing)))
-    blocks = blocks.withColumn("__next", F.coalesce("__next", F.first("__first", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("__block", "__next")
-    out = near.join(F.broadcast(blocks), "__block").withColumn("__row", F.coalesce("__row", "__next"))
-    return out.select(ordinal, *[F.col(f"__row.{c}").alias(c) for c in (image, *columns)])
+    sound = F.coalesce(F.length(image) > 0, F.lit(False))
+    rows = rows.filter(F.col(ordinal).isNotNull())
+    low, high, least = rows.agg(F.min(ordinal), F.max(ordinal), F.min(F.when(sound, F.col(ordinal)))).first()
+    if least is None:
+        return rows.select(ordinal, image, *columns).limit(0)
+    places = rows.select((F.col(ordinal) - low).cast("long").alias("at"), F.when(sound, F.col(ordinal)).alias("first"))
+    moved = sound_after(places, high - low, bits).filter("first IS NULL").select((F.col("at") + low).alias("__at"), F.coalesce("after", F.lit(least)).alias("__sound"))
+    whole = rows.filter(sound).select(ordinal, image, *columns)
+    kind = rows.schema[ordinal].dataType
+    taken = moved.join(whole, F.col("__sound") == F.col(ordinal)).select(F.col("__at").cast(kind).alias(ordinal), image, *columns)
+    return whole.unionByName(taken)
 
 
 def early_stop(rows: DataFrame, ordinal: str, text: str, limits: dict = STREAM) -> DataFrame:

@@ -115,3 +115,78 @@ def test_filters():
 def test_schedules(spark):
     got = weather.schedules(spark, [(3, 0.5, "easy"), (3, 0.25, "hard")])
     assert got.filter("schedule = 'custom'").count() == 1 and got.count() == 13
+
+
+def _paged(folder, name, pages):
+    import json
+
+    for i, members in enumerate(pages):
+        more = f"p{i + 1}" if i + 1 < len(pages) else None
+        (folder / f"{name}-{f'p{i}' if i else ''}.json").write_text(json.dumps({"members": [{"pageid": m, "title": f"t {m}"} for m in members], "continue": more}))
+
+
+def test_a_listing_that_fails_keeps_what_has_come_and_says_so(spark, tmp_path):
+    _paged(tmp_path, "a #1", [[1, 2], [3]])
+    _paged(tmp_path, "b", [[4], [5], [6]])
+    (tmp_path / "b-p1.json").write_text("no json")
+    got = web.paged_listings(spark, f"file://{tmp_path}/{{name}}-{{more}}.json", ["a #1", "b", "none"], 0.0).collect()
+    assert sorted((r.listing, r.place, r.pageid) for r in got if r.error is None) == [("a #1", 0, 1), ("a #1", 1, 2), ("a #1", 2, 3), ("b", 0, 4)]
+    assert sorted((r.listing, r.place) for r in got if r.error) == [("b", 1), ("none", 0)]
+
+
+def test_a_listing_stream_goes_on_after_a_stop(spark, tmp_path):
+    site = tmp_path / "site"
+    site.mkdir()
+    _paged(site, "a", [[1, 2], [3], [4, 5], [6]])
+    _paged(site, "b", [[7]])
+
+    def go(pages=None):
+        rows = web.listing_stream(spark, f"file://{site}/{{name}}-{{more}}.json", ["a", "b"], 0.0)
+        query = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        if pages is None:
+            query.processAllAvailable()
+        else:  # stopped in the middle
+            import time
+
+            end = time.time() + 60
+            while query.lastProgress is None and time.time() < end:
+                time.sleep(0.05)
+        query.stop()
+
+    go(pages=1)
+    go()
+    go()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.listing, r.place, r.pageid) for r in got) == [("a", i, i + 1) for i in range(6)] + [("b", 0, 7)]
+
+
+def test_offsets_are_replayed_as_they_were(tmp_path):
+    _paged(tmp_path, "a", [[1, 2], [3], [4]])
+    (tmp_path / "a-p1.json").write_text("{")
+    reader = web.ListingStream({"base": f"file://{tmp_path}/{{name}}-{{more}}.json", "names": "a"})
+    at, seen = reader.initialOffset(), []
+    for _ in range(4):
+        rows, then = reader.read(at)
+        rows = list(rows)
+        assert list(reader.readBetweenOffsets(at, then)) == rows
+        seen.append((at, then, rows))
+        at = then
+    assert [len(rows) for _, _, rows in seen] == [2, 1, 0, 0] and seen[1][2][0][4] and at["a"]["more"] is None
+    # the page can be read by now, but the stream has told that it couldn't
+    _paged(tmp_path, "a", [[1, 2], [3], [4]])
+    assert list(reader.readBetweenOffsets(seen[0][0], seen[1][1])) == seen[0][2] + seen[1][2]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 16])
+def test_hub_rows_over_levels(spark, bits):
+    rows = [(100 + 3 * i, b"x" if i % 11 in (3, 4) and not 40 < i < 160 else (b"" if i % 2 else None), f"t{i}") for i in range(200)]
+    want, good = {}, [i for i, r in enumerate(rows) if r[1]]
+    for i, r in enumerate(rows):
+        want[r[0]] = rows[next((g for g in good if g >= i), good[0])][2]
+    frame = spark.createDataFrame([*rows, (None, b"x", "lost")], "idx int, image binary, text string")
+    got = web.read_hub(frame, "idx", "image", ["text"], bits).collect()
+    assert {r.idx: r.text for r in got} == want and len(got) == 200
+    assert web.read_hub(frame.filter("length(image) = 0"), "idx", "image", ["text"]).count() == 0
+    plan = web.read_hub(frame, "idx", "image", ["text"])._jdf.queryExecution().optimizedPlan().toString()
+    window = [x for x in plan.splitlines() if "Window [" in x]
+    assert window and not any("image" in x or "text" in x for x in window)

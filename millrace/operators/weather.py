@@ -1,4 +1,4 @@
-"""Wear and variation of pictures: grain, shade, growth, fading, sensor noise, light, focus; training and hand-drawn variation.
+"""Wear and variation of pictures: grain, shade, growth, fading, sensor noise, light, focus; hand-drawn variation, named enhancements.
 
 Each picture has a generator of its own, seeded by base + index, so results do not depend on
 partitions. A chain is a table of (chance, effect); an effect takes the generator, the
@@ -27,8 +27,6 @@ GROWTH = ((90, 120, 70), (130, 140, 80), (160, 165, 140), (80, 100, 60), (170, 1
 # Elastic strength and smoothness, blur range and rotation of hand-drawn variation; the ground colour.
 FREEFORM = {"light": (40, 6, (0.5, 1.2), 1.5), "medium": (75, 8, (0.7, 1.8), 2.0), "heavy": (120, 10, (1.0, 2.2), 3.0)}
 GROUND = 180
-# Noise variances, chance of noise, largest blur, chance of blur, light and contrast limits of training variation.
-TRAINING = {"light": ((5, 15), 0.3, 0, 0.0, 0.1), "medium": ((10, 30), 0.5, 3, 0.3, 0.2), "heavy": ((20, 50), 0.7, 7, 0.5, 0.3)}
 # Named chains of enhancement.
 ENHANCEMENTS = {
     "baseline": [], "clahe": [("clahe", {"clip": 2.0, "grid": 8})], "clahe_mild": [("clahe", {"clip": 1.5, "grid": 8})], "clahe_strong": [("clahe", {"clip": 3.0, "grid": 4})],
@@ -144,18 +142,6 @@ def freeform(x: np.ndarray, severity: str = "medium", seed: int = 42) -> np.ndar
     return clipped(out)
 
 
-def training(x: np.ndarray, severity: str = "medium", seed: int = 42) -> np.ndarray:
-    """Noise, blur and light for training pictures; an unknown severity is medium."""
-    (low, high), p_noise, most, p_blur, limit = TRAINING.get(severity, TRAINING["medium"])
-    rng = np.random.default_rng(seed)
-    out = x.astype(float)
-    if rng.random() < p_noise:
-        out = out + rng.normal(0, np.sqrt(rng.uniform(low, high)), x.shape)
-    if most and rng.random() < p_blur:
-        out = blurred(out, rng.uniform(0.3, most / 3))
-    return clipped(128 + (out - 128) * rng.uniform(1 - limit, 1 + limit) + 255 * rng.uniform(-limit, limit))
-
-
 def bilateral(x: np.ndarray, d: int = 9, colour: float = 75, space: float = 75) -> np.ndarray:
     """Means over a window, weighed by nearness in place and in colour."""
     r = d // 2
@@ -181,20 +167,12 @@ def stem(x: np.ndarray) -> tuple[int, str]:
     return at, "high" if strong[at] > 2 * max(strong.mean(), 1e-9) else "low"
 
 
-def matched(x: np.ndarray, ground: int = GROUND, ink: int = 40, noise: float = 3.0, seed: int = 42) -> np.ndarray:
-    """The style of traces: strokes by Otsu's threshold, on a plain ground, with a little noise."""
-    g = grey(x)
-    strokes = g <= otsu(g)
-    flat = np.where(strokes, ink, ground) + np.random.default_rng(seed).normal(0, noise, g.shape)
-    return np.repeat(clipped(flat)[:, :, None], 3, axis=2)
-
-
 def each(effect):
     """A step of run_steps; its seed is a parameter."""
     return lambda x, **o: effect(x, **o)
 
 
-STEPS.update({"bilateral": each(bilateral), "weather": each(weathered), "freeform": each(freeform), "training": each(training), "match": each(matched), "texture": lambda x, seed=42: textured(x, np.random.default_rng(seed))})
+STEPS.update({"bilateral": each(bilateral), "weather": each(weathered), "freeform": each(freeform), "texture": lambda x, seed=42: textured(x, np.random.default_rng(seed))})
 
 
 def enhanced(pictures: DataFrame, config: str, key: str = "id") -> DataFrame:
@@ -234,17 +212,6 @@ def schedules(spark: SparkSession, custom: list[tuple[int, float, str]] = ()) ->
 GROUP = Group()
 
 
-def _shapes(run):
-    """Shapes of worked pictures, which are all that other engines can tell; the effects have tests of their own."""
-    return lambda s, d: run(_squares(s, d)).select("id", "height", "width", "channels", F.length("pixels").alias("n"))
-
-
-_SHAPE = "SELECT p_partkey AS id, 40::INT AS height, 60::INT AS width, {0}::INT AS channels, (2400 * {0})::INT AS n FROM part"
-for _kind in ("weather", "freeform", "training"):
-    GROUP.frame(f"pictures_{_kind}", _shapes(lambda p, k=_kind: varied(p, k, "heavy")), _SHAPE.format(3))
-for _config, _channels in (("combined", 1), ("bilateral", 3)):
-    GROUP.frame(f"pictures_{_config}", _shapes(lambda p, c=_config: enhanced(p, c)), _SHAPE.format(_channels))
-GROUP.frame("pictures_match", _shapes(lambda p: run_steps(p, [("texture", {}), ("match", {})])), _SHAPE.format(3))
 GROUP.frame("schedule_tables", lambda s, d: schedules(s, [(3, 0.5, "easy"), (3, 0.25, "hard")]).filter("schedule <> 'synthetic_only'"),
             "SELECT * FROM (VALUES ('default', 0, 0.95::DOUBLE, 'easy'), ('default', 10, 0.85::DOUBLE, 'medium'), ('default', 20, 0.7::DOUBLE, 'medium'), ('default', 35, 0.5::DOUBLE, 'hard'), ('aggressive', 0, 0.9::DOUBLE, 'easy'), ('aggressive', 5, 0.7::DOUBLE, 'medium'), ('aggressive', 15, 0.5::DOUBLE, 'medium'), ('aggressive', 25, 0.3::DOUBLE, 'hard'), ('aggressive', 40, 0.2::DOUBLE, 'hard'), ('custom', 3, 0.25::DOUBLE, 'hard')) AS x(schedule, epoch, ratio, difficulty)")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import pixels, weather
+from millrace.operators import variation, pixels, weather
 from millrace.sources import pictures, web
 
 
@@ -92,10 +92,10 @@ def test_wear_is_by_seed_and_severity():
     x = np.full((48, 64, 3), 180, np.uint8)
     x[20:30, 10:50] = 60
     assert (weather.weathered(x, "clean") == x).all()
-    for effect in (weather.weathered, weather.freeform, weather.training):
+    for effect in (weather.weathered, weather.freeform, variation.training):
         a, b, c = effect(x, "heavy", 1), effect(x, "heavy", 1), effect(x, "heavy", 2)
         assert a.shape == x.shape and a.dtype == np.uint8 and (a == b).all() and (a != c).any()
-    assert (weather.training(x, "hard", 3) == weather.training(x, "medium", 3)).all()
+    assert (variation.training(x, "hard", 3) == variation.training(x, "medium", 3)).all()
     with pytest.raises(KeyError):
         weather.weathered(x, "none")
     assert abs(float(weather.grain(np.random.default_rng(1), 30, 40, (8, 16)).mean())) < 0.3
@@ -107,7 +107,8 @@ def test_filters():
     smooth = weather.bilateral(np.clip(x + np.random.default_rng(1).normal(0, 5, x.shape), 0, 255).astype(np.uint8), 5, 50, 50)
     assert smooth[:, :13].std() < 4 and abs(int(smooth[10, 14, 0]) - 100) < 15 and abs(int(smooth[10, 15, 0]) - 200) < 15
     assert weather.stem(x)[0] == 15 and weather.stem(x)[1] == "high"
-    assert set(np.unique(weather.matched(x, noise=0.0))) == {40, 180} and weather.matched(x).shape == x.shape
+    plain = variation.matched(x, noise=0, blur=0, clip=0, flatten=0)
+    assert set(np.unique(plain)) == {80, 180} and plain.shape == variation.matched(x).shape == (384, 691, 3)
     assert set(weather.ENHANCEMENTS) == {"baseline", "clahe", "clahe_mild", "clahe_strong", "bilateral", "retinex", "combined", "weathered"}
     assert set(name for chain in weather.ENHANCEMENTS.values() for name, _ in chain) <= set(pixels.STEPS)
 

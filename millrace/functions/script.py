@@ -154,45 +154,50 @@ def letter_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(g, c, dict(zip(LETTERS, LATIN)).get(c)) for g, letters in GROUPS.items() for c in letters], "group string, letter string, latin string")
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet")
 
 
 GROUP = Group()
 _LETTER = "CASE u " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TO_SCRIPT.items()) + " ELSE '' END"
 _BACK = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TO_LATIN.items()) + " ELSE '?' END"
-_SCRIPT = f"array_to_string(list_transform(regexp_extract_all(upper(n_name), '(?s)({DIGRAPHS}|.)'), lambda u: {_LETTER}), '')"
+_SCRIPT = f"array_to_string(list_transform(regexp_extract_all(upper(p_name), '(?s)({DIGRAPHS}|.)'), lambda u: {_LETTER}), '')"
 _ROUND = f"array_to_string(list_transform(string_split({_SCRIPT}, ''), lambda c: {_BACK}), '')"
-GROUP.frame("latin_to_script", lambda s, d: _nations(s, d).select("n_name", latin_to_script(F.col("n_name")).alias("script")), f"SELECT n_name, {_SCRIPT} AS script FROM nation")
-GROUP.frame("script_to_latin", lambda s, d: _nations(s, d).select("n_name", script_to_latin(latin_to_script(F.col("n_name"))).alias("latin")), f"SELECT n_name, {_ROUND} AS latin FROM nation")
-GROUP.frame("script_roundtrip_loss", lambda s, d: _nations(s, d).select("n_name", (script_to_latin(latin_to_script(F.col("n_name"))) != F.upper("n_name")).alias("lossy")), f"SELECT n_name, {_ROUND} <> upper(n_name) AS lossy FROM nation")
-GROUP.frame("normalize_script", lambda s, d: _nations(s, d).select("n_name", normalize(F.concat(F.lit("᚛"), latin_to_script(F.col("n_name")), F.lit("᚜"))).alias("letters")), f"SELECT n_name, regexp_replace('᚛' || {_SCRIPT} || '᚜', '[^{LETTERS}]', '', 'g') AS letters FROM nation")
-GROUP.frame("validate_script", lambda s, d: _nations(s, d).select("n_name", is_valid(latin_to_script(F.col("n_name"))).alias("valid"), is_valid(F.col("n_name")).alias("latin_valid")), f"SELECT n_name, regexp_full_match({_SCRIPT}, '[ -᚟]+') AS valid, regexp_full_match(n_name, '[ -᚟]+') AS latin_valid FROM nation")
-GROUP.frame("phonotactic_filter", lambda s, d: _nations(s, d).filter(phonotactic(latin_to_script(F.col("n_name")))).select("n_name"), f"SELECT n_name FROM nation WHERE NOT regexp_matches({_SCRIPT}, '[ᚐ-ᚔ]{{4}}|[^ᚐ-ᚔ]{{4}}')")
-_CHARS = f"(SELECT n_nationkey, unnest(string_split({_SCRIPT}, '')) AS c FROM nation)"
+GROUP.frame("latin_to_script", lambda s, d: _parts(s, d).select("p_name", latin_to_script(F.col("p_name")).alias("script")), f"SELECT p_name, {_SCRIPT} AS script FROM part")
+GROUP.frame("script_to_latin", lambda s, d: _parts(s, d).select("p_name", script_to_latin(latin_to_script(F.col("p_name"))).alias("latin")), f"SELECT p_name, {_ROUND} AS latin FROM part")
+GROUP.frame("script_roundtrip_loss", lambda s, d: _parts(s, d).select("p_name", (script_to_latin(latin_to_script(F.col("p_name"))) != F.upper("p_name")).alias("lossy")), f"SELECT p_name, {_ROUND} <> upper(p_name) AS lossy FROM part")
+GROUP.frame("normalize_script", lambda s, d: _parts(s, d).select("p_name", normalize(F.concat(F.lit("᚛"), latin_to_script(F.col("p_name")), F.lit("᚜"))).alias("letters")), f"SELECT p_name, regexp_replace('᚛' || {_SCRIPT} || '᚜', '[^{LETTERS}]', '', 'g') AS letters FROM part")
+GROUP.frame("validate_script", lambda s, d: _parts(s, d).select("p_name", is_valid(latin_to_script(F.col("p_name"))).alias("valid"), is_valid(F.col("p_name")).alias("latin_valid")), f"SELECT p_name, regexp_full_match({_SCRIPT}, '[ -᚟]+') AS valid, regexp_full_match(p_name, '[ -᚟]+') AS latin_valid FROM part")
+GROUP.frame("phonotactic_filter", lambda s, d: _parts(s, d).filter(phonotactic(latin_to_script(F.col("p_name")))).select("p_name"), f"SELECT p_name FROM part WHERE NOT regexp_matches({_SCRIPT}, '[ᚐ-ᚔ]{{4}}|[^ᚐ-ᚔ]{{4}}')")
+_CHARS = f"(SELECT p_partkey, unnest(string_split({_SCRIPT}, '')) AS c FROM part)"
 
 
 def _letters(s: SparkSession, d: str) -> DataFrame:
-    return _nations(s, d).select("n_nationkey", F.explode(character_counts(latin_to_script(F.col("n_name")))).alias("c"))
+    return _parts(s, d).select("p_partkey", F.explode(character_counts(latin_to_script(F.col("p_name")))).alias("c"))
 
 
 GROUP.frame("script_char_counts", lambda s, d: _letters(s, d).groupBy("c").agg(F.count("*").alias("n")), f"SELECT c, count(*) AS n FROM {_CHARS} WHERE c <> '' GROUP BY c")
 GROUP.frame(
     "character_info",
-    lambda s, d: _letters(s, d).select("n_nationkey", "c", character_info(F.col("c")).alias("i")).select("n_nationkey", "c", "i.codepoint", "i.latin", "i.group", "i.is_vowel", "i.frequency").distinct(),
-    "SELECT DISTINCT n_nationkey, c, 'U+' || upper(to_hex(unicode(c))) AS codepoint, "
+    lambda s, d: _letters(s, d).select("p_partkey", "c", character_info(F.col("c")).alias("i")).select("p_partkey", "c", "i.codepoint", "i.latin", "i.group", "i.is_vowel", "i.frequency").distinct(),
+    "SELECT DISTINCT p_partkey, c, 'U+' || upper(to_hex(unicode(c))) AS codepoint, "
     + "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in zip(LETTERS, LATIN)) + " END AS latin, "
     + 'CASE WHEN unicode(c) BETWEEN 5761 AND 5765 THEN \'Aicme Beithe (B Group)\' WHEN unicode(c) BETWEEN 5766 AND 5770 THEN \'Aicme hÚatha (H Group)\' WHEN unicode(c) BETWEEN 5771 AND 5775 THEN \'Aicme Muine (M Group)\' WHEN unicode(c) BETWEEN 5776 AND 5780 THEN \'Aicme Ailme (Vowels)\' WHEN unicode(c) BETWEEN 5781 AND 5785 THEN \'Forfeda (Supplementary)\' ELSE \'Space\' END AS "group", '
     + "unicode(c) BETWEEN 5776 AND 5780 AS is_vowel, CASE c " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in FREQUENCIES.items()) + f" ELSE 0::DOUBLE END AS frequency FROM {_CHARS} WHERE c <> ''",
 )
-GROUP.frame("script_words", lambda s, d: _nations(s, d).select("n_nationkey", F.size(words(latin_to_script(F.col("n_name")))).alias("n"), F.element_at(words(latin_to_script(F.col("n_name"))), 1).alias("first")), f"SELECT n_nationkey, (1 + length(n_name) - length(replace(n_name, ' ', '')))::INT AS n, string_split({_SCRIPT}, '{SPACE}')[1] AS first FROM nation")
-GROUP.frame("plain_spaces", lambda s, d: _nations(s, d).select("n_nationkey", plain_spaces(latin_to_script(F.col("n_name"))).alias("label")), f"SELECT n_nationkey, replace({_SCRIPT}, '{SPACE}', ' ') AS label FROM nation")
-GROUP.frame("reading_direction", lambda s, d: _nations(s, d).select("n_nationkey", reading_direction(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(FEATHERS[0]), F.col("n_name"))).otherwise(F.col("n_name"))).alias("direction")), "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'left_to_right' ELSE 'bottom_to_top' END AS direction FROM nation")
-GROUP.frame("script_to_latin_keep", lambda s, d: _nations(s, d).select("n_nationkey", script_to_latin(F.concat(latin_to_script(F.col("n_name")), F.lit("-x")), None).alias("latin")), f"SELECT n_nationkey, {_ROUND} || '-x' AS latin FROM nation")
-GROUP.frame("character_classes", lambda s, d: _letters(s, d).select("n_nationkey", "c", is_block_char(F.col("c")).alias("in_block"), is_letter(F.col("c")).alias("letter")).distinct(), f"SELECT DISTINCT n_nationkey, c, true AS in_block, c <> '{SPACE}' AS letter FROM {_CHARS} WHERE c <> ''")
+GROUP.frame("script_words", lambda s, d: _parts(s, d).select("p_partkey", F.size(words(latin_to_script(F.col("p_name")))).alias("n"), F.element_at(words(latin_to_script(F.col("p_name"))), 1).alias("first")), f"SELECT p_partkey, (1 + length(p_name) - length(replace(p_name, ' ', '')))::INT AS n, string_split({_SCRIPT}, '{SPACE}')[1] AS first FROM part")
+GROUP.frame("plain_spaces", lambda s, d: _parts(s, d).select("p_partkey", plain_spaces(latin_to_script(F.col("p_name"))).alias("label")), f"SELECT p_partkey, replace({_SCRIPT}, '{SPACE}', ' ') AS label FROM part")
+GROUP.frame("reading_direction", lambda s, d: _parts(s, d).select("p_partkey", reading_direction(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(FEATHERS[0]), F.col("p_name"))).otherwise(F.col("p_name"))).alias("direction")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'left_to_right' ELSE 'bottom_to_top' END AS direction FROM part")
+GROUP.frame("script_to_latin_keep", lambda s, d: _parts(s, d).select("p_partkey", script_to_latin(F.concat(latin_to_script(F.col("p_name")), F.lit("-x")), None).alias("latin")), f"SELECT p_partkey, {_ROUND} || '-x' AS latin FROM part")
+GROUP.frame("character_classes", lambda s, d: _letters(s, d).select("p_partkey", "c", is_block_char(F.col("c")).alias("in_block"), is_letter(F.col("c")).alias("letter")).distinct(), f"SELECT DISTINCT p_partkey, c, true AS in_block, c <> '{SPACE}' AS letter FROM {_CHARS} WHERE c <> ''")
 GROUP.frame(
     "annotation_form",
-    lambda s, d: _nations(s, d).select("n_nationkey", annotation(F.when(F.col("n_nationkey") % 3 == 0, F.lit("ᚁᚂ")).when(F.col("n_nationkey") % 3 == 1, F.lit("bad")), F.col("n_name"), F.when(F.col("n_nationkey") > 9, F.col("n_nationkey"))).alias("a")).select("n_nationkey", "a.*"),
-    f"SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'ᚁᚂ' WHEN 2 THEN {_SCRIPT} END AS text, CASE WHEN n_nationkey % 3 <> 1 THEN CASE WHEN n_nationkey > 9 THEN n_nationkey + 1 ELSE 1 END END AS version, CASE WHEN n_nationkey % 3 = 1 THEN 'invalid' END AS error FROM nation",
+    lambda s, d: _parts(s, d).select("p_partkey", annotation(F.when(F.col("p_partkey") % 3 == 0, F.lit("ᚁᚂ")).when(F.col("p_partkey") % 3 == 1, F.lit("bad")), F.col("p_name"), F.when(F.col("p_partkey") > 9, F.col("p_partkey"))).alias("a")).select("p_partkey", "a.*"),
+    f"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ᚁᚂ' WHEN 2 THEN {_SCRIPT} END AS text, CASE WHEN p_partkey % 3 <> 1 THEN CASE WHEN p_partkey > 9 THEN p_partkey + 1 ELSE 1 END END AS version, CASE WHEN p_partkey % 3 = 1 THEN 'invalid' END AS error FROM part",
+)
+# the table's rows with how often the parts' names have each letter
+GROUP.frame(
+    "letter_table",
+    lambda s, d: F.broadcast(letter_table(s)).join(_letters(s, d).groupBy(F.col("c").alias("letter")).agg(F.count("*").alias("n")), "letter", "right").select("group", "letter", "latin", "n"),
+    f"WITH t(g, letter, latin) AS (VALUES " + ", ".join(f"('{g}', '{c}', {repr(dict(zip(LETTERS, LATIN))[c]) if c in LETTERS else 'NULL'})" for g, letters in GROUPS.items() for c in letters) + f') SELECT g AS "group", letter, latin, count(*) AS n FROM {_CHARS} JOIN t ON c = letter GROUP BY ALL',
 )
-GROUP.frame("letter_table", lambda s, d: letter_table(s), "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{c}', {repr(dict(zip(LETTERS, LATIN))[c]) if c in LETTERS else 'NULL'})" for g, letters in GROUPS.items() for c in letters) + ") AS t(\"group\", letter, latin)")

@@ -72,8 +72,23 @@ def _one(name: str, run, oracle: str, *tables: str) -> None:
 
 _one("enum_coercion", lambda o: o.select("o_orderkey", coerced(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")), ("O", "F", "P", "missing"), "missing").alias("status")),
      "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus ELSE 'missing' END AS status FROM orders", "orders")
-_one("record_projection", lambda n: n.select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").cast("int").alias("id"), F.upper("n_name").alias("name"), F.array(F.col("n_regionkey").cast("int"), F.lit(1)).alias("pair"))).alias("row")),
-     """SELECT n_nationkey, '{"id":' || n_nationkey || ',"name":"' || upper(n_name) || '","pair":[' || n_regionkey || ',1]}' AS row FROM nation""", "nation")
+def record_json(rows: DataFrame, key: str, **fields: Column) -> DataFrame:
+    """key and row: the record as JSON, all fields in their order, missing ones as null, enumerations by their value, lists and nested records whole."""
+    return rows.select(key, F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"}).alias("row"))
+
+
+_one(
+    "record_projection",
+    lambda o, c: record_json(
+        o.join(c, o["o_custkey"] == c["c_custkey"], "left"), "o_orderkey", id=F.col("o_orderkey"), status=coerced(F.col("o_orderstatus"), ("O", "F", "P"), "O"), priority=F.lower("o_orderpriority"),
+        date=F.date_format("o_orderdate", "yyyy-MM-dd"), cents=F.round(F.col("o_totalprice") * 100).cast("long"), severity=F.when(F.col("c_acctbal") < 0, "severe"),
+        place=F.struct(F.col("c_custkey").alias("customer"), F.when(F.col("o_orderkey") % 3 > 0, F.col("c_mktsegment")).alias("segment")), keys=F.array(F.col("o_orderkey"), F.col("o_custkey")),
+    ),
+    """SELECT o_orderkey, '{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || lower(o_orderpriority) || '","date":"' || strftime(o_orderdate, '%Y-%m-%d') || '","cents":' || round(o_totalprice * 100)::BIGINT
+    || ',"severity":' || CASE WHEN c_acctbal < 0 THEN '"severe"' ELSE 'null' END || ',"place":{"customer":' || c_custkey || ',"segment":' || CASE WHEN o_orderkey % 3 > 0 THEN '"' || c_mktsegment || '"' ELSE 'null' END || '},"keys":[' || o_orderkey || ',' || o_custkey || ']}' AS row
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+    "orders", "customer",
+)
 _one("text_present", lambda d: d.filter(F.coalesce("text", F.lit("")) != "").select("doc_id"), "SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 0", "documents")
 
 
@@ -115,8 +130,6 @@ _one("top_rows", lambda o: o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit
 _CUT = "CASE WHEN rn <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN rn <= floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split"
 for _name, _id, _t in (("random_split", "c_custkey", "customer"), ("string_id_split", "concat('SYNTH-FF-', lpad(CAST(s_suppkey AS STRING), 4, '0'))", "supplier")):
     GROUP.add(_name, "WITH " + HASHED.format(id=_id, k="1", t=_t) + f"SELECT id, {_CUT} FROM h", "WITH " + RANKED.format(id=_id.replace("STRING", "VARCHAR"), k="1", t=_t) + f"SELECT id, {_CUT} FROM h")
-GROUP.add("glob_union", "SELECT CAST(p_partkey AS STRING) AS name, 'png' AS kind FROM part WHERE p_size % 2 = 0 UNION ALL SELECT CAST(p_partkey AS STRING), 'jpg' FROM part WHERE p_size % 3 = 0",
-          "SELECT CAST(p_partkey AS VARCHAR) AS name, unnest(list_filter(['png', 'jpg'], lambda x: CASE x WHEN 'png' THEN p_size % 2 = 0 ELSE p_size % 3 = 0 END)) AS kind FROM part")
 GROUP.add("epoch_record", """WITH s AS (SELECT turn, text AS r, concat(coalesce(text, ''), CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE '' END) AS p, CAST(conv_id % 11 AS DOUBLE) / 10 AS loss FROM conversations)
   SELECT turn AS epoch, avg(loss) AS loss, avg(CASE WHEN trim(p) = trim(coalesce(r, '')) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS exact, CAST(sum(levenshtein(p, coalesce(r, ''))) AS DOUBLE) / sum(greatest(length(coalesce(r, '')), 1)) AS cer FROM s GROUP BY turn""",
           # what the prediction has beyond the reference is one blank, so its count is the distance
@@ -139,17 +152,11 @@ GROUP.add("normalised_pixels", """SELECT p_partkey, array_join(transform(array(p
           """SELECT p_partkey, concat_ws(',', CAST(round((p_size / 255::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE * 10000)::BIGINT AS VARCHAR), CAST(round(((p_partkey % 256) / 255::DOUBLE - 0.456::DOUBLE) / 0.224::DOUBLE * 10000)::BIGINT AS VARCHAR), CAST(round((1::DOUBLE - 0.406::DOUBLE) / 0.225::DOUBLE * 10000)::BIGINT AS VARCHAR)) AS v FROM part""")
 GROUP.add("config_record", """SELECT p_partkey, to_json(named_struct('height', p_size, 'padding', p_size % 16, 'brand', p_brand)) AS config FROM part""",
           """SELECT p_partkey, '{"height":' || p_size || ',"padding":' || p_size % 16 || ',"brand":"' || p_brand || '"}' AS config FROM part""")
-GROUP.add("embedding_mean", """WITH e AS (SELECT p_partkey, transform(sequence(1, 4), i -> CAST(p_partkey * i % 97 AS DOUBLE)) AS a, transform(sequence(1, 4), i -> CAST(p_size * i % 89 AS DOUBLE)) AS b FROM part)
-  SELECT p_partkey, array_join(transform(zip_with(a, b, (x, y) -> (x + y) / 2), z -> CAST(CAST(z * 2 AS BIGINT) AS STRING)), ',') AS twice FROM e""",
-          """SELECT p_partkey, array_to_string(list_transform(range(1, 5), lambda i: p_partkey * i % 97 + p_size * i % 89), ',') AS twice FROM part""")
-GROUP.add("round_trip_report", """WITH t AS (SELECT DISTINCT explode(split(p_name, ' ')) AS token FROM part), f AS (SELECT token, length(token) <= 5 AS single, lower(upper(token)) = token AS back FROM t)
-  SELECT count(*) AS n, count_if(single) AS n_single, count_if(back) AS n_back, count_if(single AND back) AS n_both FROM f""",
-          """SELECT count(*) AS n, sum(CASE WHEN length(token) <= 5 THEN 1 ELSE 0 END)::BIGINT AS n_single, sum(CASE WHEN lower(token) = token THEN 1 ELSE 0 END)::BIGINT AS n_back, sum(CASE WHEN length(token) <= 5 AND lower(token) = token THEN 1 ELSE 0 END)::BIGINT AS n_both FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part)""")
 GROUP.add("stroke_segments", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_linenumber AS DOUBLE) AS y1, CAST(l_partkey % 5 + 1 AS INT) AS n, substring('bhma', CAST(l_suppkey % 4 AS INT) + 1, 1) AS side FROM lineitem),
   s AS (SELECT *, explode(sequence(0, n - 1)) AS i FROM c), o AS (SELECT *, x1 + 50 + (i - (n - 1) / CAST(2 AS DOUBLE)) * 8 AS sx, y1 AS sy FROM s)
   SELECT l_orderkey, l_linenumber, i, CASE side WHEN 'm' THEN sx - 14 ELSE sx END AS ax, CASE side WHEN 'm' THEN sy + 14 WHEN 'a' THEN sy - 6 ELSE sy END AS ay, CASE side WHEN 'm' THEN sx + 14 ELSE sx END AS bx, CASE side WHEN 'b' THEN sy + 28 WHEN 'h' THEN sy - 28 WHEN 'm' THEN sy - 14 ELSE sy + 6 END AS byy FROM o""",
           """WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE + 50 AS x, l_linenumber::DOUBLE AS y, (l_partkey % 5 + 1)::INT AS n, (l_suppkey % 4)::INT AS side, unnest(range(0, (l_partkey % 5 + 1)::INT))::INT AS i FROM lineitem),
   d AS (SELECT *, x + 8 * i - 4 * (n - 1) AS sx FROM c)
   SELECT l_orderkey, l_linenumber, i, sx + [0, 0, -14, 0][side + 1] AS ax, y + [0, 0, 14, -6][side + 1] AS ay, sx + [0, 0, 14, 0][side + 1] AS bx, y + [28, -28, -14, 6][side + 1] AS byy FROM d""")
-GROUP.add("text_dimensions", """WITH c AS (SELECT n_nationkey, filter(split(n_name, ''), x -> x <> '') AS l FROM nation) SELECT n_nationkey, aggregate(l, 0, (a, x) -> a + 10 + ascii(x) % 7 + 4) - CASE WHEN size(l) > 0 THEN 4 ELSE 0 END AS width FROM c""",
-          """SELECT n_nationkey, CAST(list_sum(list_transform(string_split(n_name, ''), lambda x: 14 + ascii(x) % 7)) - 4 AS INT) AS width FROM nation""")
+GROUP.add("text_dimensions", """WITH c AS (SELECT p_partkey, filter(split(p_name, ''), x -> x <> '') AS l FROM part) SELECT p_partkey, aggregate(l, 0, (a, x) -> a + 10 + ascii(x) % 7 + 4) - CASE WHEN size(l) > 0 THEN 4 ELSE 0 END AS width FROM c""",
+          """SELECT p_partkey, CAST(list_sum(list_transform(string_split(p_name, ''), lambda x: 14 + ascii(x) % 7)) - 4 AS INT) AS width FROM part""")

@@ -212,8 +212,22 @@ def schedules(spark: SparkSession, custom: list[tuple[int, float, str]] = ()) ->
 GROUP = Group()
 
 
-GROUP.frame("schedule_tables", lambda s, d: schedules(s, [(3, 0.5, "easy"), (3, 0.25, "hard")]).filter("schedule <> 'synthetic_only'"),
-            "SELECT * FROM (VALUES ('default', 0, 0.95::DOUBLE, 'easy'), ('default', 10, 0.85::DOUBLE, 'medium'), ('default', 20, 0.7::DOUBLE, 'medium'), ('default', 35, 0.5::DOUBLE, 'hard'), ('aggressive', 0, 0.9::DOUBLE, 'easy'), ('aggressive', 5, 0.7::DOUBLE, 'medium'), ('aggressive', 15, 0.5::DOUBLE, 'medium'), ('aggressive', 25, 0.3::DOUBLE, 'hard'), ('aggressive', 40, 0.2::DOUBLE, 'hard'), ('custom', 3, 0.25::DOUBLE, 'hard')) AS x(schedule, epoch, ratio, difficulty)")
+def _scheduled(s: SparkSession, d: str) -> DataFrame:
+    """For each part, the phase of every schedule at the epoch that is its size: the last one that has begun."""
+    part = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("int").alias("at"))
+    phases = schedules(s, [(3, 0.5, "easy"), (3, 0.25, "hard")])
+    told = phases.groupBy("schedule").agg(F.array_sort(F.collect_list(F.struct("epoch", "ratio", "difficulty"))).alias("phases"))
+    begun = F.filter("phases", lambda x: x["epoch"] <= F.col("at"))
+    return part.crossJoin(F.broadcast(told)).select("p_partkey", "schedule", F.try_element_at(begun, F.lit(-1)).alias("x")).filter("x IS NOT NULL").select("p_partkey", "schedule", "x.epoch", "x.ratio", "x.difficulty")
+
+
+GROUP.frame(
+    "schedule_tables", _scheduled,
+    """WITH t(schedule, epoch, ratio, difficulty) AS (VALUES ('default', 0, 0.95::DOUBLE, 'easy'), ('default', 10, 0.85::DOUBLE, 'medium'), ('default', 20, 0.7::DOUBLE, 'medium'), ('default', 35, 0.5::DOUBLE, 'hard'),
+    ('aggressive', 0, 0.9::DOUBLE, 'easy'), ('aggressive', 5, 0.7::DOUBLE, 'medium'), ('aggressive', 15, 0.5::DOUBLE, 'medium'), ('aggressive', 25, 0.3::DOUBLE, 'hard'), ('aggressive', 40, 0.2::DOUBLE, 'hard'),
+    ('synthetic_only', 0, 1::DOUBLE, 'easy'), ('synthetic_only', 15, 1::DOUBLE, 'medium'), ('synthetic_only', 30, 1::DOUBLE, 'hard'), ('custom', 3, 0.25::DOUBLE, 'hard'))
+    SELECT p_partkey, schedule, max(epoch)::INT AS epoch, arg_max(ratio, epoch) AS ratio, arg_max(difficulty, epoch) AS difficulty FROM part JOIN t ON epoch <= p_size GROUP BY p_partkey, schedule""",
+)
 
 
 def stem_report(pictures: DataFrame, key: str = "id") -> DataFrame:

@@ -107,9 +107,30 @@ def read_splits(spark: SparkSession, root: str, names: tuple[str, ...] = ("train
     return rows.filter("id <> ''")
 
 
-def write_splits(df: DataFrame, root: str) -> None:
-    """df: split, id. A folder of sorted lines for each split."""
+def write_splits(df: DataFrame, root: str, seed: int | None = None) -> None:
+    """df: split, id. A folder of sorted lines for each split, and beside root a record of the seed, the total and the number and share of each split's ids."""
     df.repartitionByRange("split", "id").sortWithinPartitions("split", "id").select("split", F.col("id").alias("value")).write.mode("overwrite").partitionBy("split").text(root)
+    counts = df.groupBy("split").agg(F.count("*").alias("n"))  # a row for each split
+    told = counts.agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("split", "n"))).alias("splits"))
+    shares = F.transform("splits", lambda x: F.struct(x["split"].alias("split"), x["n"].alias("n"), (x["n"] / F.col("total")).alias("share")))
+    told.select(F.lit(seed).cast("long").alias("seed"), F.coalesce("total", F.lit(0)).alias("total"), shares.alias("splits")).coalesce(1).write.mode("overwrite").json(f"{root}.metadata")
+
+
+def read_split_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """seed, total, splits (split, n, share) as they were written."""
+    return spark.read.schema("seed long, total long, splits array<struct<split:string,n:long,share:double>>").json(f"{root}.metadata")
+
+
+def union_of_globs(spark: SparkSession, root: str, *globs: str) -> DataFrame:
+    """path, name, folder and kind of the files below root that any of the globs names; one that several name comes once."""
+    found = None
+    for glob in globs:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path")
+        found = rows if found is None else found.union(rows)
+    if found is None:
+        raise ValueError("no glob")
+    part = F.split("path", "/")
+    return found.distinct().select("path", F.element_at(part, -1).alias("name"), F.element_at(part, -2).alias("folder"), extension(F.col("path")).alias("kind"))
 
 
 def list_images(spark: SparkSession, root: str, types: tuple[str, ...] = IMAGE_TYPES) -> DataFrame:

@@ -97,3 +97,19 @@ def decode_table(images, key: str = "path", content: str = "image"):
             yield pa.RecordBatch.from_arrays([b.column(key), *cols], [key, "height", "width", "channels", "pixels", "error"])
 
     return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, height int, width int, channels int, pixels binary, error string")
+
+
+def encode_table(images, key: str = "path"):
+    """key and image, the PNG of each picture; null where there is none."""
+    src = images.select(key, "height", "width", "channels", "pixels")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for h, w, c, raw in zip(*(b.column(k).to_pylist() for k in ("height", "width", "channels", "pixels"))):
+                out.append(None if raw is None else encoded(np.frombuffer(raw, np.uint8).reshape(h, w, c)))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(out, pa.binary())], [key, "image"])
+
+    return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, image binary")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import extract, pages, script
+from millrace.operators import stems, variation  # noqa: F401 (steps of variation are found by name)
+from millrace.operators.pixels import run_steps
 from millrace.plans.registry import Group
 from millrace.sources import files, logs, pictures, sink, web
 from millrace.sources.store import Store
@@ -421,9 +423,45 @@ def _(s, t, at):
     return web.image_records(rows).select("image_id", "file", "status")
 
 
-@_q("source_settings", "SELECT * FROM (VALUES ('cisp', 2.0::DOUBLE, 3::BIGINT), ('dias', 3.0::DOUBLE, 3::BIGINT), ('commons', 1.0::DOUBLE, 3::BIGINT)) AS x(source, rate, tries)")
+@_q("source_settings", """SELECT source, rate, 3::BIGINT AS tries, n, rate * (n - 1) AS least_seconds FROM (SELECT ['cisp', 'dias', 'commons'][p_size % 3 + 1] AS source, count(*) AS n FROM part GROUP BY p_size % 3)
+  JOIN (VALUES ('cisp', 2.0::DOUBLE), ('dias', 3.0::DOUBLE), ('commons', 1.0::DOUBLE)) AS r(source, rate) USING (source)""")
 def _(s, t, at):
-    return web.settings(s)
+    # what a crawl of the parts takes at least, at each source's pace
+    asked = t("part").select(F.expr("element_at(array('cisp', 'dias', 'commons'), CAST(p_size % 3 + 1 AS INT))").alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+    return asked.join(F.broadcast(web.settings(s)), "source").select("source", "rate", F.col("tries").cast("long").alias("tries"), "n", (F.col("rate") * (F.col("n") - 1)).alias("least_seconds"))
+
+
+@_q("glob_union", f"SELECT file AS name, folder, lower(right(file, 3)) AS kind FROM {_FILES} WHERE k % 3 < 2")
+def _(s, t, at):
+    _gallery(s, t, at)
+    return files.union_of_globs(s, f"{at}/site", "*.png", "*.PNG").select("name", "folder", "kind")
+
+
+@_q("split_metadata", """SELECT split, count(*) AS n, round(count(*) / (SELECT count(*) FROM customer)::DOUBLE, 9) AS share, 42::BIGINT AS seed, (SELECT count(*) FROM customer) AS total
+  FROM (SELECT CASE WHEN c_custkey % 10 < 7 THEN 'train' WHEN c_custkey % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM customer) GROUP BY split""")
+def _(s, t, at):
+    files.write_splits(t("customer").selectExpr("CASE WHEN c_custkey % 10 < 7 THEN 'train' WHEN c_custkey % 10 < 9 THEN 'val' ELSE 'test' END AS split", "c_name AS id"), f"{at}/splits", seed=42)
+    told = files.read_split_metadata(s, f"{at}/splits")
+    return told.select("seed", "total", F.explode("splits").alias("x")).select("x.split", "x.n", F.round(F.col("x.n") / F.col("total"), 9).alias("share"), "seed", "total")
+
+
+@_q("folder_crops", f"SELECT folder || '/' || file AS tail, CASE WHEN k % 4 > 0 THEN (5 + k % 50) // 10 END::INT AS left, k % 4 = 0 AS failed, 'low' AS confidence FROM {_FILES} WHERE k % 3 < 2")
+def _(s, t, at):
+    images = _gallery(s, t, at).select("path")
+    raw = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/site").select("path", F.col("content").alias("image"))
+    told = stems.crop_reports(pictures.decode_table(raw.join(images, "path", "left_semi")), "path")
+    return told.select(F.expr("substring_index(path, '/', -2)").alias("tail"), F.col("box")[0].alias("left"), F.col("error").isNotNull().alias("failed"), "confidence")
+
+
+@_q("folder_styles", f"SELECT folder || '/' || k || '.png' AS tail, 40::INT AS height, CASE WHEN k % 4 > 0 THEN greatest(134, floor(40::DOUBLE * ((5 + k % 50) / 9::DOUBLE) * 1.2::DOUBLE)) END::INT AS width FROM {_FILES} WHERE k % 3 < 2 AND k % 4 > 0")
+def _(s, t, at):
+    images = _gallery(s, t, at).select("path")
+    raw = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/site").select("path", F.col("content").alias("image"))
+    made = run_steps(pictures.decode_table(raw.join(images, "path", "left_semi")).filter("error IS NULL"), [("match", {"height": 40})], "path")
+    tail = F.concat(F.regexp_replace(F.expr("substring_index(path, '/', -2)"), r"\.[^.]*$", ""), F.lit(".png"))
+    _written(pictures.encode_table(made.withColumn("tail", tail), "tail").select("tail", F.col("image").alias("content")), f"{at}/styled")
+    back = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/styled").select("path", F.col("content").alias("image"))
+    return pictures.decode_table(back).select(F.expr("substring_index(path, '/', -2)").alias("tail"), "height", "width")
 
 
 @_q("clean_transcriptions", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'ᚁᚂ' WHEN 1 THEN 'ᚁ' || chr(5760) || 'ᚂ' WHEN 2 THEN 'ᚃ' ELSE '' END AS text FROM part")

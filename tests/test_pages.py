@@ -56,9 +56,9 @@ def test_sampler_rules():
 
 
 def test_fonts(spark):
-    assert sorted(map(tuple, generate.fonts(spark, ["f"], 20, 35).collect())) == [("f", 20), ("f", 25), ("f", 30)]
+    assert sorted(map(tuple, generate.fonts(spark.createDataFrame([("f",), ("f",)], "n string"), "n", 20, 35).collect())) == [("f", 20), ("f", 25), ("f", 30)]
     with pytest.raises(ValueError):
-        generate.fonts(spark, [], 1, 2)
+        generate.fonts(spark.createDataFrame([], "n string"), "n", 1, 2)
 
 
 def test_picture_arithmetic():

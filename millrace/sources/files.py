@@ -125,7 +125,7 @@ def union_of_globs(spark: SparkSession, root: str, *globs: str) -> DataFrame:
     """path, name, folder and kind of the files below root that any of the globs names; one that several name comes once."""
     found = None
     for glob in globs:
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path")
+        rows = binary_files(spark, root, glob).select("path")
         found = rows if found is None else found.union(rows)
     if found is None:
         raise ValueError("no glob")
@@ -133,11 +133,19 @@ def union_of_globs(spark: SparkSession, root: str, *globs: str) -> DataFrame:
     return found.distinct().select("path", F.element_at(part, -1).alias("name"), F.element_at(part, -2).alias("folder"), extension(F.col("path")).alias("kind"))
 
 
+def binary_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """The files below root, whole. Spark may plan a task for each small file; here tasks take up to 32 of them where there are many more than cores."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    tasks, cores = rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return rows.coalesce(max(4 * cores, tasks // 32)) if tasks > 4 * cores else rows
+
+
 def list_images(spark: SparkSession, root: str, types: tuple[str, ...] = IMAGE_TYPES) -> DataFrame:
     """path, folder (the last), file, length of all images below root; contents are not read."""
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, folder string, file string, length long")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = binary_files(spark, root)
     part = F.split("path", "/")
     return rows.filter(extension(F.col("path")).isin(*types)).select("path", F.element_at(part, -2).alias("folder"), F.element_at(part, -1).alias("file"), "length")
 
@@ -162,14 +170,14 @@ def resolve(labels: DataFrame, images: DataFrame, base: str, nested_first: bool
 
 def image_table(spark: SparkSession, resolved: DataFrame, root: str) -> DataFrame:
     """Resolved labels with the image's bytes, ready for a Parquet sink; difficulty defaults to `unknown`."""
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("content").alias("image"))
+    contents = binary_files(spark, root).select("path", F.col("content").alias("image"))
     level = F.coalesce(F.nullif("difficulty", F.lit("")), F.lit("unknown")) if "difficulty" in resolved.columns else F.lit("unknown")
     return resolved.withColumn("difficulty", level).join(contents, "path")
 
 
 def folder_sizes(spark: SparkSession, root: str) -> DataFrame:
     """Size in MiB of every folder directly below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    files = binary_files(spark, root).select("path", "length")
     below = F.element_at(F.split(F.element_at(F.split("path", f"{root.rstrip('/')}/", 2), -1), "/"), 1)
     return files.groupBy(below.alias("folder")).agg((F.sum("length") / F.lit(1048576.0)).alias("mib"))
 
@@ -183,7 +191,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """tail and length of all files below root; empty if it is missing."""
     if not exists(spark, root):
         return spark.createDataFrame([], "tail string, length long")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = binary_files(spark, root)
     return files.select(F.element_at(F.split("path", f"{root.split(':')[-1].rstrip('/')}/", 2), -1).alias("tail"), "length")
 
 

@@ -156,7 +156,7 @@ def _(s, t, at):
 @_q("decoded_images", f"SELECT file, CASE WHEN k % 4 > 0 THEN 9 END::INT AS height, CASE WHEN k % 4 > 0 THEN 5 + k % 50 END::INT AS width, CASE WHEN k % 4 > 0 THEN k % 200 END::INT AS value, k % 4 = 0 AS failed FROM {_FILES} WHERE k % 3 < 2")
 def _(s, t, at):
     images = _gallery(s, t, at)
-    raw = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/site").select("path", F.col("content").alias("image"))
+    raw = files.binary_files(s, f"{at}/site").select("path", F.col("content").alias("image"))
     told = pictures.decode_table(raw.join(images.select("path"), "path", "left_semi"))
     # the second row of each picture is plain
     value = F.conv(F.hex(F.expr("substring(pixels, width * channels + 1, 1)")), 16, 10).cast("int")
@@ -284,7 +284,7 @@ def _stored(s: SparkSession, t, at: str) -> Store:
 @_q("sink_images", f"SELECT file, folder, k % 200 AS value FROM {_FILES} WHERE k % 3 < 2 AND k % 4 > 0")
 def _(s, t, at):
     images = _gallery(s, t, at)
-    raw = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/site").select("path", F.col("content").alias("image"))
+    raw = files.binary_files(s, f"{at}/site").select("path", F.col("content").alias("image"))
     sink.write(files.sound_images(images, least=50).join(raw, "path").select("file", "folder", "image"), f"{at}/hub")
     told = pictures.decode_table(sink.read(s, f"{at}/hub", "file string, folder string, image binary").select(F.concat_ws("/", "folder", "file").alias("path"), "image"))
     value = F.conv(F.hex(F.expr("substring(pixels, width * channels + 1, 1)")), 16, 10).cast("long")
@@ -448,7 +448,7 @@ def _(s, t, at):
 @_q("folder_crops", f"SELECT folder || '/' || file AS tail, CASE WHEN k % 4 > 0 THEN (5 + k % 50) // 10 END::INT AS left, k % 4 = 0 AS failed, 'low' AS confidence FROM {_FILES} WHERE k % 3 < 2")
 def _(s, t, at):
     images = _gallery(s, t, at).select("path")
-    raw = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/site").select("path", F.col("content").alias("image"))
+    raw = files.binary_files(s, f"{at}/site").select("path", F.col("content").alias("image"))
     told = stems.crop_reports(pictures.decode_table(raw.join(images, "path", "left_semi")), "path")
     return told.select(F.expr("substring_index(path, '/', -2)").alias("tail"), F.col("box")[0].alias("left"), F.col("error").isNotNull().alias("failed"), "confidence")
 
@@ -456,11 +456,11 @@ def _(s, t, at):
 @_q("folder_styles", f"SELECT folder || '/' || k || '.png' AS tail, 40::INT AS height, CASE WHEN k % 4 > 0 THEN greatest(134, floor(40::DOUBLE * ((5 + k % 50) / 9::DOUBLE) * 1.2::DOUBLE)) END::INT AS width FROM {_FILES} WHERE k % 3 < 2 AND k % 4 > 0")
 def _(s, t, at):
     images = _gallery(s, t, at).select("path")
-    raw = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/site").select("path", F.col("content").alias("image"))
+    raw = files.binary_files(s, f"{at}/site").select("path", F.col("content").alias("image"))
     made = run_steps(pictures.decode_table(raw.join(images, "path", "left_semi")).filter("error IS NULL"), [("match", {"height": 40})], "path")
     tail = F.concat(F.regexp_replace(F.expr("substring_index(path, '/', -2)"), r"\.[^.]*$", ""), F.lit(".png"))
     _written(pictures.encode_table(made.withColumn("tail", tail), "tail").select("tail", F.col("image").alias("content")), f"{at}/styled")
-    back = s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{at}/styled").select("path", F.col("content").alias("image"))
+    back = files.binary_files(s, f"{at}/styled").select("path", F.col("content").alias("image"))
     return pictures.decode_table(back).select(F.expr("substring_index(path, '/', -2)").alias("tail"), "height", "width")
 
 

@@ -35,14 +35,24 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 GROUPS = tuple(
     x.split()
     for x in (
-        "women men", "girls boys", "christians muslims jews hindus buddhists atheists", "gay lesbian straight", "black white asian",
-        "african european american latino", "immigrants refugees natives", "disabled deaf blind", "old young elderly",
-        "frauen männer", "mädchen jungen", "christen muslime juden", "schwule lesben", "ausländer flüchtlinge", "alte junge",
-        "femmes hommes", "filles garçons", "chrétiens musulmans juifs", "homosexuels lesbiennes", "immigrés réfugiés",
-        "mujeres hombres", "niñas niños", "cristianos musulmanes judíos", "homosexuales lesbianas", "inmigrantes refugiados",
+        "women men", "woman man", "girls boys", "girl boy", "mothers fathers", "mother father", "female male", "she he", "her his", "hers him", "trans cis", "transgender cisgender nonbinary",
+        "christians muslims jews hindus buddhists atheists sikhs catholics protestants", "christian muslim jewish hindu buddhist atheist sikh catholic protestant", "christianity islam judaism hinduism buddhism atheism",
+        "gays lesbians bisexuals heterosexuals", "gay lesbian bisexual queer straight homosexual heterosexual", "blacks whites asians latinos arabs", "black white asian latino arab hispanic indigenous",
+        "africans europeans americans indians mexicans chinese", "african european american indian mexican turkish polish", "immigrants refugees migrants natives foreigners locals", "immigrant refugee migrant native foreigner local",
+        "disabled deaf blind autistic", "old young elderly", "rich poor", "liberals conservatives", "liberal conservative",
+        "frauen männer", "frau mann", "mädchen jungen", "mütter väter", "weiblich männlich", "christen muslime juden hindus buddhisten atheisten", "christ muslim jude hindu buddhist atheist", "christliche muslimische jüdische hinduistische",
+        "schwule lesben bisexuelle", "schwul lesbisch bisexuell heterosexuell", "schwarze weiße asiaten araber", "ausländer flüchtlinge einwanderer einheimische", "behinderte gehörlose blinde", "alte junge", "türken polen deutsche franzosen",
+        "femmes hommes", "femme homme", "filles garçons", "fille garçon", "mères pères", "féminine masculine", "chrétiens musulmans juifs hindous bouddhistes athées", "chrétien musulman juif hindou bouddhiste athée", "chrétienne musulmane juive hindoue",
+        "homosexuels lesbiennes bisexuels", "homosexuel lesbienne bisexuel hétérosexuel", "noirs blancs asiatiques arabes", "noir blanc asiatique arabe", "immigrés réfugiés étrangers migrants", "immigré réfugié étranger migrant", "handicapés sourds aveugles", "vieux jeunes",
+        "mujeres hombres", "mujer hombre", "niñas niños", "niña niño", "madres padres", "femenina masculina", "cristianos musulmanes judíos hindúes budistas ateos", "cristiano musulmán judío hindú budista ateo", "cristiana musulmana judía",
+        "homosexuales lesbianas bisexuales", "homosexual lesbiana bisexual heterosexual", "negros blancos asiáticos árabes", "negro blanco asiático árabe", "inmigrantes refugiados extranjeros migrantes", "inmigrante refugiado extranjero migrante", "discapacitados sordos ciegos", "viejos jóvenes",
     )
 )
-PLACE = {w: (g, i) for g in GROUPS for i, w in enumerate(g)}
+#: A term of several kinds or languages stands for the first of them.
+PLACE: dict[str, tuple[list[str], int]] = {}
+for _group in GROUPS:
+    for _i, _word in enumerate(_group):
+        PLACE.setdefault(_word, (_group, _i))
 TURNS = max(map(len, GROUPS))
 
 

@@ -384,7 +384,7 @@ def test_toxicity_gradient_is_that_of_the_loss():
 
 def test_twins_stay_in_their_kind_and_language():
     got = toxicity.twins({"the", "women", "frauen", "jews"})
-    assert {"the", "men", "männer", "hindus"} in got and all("the" in x and len(x & {"christians", "muslims", "hindus", "buddhists", "atheists"}) + ("jews" in x) == 1 for x in got)
+    assert {"the", "men", "männer", "hindus"} in got and all("the" in x and len(x & set(toxicity.PLACE["jews"][0])) == 1 for x in got)
     assert toxicity.twins({"the", "house"}) == []
     assert [s for s in toxicity.SENTENCE.findall("Women sing. The house!") if toxicity.twins(toxicity.words_of(s))] == ["Women sing"]
 

@@ -49,6 +49,12 @@ def check_ratios(*ratios: float) -> None:
         raise AssertionError(f"ratios sum to {sum(ratios)}")
 
 
+def ratios_hold(*ratios: Column) -> Column:
+    """The same of columns: whether the shares of each row sum to 1; a missing share counts as none."""
+    total = sum((F.coalesce(r, F.lit(0.0)) for r in ratios[1:]), F.coalesce(ratios[0], F.lit(0.0)))
+    return F.abs(total - 1.0) < 0.001
+
+
 def first_present(*values: Column) -> Column:
     """The first value that is neither null nor empty."""
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
@@ -59,6 +65,18 @@ def on_first(rows: list[dict]) -> dict[str, list]:
     return {k: [r.get(k) for r in rows] for k in rows[0]} if rows else {}
 
 
+def collated(rows: DataFrame, batch: str, place: str, metadata: str) -> DataFrame:
+    """batch, key and values: the metadata (a map of strings) of each batch by key, in the order of the places; only the keys that the batch's first row has, null where another row lacks one.
+
+    A batch is as large as whoever numbers the rows makes it, and one task's work.
+    """
+    # maps can't be compared, so they are sorted as lists of their entries
+    told = rows.groupBy(batch).agg(F.min_by(metadata, place).alias("first"), F.collect_list(F.struct(F.col(place).alias("place"), F.map_entries(metadata).alias("told"))).alias("rows"))
+    ordered = F.array_sort("rows", lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
+    keyed = told.select(batch, F.explode(F.map_keys("first")).alias("key"), ordered.alias("rows"))
+    return keyed.select(batch, "key", F.transform("rows", lambda r: F.try_element_at(F.map_from_entries(r["told"]), F.col("key"))).alias("values"))
+
+
 GROUP = Group()
 
 
@@ -160,3 +178,9 @@ GROUP.add("stroke_segments", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST
   SELECT l_orderkey, l_linenumber, i, sx + [0, 0, -14, 0][side + 1] AS ax, y + [0, 0, 14, -6][side + 1] AS ay, sx + [0, 0, 14, 0][side + 1] AS bx, y + [28, -28, -14, 6][side + 1] AS byy FROM d""")
 GROUP.add("text_dimensions", """WITH c AS (SELECT p_partkey, filter(split(p_name, ''), x -> x <> '') AS l FROM part) SELECT p_partkey, aggregate(l, 0, (a, x) -> a + 10 + ascii(x) % 7 + 4) - CASE WHEN size(l) > 0 THEN 4 ELSE 0 END AS width FROM c""",
           """SELECT p_partkey, CAST(list_sum(list_transform(string_split(p_name, ''), lambda x: 14 + ascii(x) % 7)) - 4 AS INT) AS width FROM part""")
+_one("ratio_assertion", lambda p: p.select("p_partkey", ratios_hold(F.col("p_size") / 100, 0.7 - F.col("p_size") / 100, F.when(F.col("p_partkey") % 3 > 0, 0.3 + F.col("p_partkey") % 5 / 1500)).alias("holds")),
+     "SELECT p_partkey, p_partkey % 3 > 0 AND p_partkey % 5 < 2 AS holds FROM part", "part")
+_one("collated_metadata", lambda p: collated(p.select((F.floor(F.col("p_partkey") / 8)).alias("batch"), "p_partkey", F.map_filter(F.create_map(F.lit("name"), F.col("p_name"), F.lit("size"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size").cast("string"))), lambda k, v: v.isNotNull()).alias("told")), "batch", "p_partkey", "told").select("batch", "key", F.array_join("values", ",", "-").alias("values")),
+     """WITH b AS (SELECT p_partkey // 8 AS batch, p_partkey, p_name, CASE WHEN p_partkey % 3 > 0 THEN p_size::VARCHAR END AS size, min(p_partkey) OVER (PARTITION BY p_partkey // 8) AS first FROM part)
+     SELECT batch, 'name' AS key, string_agg(p_name, ',' ORDER BY p_partkey) AS values FROM b GROUP BY batch UNION ALL
+     SELECT batch, 'size', string_agg(coalesce(size, '-'), ',' ORDER BY p_partkey) FROM b GROUP BY batch, first HAVING first % 3 > 0""", "part")

@@ -149,9 +149,12 @@ def followed(log: DataFrame, kind: type[Taken], keep: int | None = None, **optio
     return src.groupBy("key").transformWithStateInPandas(kind(keep, **options), schema, "Append", "None" if keep is None else "ProcessingTime")
 
 
-def run_to_end(stream: DataFrame, at: str, state: str) -> DataFrame:
-    """What the stream gives for all that there is now, as a table below `at`; a later call with the same folders goes on where this one ended."""
+def run_to_end(stream: DataFrame, at: str, state: str, one_batch: bool = False) -> DataFrame:
+    """What the stream gives for all that there is now, as a table below `at`; a later call with the same folders goes on where this one ended.
+
+    A stream whose state has a time to live always has another batch to come, so it doesn't end by itself: one_batch ends it after one.
+    """
     spark = stream.sparkSession
     with within(spark):
-        stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", state).outputMode("append").trigger(**({"once": True} if one_batch else {"availableNow": True})).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(at)

@@ -79,8 +79,8 @@ def test_state_is_forgotten_after_its_time(spark, tmp_path):
 
     put(tmp_path / "in", "0", [("a", 1, 5.0)])
     told = lambda: series.followed(stream(spark, tmp_path / "in"), series.Progress, keep=1)
-    series.run_to_end(told(), str(tmp_path / "out"), str(tmp_path / "state"))
+    series.run_to_end(told(), str(tmp_path / "out"), str(tmp_path / "state"), one_batch=True)
     time.sleep(0.1)
     put(tmp_path / "in", "1", [("a", 2, 9.0)])
-    got = {r.step: r for r in series.run_to_end(told(), str(tmp_path / "out"), str(tmp_path / "state")).collect()}
+    got = {r.step: r for r in series.run_to_end(told(), str(tmp_path / "out"), str(tmp_path / "state"), one_batch=True).collect()}
     assert got[2].best == 9.0 and got[2].improved

@@ -15,6 +15,18 @@ def dealt_out(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in even shares over all cores, several tasks each, wherever they lie: a table may have fewer row groups than splits. For rows that cost far more than their shuffle."""
+    return rows.repartition(max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+
+
+def pieces(batches, most: int = 64):
+    """Arrow batches, cut where they have more rows: for rows that are large, or become so in Python."""
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            yield b.slice(at, most)
+
+
 def plan(sql: str, prepared=lambda rows: rows):
     """A query function for Spark SQL over the driver tables, which are handed over as (prepared) frames: no view stays in the session."""
     named = rf"(\b(?:FROM|JOIN)\s+)({'|'.join(TABLES)})\b"

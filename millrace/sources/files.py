@@ -1,20 +1,31 @@
 """File sources and sinks: line records, keyed documents, label tables, splits, image folders.
 
-Everything is listed and read by Spark, so any store that Spark can open will do. A
+Tables are read by Spark, so any store that Spark can open will do. Trees of files are listed and
+read by tasks, with pyarrow's file systems as the sink writes them, so the driver holds none of their names. A
 source whose path is missing gives an empty frame where its docstring says so.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from millrace.plans.registry import pieces
+from millrace.sources import sink
 
 IMAGE_TYPES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp")
 #: Keys of one JSON document.
 MAP_KEYS = 100_000
 #: Image files below this size count as broken.
 LEAST_IMAGE = 500
+#: Rows of a batch of a listing, and bytes of files that a task holds.
+LISTED, HELD = 10_000, 16 << 20
 
 
 def exists(spark: SparkSession, pattern: str) -> bool:
@@ -123,29 +134,121 @@ def read_split_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 def union_of_globs(spark: SparkSession, root: str, *globs: str) -> DataFrame:
     """path, name, folder and kind of the files below root that any of the globs names; one that several name comes once."""
-    found = None
-    for glob in globs:
-        rows = binary_files(spark, root, glob).select("path")
-        found = rows if found is None else found.union(rows)
-    if found is None:
+    if not globs:
         raise ValueError("no glob")
     part = F.split("path", "/")
-    return found.distinct().select("path", F.element_at(part, -1).alias("name"), F.element_at(part, -2).alias("folder"), extension(F.col("path")).alias("kind"))
+    return below(spark, root, *globs).select("path", F.element_at(part, -1).alias("name"), F.element_at(part, -2).alias("folder"), extension(F.col("path")).alias("kind"))
+
+
+def _shown(name: str) -> bool:
+    """As Spark's readers see it: names that begin with a dot or an underscore are hidden, but for partition folders."""
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def _entries(files, place: str, sizes: bool):
+    """Name, whether it is a folder, and bytes of all that lies directly in a folder; one of this machine is read as it comes, not held, and sizes are looked up only if asked for."""
+    if files.type_name == "local":
+        with os.scandir(place) as found:
+            for e in found:
+                with contextlib.suppress(FileNotFoundError):  # gone meanwhile
+                    is_folder = e.is_dir()
+                    yield e.name, is_folder, None if is_folder or not sizes else e.stat().st_size
+        return
+    from pyarrow import fs
+
+    for i in files.get_file_info(fs.FileSelector(place)):
+        yield i.base_name, i.type == fs.FileType.Directory, i.size
+
+
+def below(spark: SparkSession, root: str, *globs: str, deep: bool = True) -> DataFrame:
+    """path and length of the files below root (of those that any of the globs names; of those directly in it if not deep), listed by tasks.
+
+    The driver holds no name of a file. Folders of the first levels are dealt out, so that trees of any
+    shape are listed by many tasks; one task lists what lies directly in one folder.
+    """
+    jvm, path = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(path)  # an error if it is missing
+    shown = whole.toString().rstrip("/")
+    base = f"file://{quote(whole.toUri().getPath())}" if shown.startswith("file:") else shown
+    named = [jvm.GlobPattern(g).compiled().pattern() for g in globs]
+
+    def level(kinds: str):
+        """files: those directly in each folder; folders: the same of folders; tree: all files below each."""
+        def run(batches):
+            import pyarrow as pa
+
+            files, top = sink.opened(base)
+            top = top.rstrip("/")
+            out: list[tuple[str, int | None]] = []
+
+            def told():
+                got = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64()))], ["tail", "length"])
+                out.clear()
+                return got
+
+            for tail in (x for b in batches for x in b.column("tail").to_pylist()):
+                waiting = [tail]
+                while waiting:
+                    folder = waiting.pop()
+                    for name, is_folder, size in _entries(files, top + folder, kinds != "folders"):
+                        if is_folder and kinds != "files" and _shown(name):
+                            (waiting.append(f"{folder}/{name}") if kinds == "tree" else out.append((f"{folder}/{name}", None)))
+                        elif not is_folder and kinds != "folders" and _shown(name) and (not named or any(re.fullmatch(g, name, re.S) for g in named)):
+                            out.append((f"{folder}/{name}", size))
+                        if len(out) >= LISTED:
+                            yield told()
+            if out:
+                yield told()
+
+        return run
+
+    schema = "tail string, length long"
+    top = spark.createDataFrame([("",)], "tail string").coalesce(1)
+    rows = top.mapInArrow(level("files"), schema)
+    if deep:
+        first = top.mapInArrow(level("folders"), schema).select("tail").repartition(_tasks(spark), "tail")
+        second = first.mapInArrow(level("folders"), schema).select("tail").repartition(_tasks(spark), "tail")
+        rows = rows.unionAll(first.mapInArrow(level("files"), schema)).unionAll(second.mapInArrow(level("tree"), schema))
+    return rows.select(F.concat(F.lit(shown), "tail").alias("path"), "length")
+
+
+def _tasks(spark: SparkSession) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def contents(rows: DataFrame, name: str = "image") -> DataFrame:
+    """rows with a path, and the file's bytes as a column more. Rows are dealt over tasks, whichever folders their files lie in; a task holds few files at a time. A missing file is an error."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known: dict = {}  # file systems, and where their paths begin
+        for b in pieces(batches):
+            got, first, size = [], 0, 0
+            for i, path in enumerate(b.column("path").to_pylist()):
+                root, place = re.fullmatch(r"(file:|[^:/]+://[^/]*)(/.*)", path, re.S).groups()
+                if root not in known:
+                    known[root] = sink.opened(f"{root}/" if root != "file:" else "/")
+                with known[root][0].open_input_stream(known[root][1].rstrip("/") + place) as f:
+                    got.append(f.read())
+                size += len(got[-1])
+                if size > HELD or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, i + 1 - first).columns, pa.array(got, pa.binary())], [*b.schema.names, name])
+                    got, first, size = [], i + 1, 0
+
+    return rows.repartition(_tasks(rows.sparkSession), "path").mapInArrow(run, StructType([*rows.schema.fields, StructField(name, BinaryType())]))
 
 
 def binary_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """The files below root, whole. Spark may plan a task for each small file; here tasks take up to 32 of them where there are many more than cores."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    tasks, cores = rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    return rows.coalesce(max(4 * cores, tasks // 32)) if tasks > 4 * cores else rows
+    """The files below root, whole: path, length, content."""
+    return contents(below(spark, root, *([glob] if glob else [])), "content")
 
 
 def list_images(spark: SparkSession, root: str, types: tuple[str, ...] = IMAGE_TYPES) -> DataFrame:
     """path, folder (the last), file, length of all images below root; contents are not read."""
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, folder string, file string, length long")
-    rows = binary_files(spark, root)
+    rows = below(spark, root)
     part = F.split("path", "/")
     return rows.filter(extension(F.col("path")).isin(*types)).select("path", F.element_at(part, -2).alias("folder"), F.element_at(part, -1).alias("file"), "length")
 
@@ -170,16 +273,16 @@ def resolve(labels: DataFrame, images: DataFrame, base: str, nested_first: bool
 
 def image_table(spark: SparkSession, resolved: DataFrame, root: str) -> DataFrame:
     """Resolved labels with the image's bytes, ready for a Parquet sink; difficulty defaults to `unknown`."""
-    contents = binary_files(spark, root).select("path", F.col("content").alias("image"))
+    base = root.split(":")[-1].rstrip("/")
     level = F.coalesce(F.nullif("difficulty", F.lit("")), F.lit("unknown")) if "difficulty" in resolved.columns else F.lit("unknown")
-    return resolved.withColumn("difficulty", level).join(contents, "path")
+    return contents(resolved.withColumn("difficulty", level).filter(F.col("path").contains(f"{base}/")))
 
 
 def folder_sizes(spark: SparkSession, root: str) -> DataFrame:
     """Size in MiB of every folder directly below root."""
-    files = binary_files(spark, root).select("path", "length")
-    below = F.element_at(F.split(F.element_at(F.split("path", f"{root.rstrip('/')}/", 2), -1), "/"), 1)
-    return files.groupBy(below.alias("folder")).agg((F.sum("length") / F.lit(1048576.0)).alias("mib"))
+    files = below(spark, root)
+    folder = F.element_at(F.split(F.element_at(F.split("path", f"{root.rstrip('/')}/", 2), -1), "/"), 1)
+    return files.groupBy(folder.alias("folder")).agg((F.sum("length") / F.lit(1048576.0)).alias("mib"))
 
 
 def to_copy(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -191,7 +294,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """tail and length of all files below root; empty if it is missing."""
     if not exists(spark, root):
         return spark.createDataFrame([], "tail string, length long")
-    files = binary_files(spark, root)
+    files = below(spark, root)
     return files.select(F.element_at(F.split("path", f"{root.split(':')[-1].rstrip('/')}/", 2), -1).alias("tail"), "length")
 
 

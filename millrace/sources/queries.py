@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import extract, pages, script
 from millrace.operators import stems, variation  # noqa: F401 (steps of variation are found by name)
 from millrace.operators.pixels import run_steps
-from millrace.plans.registry import Group
+from millrace.plans.registry import Group, pieces, spread
 from millrace.sources import files, logs, pictures, sink, web
 from millrace.sources.store import Store
 from millrace.streaming import series
@@ -103,17 +103,18 @@ def _contents(rows: DataFrame, content) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("tail"), pa.array(map(content, b.column("k").to_pylist()), pa.binary())], ["tail", "content"])
 
-    return rows.select("k", "tail").mapInArrow(run, "tail string, content binary")
+    return spread(rows.select("k", "tail")).mapInArrow(run, "tail string, content binary")
 
 
 def _written(rows: DataFrame, root: str) -> None:
     """Writes the files (tail, content), each by the task that has its row."""
-    failed = sink.write_files(rows, root).filter("error IS NOT NULL").select("error").first()
+    # one job over all tasks; the rows that come back are one a task
+    failed = sink.write_files(rows, root).agg(F.max("error")).first()[0]
     if failed:
-        raise OSError(failed["error"])
+        raise OSError(failed)
 
 
 def _picture(k: int) -> bytes:
@@ -155,9 +156,7 @@ def _(s, t, at):
 
 @_q("decoded_images", f"SELECT file, CASE WHEN k % 4 > 0 THEN 9 END::INT AS height, CASE WHEN k % 4 > 0 THEN 5 + k % 50 END::INT AS width, CASE WHEN k % 4 > 0 THEN k % 200 END::INT AS value, k % 4 = 0 AS failed FROM {_FILES} WHERE k % 3 < 2")
 def _(s, t, at):
-    images = _gallery(s, t, at)
-    raw = files.binary_files(s, f"{at}/site").select("path", F.col("content").alias("image"))
-    told = pictures.decode_table(raw.join(images.select("path"), "path", "left_semi"))
+    told = pictures.decode_table(files.contents(_gallery(s, t, at).select("path")))
     # the second row of each picture is plain
     value = F.conv(F.hex(F.expr("substring(pixels, width * channels + 1, 1)")), 16, 10).cast("int")
     return told.select(F.element_at(F.split("path", "/"), -1).alias("file"), "height", "width", value.alias("value"), F.col("error").isNotNull().alias("failed"))
@@ -284,8 +283,7 @@ def _stored(s: SparkSession, t, at: str) -> Store:
 @_q("sink_images", f"SELECT file, folder, k % 200 AS value FROM {_FILES} WHERE k % 3 < 2 AND k % 4 > 0")
 def _(s, t, at):
     images = _gallery(s, t, at)
-    raw = files.binary_files(s, f"{at}/site").select("path", F.col("content").alias("image"))
-    sink.write(files.sound_images(images, least=50).join(raw, "path").select("file", "folder", "image"), f"{at}/hub")
+    sink.write(files.contents(files.sound_images(images, least=50)).select("file", "folder", "image"), f"{at}/hub")
     told = pictures.decode_table(sink.read(s, f"{at}/hub", "file string, folder string, image binary").select(F.concat_ws("/", "folder", "file").alias("path"), "image"))
     value = F.conv(F.hex(F.expr("substring(pixels, width * channels + 1, 1)")), 16, 10).cast("long")
     return told.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.element_at(F.split("path", "/"), 1).alias("folder"), value.alias("value"))
@@ -372,7 +370,7 @@ def _(s, t, at):
 @_q("page_files", "SELECT p_name AS title, p_partkey || '.html' AS file FROM part")
 def _(s, t, at):
     made = t("part").select(F.concat("p_partkey", F.lit(".html")).alias("tail"), F.concat(F.lit("<html>\n<title>"), "p_name", F.lit("</title></html>")).cast("binary").alias("content"))
-    _written(made, f"{at}/pages")
+    _written(spread(made), f"{at}/pages")
     return web.read_html(s, f"{at}/pages/*.html").select(F.regexp_extract("html", "<title>(.*)</title>", 1).alias("title"), F.element_at(F.split("url", "/"), -1).alias("file"))
 
 
@@ -448,19 +446,17 @@ def _(s, t, at):
 @_q("folder_crops", f"SELECT folder || '/' || file AS tail, CASE WHEN k % 4 > 0 THEN (5 + k % 50) // 10 END::INT AS left, k % 4 = 0 AS failed, 'low' AS confidence FROM {_FILES} WHERE k % 3 < 2")
 def _(s, t, at):
     images = _gallery(s, t, at).select("path")
-    raw = files.binary_files(s, f"{at}/site").select("path", F.col("content").alias("image"))
-    told = stems.crop_reports(pictures.decode_table(raw.join(images, "path", "left_semi")), "path")
+    told = stems.crop_reports(pictures.decode_table(files.contents(images)), "path")
     return told.select(F.expr("substring_index(path, '/', -2)").alias("tail"), F.col("box")[0].alias("left"), F.col("error").isNotNull().alias("failed"), "confidence")
 
 
 @_q("folder_styles", f"SELECT folder || '/' || k || '.png' AS tail, 40::INT AS height, CASE WHEN k % 4 > 0 THEN greatest(134, floor(40::DOUBLE * ((5 + k % 50) / 9::DOUBLE) * 1.2::DOUBLE)) END::INT AS width FROM {_FILES} WHERE k % 3 < 2 AND k % 4 > 0")
 def _(s, t, at):
     images = _gallery(s, t, at).select("path")
-    raw = files.binary_files(s, f"{at}/site").select("path", F.col("content").alias("image"))
-    made = run_steps(pictures.decode_table(raw.join(images, "path", "left_semi")).filter("error IS NULL"), [("match", {"height": 40})], "path")
+    made = run_steps(pictures.decode_table(files.contents(images)).filter("error IS NULL"), [("match", {"height": 40})], "path")
     tail = F.concat(F.regexp_replace(F.expr("substring_index(path, '/', -2)"), r"\.[^.]*$", ""), F.lit(".png"))
     _written(pictures.encode_table(made.withColumn("tail", tail), "tail").select("tail", F.col("image").alias("content")), f"{at}/styled")
-    back = files.binary_files(s, f"{at}/styled").select("path", F.col("content").alias("image"))
+    back = files.contents(files.below(s, f"{at}/styled").select("path"))
     return pictures.decode_table(back).select(F.expr("substring_index(path, '/', -2)").alias("tail"), "height", "width")
 
 

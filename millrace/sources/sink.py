@@ -11,6 +11,7 @@ Paths are opened with pyarrow's file systems in the tasks (file, hdfs, s3, gs, a
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass
@@ -18,7 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from millrace.plans.registry import pieces
+
 FORMATS = ("parquet", "json")
+#: Folders that a writing task remembers.
+FOLDERS = 10_000
 READ = "path string, bytes long"
 
 
@@ -26,6 +31,7 @@ def opened(path: str):
     """The file system of an address, and the path in it. A plain path is one of this machine."""
     from pyarrow import fs
 
+    path = re.sub("^s3[an]:", "s3:", path)
     return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
 
 
@@ -131,14 +137,20 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        files, base = opened(root.rstrip("/"))
+        made: set[str] = set()  # folders that this task knows to be there
+        for b in pieces(batches):
             sizes, errors = [], []
-            files, base = opened(root.rstrip("/"))
             for tail, content in zip(b.column("tail").to_pylist(), b.column("content").to_pylist()):
                 try:
                     place = f"{base}/{tail}"  # a tail is a path as it is, not part of an address
-                    files.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                    draft = f"{place.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"  # no listing shows it
+                    folder = place.rsplit("/", 1)[0]
+                    if folder not in made:
+                        files.create_dir(folder, recursive=True)
+                        if len(made) >= FOLDERS:
+                            made.clear()
+                        made.add(folder)
+                    draft = f"{folder}/.{uuid.uuid4().hex}"  # no listing shows it
                     with files.open_output_stream(draft) as out:
                         out.write(content or b"")
                     files.move(draft, place)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from millrace.sources import files
+
 # Seconds between requests, by source, and how often a request is made.
 RATES = {"cisp": 2.0, "dias": 3.0, "commons": 1.0}
 TRIES = 3
@@ -157,8 +159,15 @@ def listing_stream(spark: SparkSession, base: str, names: list[str], rate: float
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """Page files: url (the path), html."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
+    """Page files: url (the path), html; the last part of the path may be a glob. Listed and read by tasks."""
+    root, _, glob = path.rpartition("/")
+    if not glob or any(c in root for c in "*?[{"):  # folders by glob are Spark's to find
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
+    rows = files.contents(files.below(spark, root, glob, deep=False).select("path"), "html")
+    url = F.col("path")
+    for c in '% "#<>?[]^`{|}':  # as Spark's readers tell a file's address
+        url = F.replace(url, F.lit(c), F.lit(quote(c, safe="")))
+    return rows.select(url.alias("url"), F.col("html").cast("string").alias("html"))
 
 
 def sound_after(rows: DataFrame, span: int, bits: int) -> DataFrame:

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from millrace.sources import files, logs
+from millrace.sources import files, logs, web
 from millrace.streaming import metrics
 
 
@@ -90,3 +90,28 @@ def test_retention(spark):
     pred = spark.createDataFrame([(i, "a", "a" if i else "b") for i in range(60)], "i int, prediction string, reference string")
     got = logs.prediction_samples(pred, "i")
     assert got.count() == 50 and got.filter("not correct").count() == 1
+
+
+def test_trees_are_listed_and_read_by_tasks(spark, tmp_path):
+    names = ("top.png", "a/x y%20#.png", "a/b/c/d/deep.PNG", "a/b/c/d/.hidden.png", "a/_none/e.png", "a/k=1/f.png", "b/g.txt")
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(n.encode())
+    rows = files.below(spark, str(tmp_path))
+    tail = F.expr(f"substring(path, {len('file:' + str(tmp_path)) + 2})")
+    seen = sorted([n for n in names if "hidden" not in n and "_none" not in n])
+    assert values(rows, tail, "length") == [(n, len(n)) for n in seen]
+    # the driver's file index holds none of them
+    assert rows.inputFiles() == [] and files.list_images(spark, str(tmp_path)).inputFiles() == []
+    assert values(files.contents(rows), tail, F.col("image").cast("string")) == [(n, n) for n in seen]
+    assert values(files.below(spark, str(tmp_path), "*.png", "{deep,g}.*"), tail) == [(n,) for n in seen]
+    assert values(files.below(spark, str(tmp_path), deep=False), tail) == [("top.png",)]
+    assert values(files.union_of_globs(spark, str(tmp_path), "*.png", "t*"), "name") == sorted([(n.split("/")[-1],) for n in seen if n.endswith(".png")])
+    assert files.contents(rows).select("image").count() == len(seen) and files.binary_files(spark, str(tmp_path), "g*").select("length").first()[0] == 7
+
+
+def test_pages_are_told_as_by_a_text_reader(spark, tmp_path):
+    (tmp_path / "a b%.html").write_bytes(b"<p>\xff</p>\n")
+    (tmp_path / "c.txt").write_text("no")
+    want = [(r[0], r[1]) for r in spark.read.text(f"{tmp_path}/*.html", wholetext=True).selectExpr("_metadata.file_path", "hex(value)").collect()]
+    assert values(web.read_html(spark, f"{tmp_path}/*.html"), "url", F.hex("html")) == want

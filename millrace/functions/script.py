@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.registry import Group
+from millrace.plans.registry import Group, spread
 
 # The letters of the Unicode block U+1680 and their Latin equivalents.
 LATIN = "B L F S N H D T C Q M G NG Z R A O U E I EA OI UI IA AE".split()
@@ -172,6 +172,12 @@ GROUP.frame("phonotactic_filter", lambda s, d: _parts(s, d).filter(phonotactic(l
 _CHARS = f"(SELECT p_partkey, unnest(string_split({_SCRIPT}, '')) AS c FROM part)"
 
 
+def _kinds(s: SparkSession, d: str) -> DataFrame:
+    """The different letters of each part, before anything is told of them; each name's repeats go where it is read."""
+    named = spread(_parts(s, d).select("p_partkey", "p_name"))
+    return named.select("p_partkey", F.explode(F.array_distinct(character_counts(latin_to_script(F.col("p_name"))))).alias("c")).distinct()
+
+
 def _letters(s: SparkSession, d: str) -> DataFrame:
     return _parts(s, d).select("p_partkey", F.explode(character_counts(latin_to_script(F.col("p_name")))).alias("c"))
 
@@ -179,7 +185,7 @@ def _letters(s: SparkSession, d: str) -> DataFrame:
 GROUP.frame("script_char_counts", lambda s, d: _letters(s, d).groupBy("c").agg(F.count("*").alias("n")), f"SELECT c, count(*) AS n FROM {_CHARS} WHERE c <> '' GROUP BY c")
 GROUP.frame(
     "character_info",
-    lambda s, d: _letters(s, d).select("p_partkey", "c", character_info(F.col("c")).alias("i")).select("p_partkey", "c", "i.codepoint", "i.latin", "i.group", "i.is_vowel", "i.frequency").distinct(),
+    lambda s, d: _kinds(s, d).select("p_partkey", "c", character_info(F.col("c")).alias("i")).select("p_partkey", "c", "i.codepoint", "i.latin", "i.group", "i.is_vowel", "i.frequency"),
     "SELECT DISTINCT p_partkey, c, 'U+' || upper(to_hex(unicode(c))) AS codepoint, "
     + "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in zip(LETTERS, LATIN)) + " END AS latin, "
     + 'CASE WHEN unicode(c) BETWEEN 5761 AND 5765 THEN \'Aicme Beithe (B Group)\' WHEN unicode(c) BETWEEN 5766 AND 5770 THEN \'Aicme hÚatha (H Group)\' WHEN unicode(c) BETWEEN 5771 AND 5775 THEN \'Aicme Muine (M Group)\' WHEN unicode(c) BETWEEN 5776 AND 5780 THEN \'Aicme Ailme (Vowels)\' WHEN unicode(c) BETWEEN 5781 AND 5785 THEN \'Forfeda (Supplementary)\' ELSE \'Space\' END AS "group", '
@@ -189,7 +195,7 @@ GROUP.frame("script_words", lambda s, d: _parts(s, d).select("p_partkey", F.size
 GROUP.frame("plain_spaces", lambda s, d: _parts(s, d).select("p_partkey", plain_spaces(latin_to_script(F.col("p_name"))).alias("label")), f"SELECT p_partkey, replace({_SCRIPT}, '{SPACE}', ' ') AS label FROM part")
 GROUP.frame("reading_direction", lambda s, d: _parts(s, d).select("p_partkey", reading_direction(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(FEATHERS[0]), F.col("p_name"))).otherwise(F.col("p_name"))).alias("direction")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'left_to_right' ELSE 'bottom_to_top' END AS direction FROM part")
 GROUP.frame("script_to_latin_keep", lambda s, d: _parts(s, d).select("p_partkey", script_to_latin(F.concat(latin_to_script(F.col("p_name")), F.lit("-x")), None).alias("latin")), f"SELECT p_partkey, {_ROUND} || '-x' AS latin FROM part")
-GROUP.frame("character_classes", lambda s, d: _letters(s, d).select("p_partkey", "c", is_block_char(F.col("c")).alias("in_block"), is_letter(F.col("c")).alias("letter")).distinct(), f"SELECT DISTINCT p_partkey, c, true AS in_block, c <> '{SPACE}' AS letter FROM {_CHARS} WHERE c <> ''")
+GROUP.frame("character_classes", lambda s, d: _kinds(s, d).select("p_partkey", "c", is_block_char(F.col("c")).alias("in_block"), is_letter(F.col("c")).alias("letter")), f"SELECT DISTINCT p_partkey, c, true AS in_block, c <> '{SPACE}' AS letter FROM {_CHARS} WHERE c <> ''")
 GROUP.frame(
     "annotation_form",
     lambda s, d: _parts(s, d).select("p_partkey", annotation(F.when(F.col("p_partkey") % 3 == 0, F.lit("ᚁᚂ")).when(F.col("p_partkey") % 3 == 1, F.lit("bad")), F.col("p_name"), F.when(F.col("p_partkey") > 9, F.col("p_partkey"))).alias("a")).select("p_partkey", "a.*"),

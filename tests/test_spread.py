@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from millrace.functions import pages
+from millrace.functions import pages, script
 from millrace.operators import draw, pixels, stems, variation
 from millrace.plans.registry import PICTURES, pieces
 
@@ -49,3 +49,9 @@ def test_tiles_of_a_picture_smaller_than_the_grid():
     for shape in ((1, 1), (3, 5), (7, 90), (160, 160)):
         x = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
         assert pixels.clahe(x).shape == shape
+
+
+def test_letters_are_told_apart_before_they_are_described(spark):
+    plan = script.GROUP.queries["character_info"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("[", 1)[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(keys) == 1 and keys[0].count("#") == 2

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from millrace.functions import pages, script
-from millrace.operators import draw, pixels, stems, variation
+from millrace.operators import draw, generate, pixels, stems, variation
 from millrace.plans.registry import PICTURES, pieces
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,10 @@ def test_letters_are_told_apart_before_they_are_described(spark):
     plan = script.GROUP.queries["character_info"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     keys = [line.split("[", 1)[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
     assert len(keys) == 1 and keys[0].count("#") == 2
+
+
+def test_draws_of_a_brand_leave_in_pieces(spark):
+    plan = generate.GROUP.queries["batch_draws"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "preset" in plan and "easy#" not in plan.split("MapInArrow")[-1]
+    whole, cut = generate.Sampler("medium", 5), generate.Sampler("medium", 5)
+    assert whole.batch(40) == cut.batch(13) + cut.batch(27)

@@ -360,7 +360,7 @@ def _(s, t, at):
 
 @_q("listing_stream", _PAGED)
 def _(s, t, at):
-    rows = web.listing_stream(s, *_listings(s, t, at), 0.0)
+    rows = web.listing_stream(s, *_listings(s, t, at), 0.0, pages=32)
     told = rows.writeStream.format("parquet").option("path", f"{at}/told").option("checkpointLocation", f"{at}/state").start()
     told.processAllAvailable()
     told.stop()

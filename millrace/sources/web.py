@@ -94,11 +94,11 @@ LISTED = "listing string, place int, pageid long, title string, error string"
 
 
 class ListingStream(SimpleDataSourceStreamReader):
-    """A page of every unfinished listing a batch. An offset has the continuation of each listing and the place that it has come to, or the end and the error that was met there."""
+    """Some pages (one, unless told) of every unfinished listing a batch. An offset has the continuation of each listing and the place that it has come to, or the end and the error that was met there."""
 
     def __init__(self, options):
         self.base, self.names = options["base"], options["names"].split("|")
-        self.pacer = Pacer(float(options.get("rate", "0")))
+        self.pacer, self.pages = Pacer(float(options.get("rate", "0"))), int(options.get("pages", "1"))
 
     def initialOffset(self) -> dict:
         return {n: {"more": "", "place": 0} for n in self.names}
@@ -107,7 +107,10 @@ class ListingStream(SimpleDataSourceStreamReader):
         rows, end = [], {}
         for name, at in start.items():
             end[name] = at
-            if at["more"] is not None:
+            for _ in range(self.pages):
+                at = end[name]
+                if at["more"] is None:
+                    break
                 got, more = page_rows(self.pacer, self.base, name, at["more"], at["place"])
                 rows += got
                 end[name] = {"more": more, "place": at["place"] + len(got)}
@@ -131,7 +134,7 @@ class ListingStream(SimpleDataSourceStreamReader):
 
 
 class PagedListings(DataSource):
-    """Options: base (an address with {name} and {more}), names (joined by |), rate. Pages are JSON: members (pageid, title), continue."""
+    """Options: base (an address with {name} and {more}), names (joined by |), rate, pages (of a listing in a batch of the stream). Pages are JSON: members (pageid, title), continue."""
 
     @classmethod
     def name(cls):
@@ -152,10 +155,10 @@ def paged_listings(spark: SparkSession, base: str, names: list[str], rate: float
     return spark.read.format("paged_listings").options(base=base, names="|".join(names), rate=str(rate)).load()
 
 
-def listing_stream(spark: SparkSession, base: str, names: list[str], rate: float = RATES["commons"]) -> DataFrame:
-    """The listings as a stream; started again with its checkpoint it goes on behind the last page that was taken."""
+def listing_stream(spark: SparkSession, base: str, names: list[str], rate: float = RATES["commons"], pages: int = 1) -> DataFrame:
+    """The listings as a stream, so many pages of each a batch (the driver holds those of a batch); started again with its checkpoint it goes on behind the last page that was taken."""
     spark.dataSource.register(PagedListings)
-    return spark.readStream.format("paged_listings").options(base=base, names="|".join(names), rate=str(rate)).load()
+    return spark.readStream.format("paged_listings").options(base=base, names="|".join(names), rate=str(rate), pages=str(pages)).load()
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Paced requests, hub rows, early stops, picture files, wear."""
 
+import json
 from urllib.error import HTTPError, URLError
 
 import numpy as np
@@ -191,3 +192,15 @@ def test_hub_rows_over_levels(spark, bits):
     plan = web.read_hub(frame, "idx", "image", ["text"])._jdf.queryExecution().optimizedPlan().toString()
     window = [x for x in plan.splitlines() if "Window [" in x]
     assert window and not any("image" in x or "text" in x for x in window)
+
+
+def test_a_batch_takes_several_pages(tmp_path):
+    for k, more in (("", "p1"), ("p1", "p2"), ("p2", None)):
+        (tmp_path / f"a-{k}.json").write_text(json.dumps({"members": [{"pageid": len(k), "title": f"t{k}"}], "continue": more}))
+    made = web.ListingStream({"base": f"file://{tmp_path}/{{name}}-{{more}}.json", "names": "a", "pages": "2"})
+    rows, end = made.read(made.initialOffset())
+    rows = list(rows)
+    assert [r[3] for r in rows] == ["t", "tp1"] and end == {"a": {"more": "p2", "place": 2}}
+    assert list(made.readBetweenOffsets(made.initialOffset(), end)) == rows
+    last, done = made.read(end)
+    assert [r[3] for r in last] == ["tp2"] and done == {"a": {"more": None, "place": 3}} and list(made.read(done)[0]) == []

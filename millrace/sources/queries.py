@@ -199,12 +199,13 @@ def _(s, t, at):
 
 
 def _streamed(s: SparkSession, rows: DataFrame, cuts: list, at: str, kind, **options) -> DataFrame:
-    """rows (key, step, value), written as one file after the other between the cuts, and followed as a stream, one file a batch."""
+    """rows (key, step, value), written to a log by all tasks, one part between the cuts after the other; a stream follows the log and takes each part as a batch."""
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows.filter(F.lit(True) if low is None else F.col("step") > low).filter(F.lit(True) if high is None else F.col("step") <= high)
-        part.coalesce(1).write.mode("append").json(f"{at}/log")
-    log = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(f"{at}/log")
-    return series.run_to_end(series.followed(log, kind, **options), f"{at}/told", f"{at}/state").filter("NOT late").drop("late")
+        part.write.mode("append").json(f"{at}/log")
+        log = s.readStream.schema(rows.schema).json(f"{at}/log")
+        told = series.run_to_end(series.followed(log, kind, **options), f"{at}/told", f"{at}/state")
+    return told.filter("NOT late").drop("late")
 
 
 def _thirds(rows: DataFrame) -> list:

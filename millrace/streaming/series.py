@@ -54,12 +54,16 @@ class Taken(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        got = pd.concat(list(rows), ignore_index=True).sort_values("step", kind="stable")
+        # a key has few rows: what a frame costs counts more than they do
+        frames = list(rows)
+        steps, values = ([x for f in frames for x in f[c].tolist()] for c in ("step", "value"))
+        order = sorted(range(len(steps)), key=steps.__getitem__)
         state = list(self.state.get()) if self.state.exists() else self.start()
         out = []
-        for step, value in zip(got["step"].tolist(), got["value"].tolist()):
+        for step, value in ((steps[i], values[i]) for i in order):
             late = state[0] is not None and step <= state[0]
             if late:
                 out.append((key[0], step, True, *[None] * len(self.names)))
@@ -67,7 +71,11 @@ class Taken(StatefulProcessor):
                 state[0] = step
                 out.append((key[0], step, False, *self.take(state, step, None if value != value else value)))
         self.state.update(tuple(state))
-        yield pd.DataFrame(out, columns=["key", "step", "late", *self.names]).astype(object)
+        columns = {}
+        for name, column in zip(("key", "step", "late", *self.names), zip(*out)):
+            columns[name] = np.empty(len(out), object)
+            columns[name][:] = column
+        yield pd.DataFrame(columns, copy=False)
 
     def close(self) -> None:
         pass

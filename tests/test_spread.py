@@ -6,6 +6,8 @@ import pytest
 from millrace.functions import pages, script
 from millrace.operators import draw, generate, pixels, stems, variation
 from millrace.plans.registry import PICTURES, pieces
+from millrace.sources import queries
+from millrace.streaming import series
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +64,12 @@ def test_draws_of_a_brand_leave_in_pieces(spark):
     assert "RepartitionByExpression" in plan and "preset" in plan and "easy#" not in plan.split("MapInArrow")[-1]
     whole, cut = generate.Sampler("medium", 5), generate.Sampler("medium", 5)
     assert whole.batch(40) == cut.batch(13) + cut.batch(27)
+
+
+def test_parts_of_a_log_are_written_by_all_tasks(spark, tmp_path):
+    rows = spark.range(0, 300, 1, 3).selectExpr("id % 7 AS key", "id AS step", "CAST(300 - id AS DOUBLE) AS value")
+    told = queries._streamed(spark, rows, [99, 199], f"file://{tmp_path}", series.Progress)
+    assert told.count() == 300 and told.filter("improved").count() == 300
+    mixed = rows.repartition(3, "value")
+    told = queries._streamed(spark, mixed, [99, 199], f"file://{tmp_path}/mixed", series.Progress)
+    assert told.count() == 300 and len(list((tmp_path / "mixed/log").glob("*.json"))) > 3

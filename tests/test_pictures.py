@@ -1,8 +1,10 @@
 """Pictures at speed: the same pixels as by the plain formulas, in less time; wobble that keeps the light."""
 
+import time
+
 import numpy as np
 
-from millrace.operators import pixels, weather
+from millrace.operators import draw, pixels, variation, weather
 
 
 def boxed(k=7, n=9):
@@ -19,3 +21,64 @@ def test_wobble_leaves_the_light():
     # displacements near a corner are not much larger than in the middle
     fields = np.array([pixels.blurred(np.random.default_rng(k).uniform(-1, 1, (40, 60)), 10, "reflect") for k in range(200)])
     assert fields[:, 0, 0].std() < 3 * fields[:, 20, 30].std()
+
+
+def plain_inside(height, width, corners):
+    yy, xx = np.mgrid[:height, :width] + 0.5
+    out = np.zeros((height, width), bool)
+    for (x1, y1), (x2, y2) in zip(corners, np.roll(corners, -1, axis=0)):
+        if y1 != y2:
+            out ^= ((yy < y1) != (yy < y2)) & (xx < (x2 - x1) * (yy - y1) / (y2 - y1) + x1)
+    return out
+
+
+def plain_shadows(x, polygons, share):
+    for corners in polygons:
+        out = x.astype(float)
+        out[plain_inside(*x.shape[:2], corners)] *= share
+        x = weather.clipped(out)
+    return x
+
+
+def least_time(run, times=5):
+    def once():
+        t = time.process_time()
+        for _ in range(20):
+            run()
+        return time.process_time() - t
+
+    return min(once() for _ in range(times))
+
+
+def test_shadows_over_each_other():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (40, 60, 3)).astype(np.uint8)
+    for n in (1, 2, 4):
+        polygons = rng.uniform((-5, -5), (65, 45), (n, 5, 2))
+        assert (variation.shadowed(x, polygons, 0.5) == plain_shadows(x, polygons, 0.5)).all()
+    level = np.array([(0, 0), (30, 0), (30, 40), (0, 40)], float)
+    assert (variation.inside(40, 60, level) == plain_inside(40, 60, level)).all()
+    assert least_time(lambda: variation.shadowed(x, polygons, 0.5)) < 0.7 * least_time(lambda: plain_shadows(x, polygons, 0.5))
+
+
+def plain_wear(x, rng, spread, contrast, brightness):
+    x = weather.clipped(x.astype(float) + (51 * weather.grain(rng, *x.shape[:2], (8, 16)))[:, :, None])
+    x = weather.clipped(x + rng.normal(0, spread, x.shape))
+    return weather.clipped(128 + (x.astype(float) - 128) * contrast + 255 * brightness)
+
+
+def test_wear_of_wide_pictures():
+    x = draw.drawn("ᚁᚂᚃᚄᚅ" * 4)
+    rng = np.random.default_rng(3)
+    y = weather.textured(x, rng, 0.2, (8, 16))
+    y = weather.settled(weather.roughened(y, rng, 8))
+    y = weather.looked_up(y, lambda v: 128 + (v - 128) * 1.05 + 255 * 0.02)
+    assert (y == plain_wear(x, np.random.default_rng(3), 8, 1.05, 0.02)).all()
+    patches = [weather.overgrown(x, np.random.default_rng(k), None) for k in range(6)]
+    assert all(p.shape == x.shape and (p != x).any() and (p == x).mean() > 0.3 for p in patches)
+
+
+def test_no_side_of_a_row_a_picture_is_broadcast(spark):
+    for group, name in ((draw.GROUP, "synthetic_dataset"),):
+        plan = group.queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan, name

@@ -4,7 +4,7 @@ import time
 
 import numpy as np
 
-from millrace.operators import draw, pixels, variation, weather
+from millrace.operators import draw, pixels, stems, variation, weather
 
 
 def boxed(k=7, n=9):
@@ -79,6 +79,7 @@ def test_wear_of_wide_pictures():
 
 
 def test_no_side_of_a_row_a_picture_is_broadcast(spark):
-    for group, name in ((draw.GROUP, "synthetic_dataset"),):
+    named = ((draw.GROUP, "synthetic_dataset"), (draw.GROUP, "batch_styles"), (variation.GROUP, "pictures_weather"), (variation.GROUP, "pictures_combined"), (variation.GROUP, "traces_respaced"), (stems.GROUP, "planted_stems"))
+    for group, name in named:
         plan = group.queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan, name

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,8 +38,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, PICTURES)
 
 
+#: Bytes of a block that is freed once in each worker; the allocator keeps up to twice as much for later arrays from then on.
+KEPT = 24 << 20
+
+
+@lru_cache(1)
+def keep_heap() -> None:
+    """Freed arrays of a picture are used for the next one: otherwise the heap's top is given back and its pages are cleared anew for each array."""
+    np.empty(KEPT, np.uint8)
+
+
 def pieces(batches, most: int = 64):
     """Arrow batches, cut where they have more rows: for rows that are large, or become so in Python."""
+    keep_heap()
     for b in batches:
         for at in range(0, b.num_rows, most):
             yield b.slice(at, most)

@@ -83,3 +83,52 @@ def test_no_side_of_a_row_a_picture_is_broadcast(spark):
     for group, name in named:
         plan = group.queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan, name
+
+
+def plain_bilateral(x, d, colour, space):
+    r, (h, w) = d // 2, x.shape[:2]
+    wide = np.pad(x.astype(float), ((r, r), (r, r), (0, 0)), mode="edge")
+    total, mass = np.zeros(x.shape), np.zeros((h, w, 1))
+    for i in range(-r, r + 1):
+        for j in range(-r, r + 1):
+            if i * i + j * j <= r * r:
+                near = wide[r + i : r + i + h, r + j : r + j + w]
+                far = np.abs(near - x).sum(axis=2, keepdims=True)
+                k = np.exp(-0.5 * (far / colour) ** 2 - 0.5 * (i * i + j * j) / space**2)
+                total += k * near
+                mass += k
+    return weather.clipped(np.rint(total / mass))
+
+
+def test_bilateral_is_the_plain_formula_in_less_time():
+    rng = np.random.default_rng(1)
+    for shape in ((40, 60, 3), (7, 90, 1), (3, 2, 3)):
+        x = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (weather.bilateral(x, 5, 50, 50) == plain_bilateral(x, 5, 50, 50)).all() and (weather.bilateral(x) == plain_bilateral(x, 9, 75, 75)).all()
+    x = boxed()
+    assert least_time(lambda: weather.bilateral(x), 3) < 0.45 * least_time(lambda: plain_bilateral(x, 9, 75, 75), 3)
+
+
+def test_lines_end_where_no_votes_are_left(monkeypatch):
+    mask = np.zeros((160, 160), bool)
+    mask[:, 70] = True
+    mask[20:60, 10] = True
+    sums = []
+    count = np.bincount
+    monkeypatch.setattr(stems.np, "bincount", lambda *a, **k: sums.append(1) or count(*a, **k))
+    assert stems.lines(mask) == [(70, 0, 70, 159)] and len(sums) == 1
+    assert stems.lines(mask[:, :60]) == [] and len(sums) == 1
+    assert stems.lines(mask[:, :60], votes=30) == [(10, 20, 10, 59)]
+
+
+def test_resized_to_its_own_shape_is_not_worked_on():
+    x = np.random.default_rng(1).random((12, 20))
+    assert (variation.resized(x, 12, 20) == x).all() and np.allclose(variation.resized(x, 12, 10), x.reshape(12, 10, 2).mean(axis=2))
+    style = variation.matched(boxed(), height=96, blur=0, noise=0, clip=0)
+    assert set(np.unique(style)) == {112, 172} and (style[:, :, 0] == style[:, :, 2]).all()
+
+
+def test_levels_that_get_one_more():
+    for rest in range(256):
+        step, level = max(256 // max(rest, 1), 1), np.arange(256)
+        assert (pixels.MORE[rest] == ((level % step == 0) & (level // step < rest))).all()

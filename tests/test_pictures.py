@@ -5,6 +5,7 @@ import time
 import numpy as np
 
 from millrace.operators import draw, pixels, stems, variation, weather
+from millrace.sources import pictures
 
 
 def boxed(k=7, n=9):
@@ -132,3 +133,28 @@ def test_levels_that_get_one_more():
     for rest in range(256):
         step, level = max(256 // max(rest, 1), 1), np.arange(256)
         assert (pixels.MORE[rest] == ((level % step == 0) & (level // step < rest))).all()
+
+
+def test_strokes_of_one_direction_are_inked_at_once():
+    rng = np.random.default_rng(1)
+    for dx, dy in ((0.0, 20.7), (9.3, -31.1)):
+        at = [float(v) for v in rng.uniform(-6, 96, 70)]
+        lines = [(x, 30.3, x + dx, 30.3 + dy) for x in at]
+        alone = np.max([draw.covers(70, 90, [line], 2.6) for line in lines], axis=0)
+        assert np.abs(draw.covers(70, 90, lines, 2.6) - alone).max() < 1e-9
+    few = [(x, 30.3, x + 9.3, 3.2) for x in (10.1, 20.7, 31.9, 44.4, 58.2, 70.3, 75.5, 80.9)]
+    assert least_time(lambda: draw.covers(70, 90, few, 2.6)) < 0.7 * least_time(lambda: [draw.covers(70, 90, [line], 2.6) for line in few])
+    for ink in ((50, 50, 50), (200, 10, 250)):
+        look = draw.style(3, ink=ink)
+        x, strokes = draw.rendered("ᚁᚂᚃ ᚋᚌᚍ", look)
+        stem = draw.inked(128, x.shape[1], [(draw.PADDING / 2, 64, x.shape[1] - draw.PADDING / 2, 64)], look["stem"], ink, look["ground"])
+        assert (x == np.minimum(stem, draw.inked(128, x.shape[1], strokes, max(1.0, look["stem"] / 2), ink, look["ground"]))).all()
+
+
+def test_plain_rows_of_a_png_are_taken_whole():
+    x = np.random.default_rng(1).integers(0, 256, (200, 30, 3)).astype(np.uint8)
+    assert (pictures.decoded(pictures.encoded(x)) == x).all() and (pictures.decoded(pictures.encoded(x[:, :, :1])) == x[:, :, :1]).all()
+    raw = b"".join(b"\0" + r.tobytes() for r in x)
+    filtered = raw[:-91] + b"\2" + raw[-90:]
+    assert (pictures.unfiltered(raw, 200, 30, 3) == x).all() and (pictures.unfiltered(filtered, 200, 30, 3)[:-1] == x[:-1]).all()
+    assert least_time(lambda: pictures.unfiltered(raw, 200, 30, 3)) < 0.2 * least_time(lambda: pictures.unfiltered(filtered, 200, 30, 3))
